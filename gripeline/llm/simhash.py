@@ -118,7 +118,7 @@ def _expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + lo[i]
 
 
-def linked_pairs(codes: np.ndarray, starts: np.ndarray, bits: int, step: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def linked_pairs(codes: np.ndarray, starts: np.ndarray, bits: int, step: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (later, earlier) of places in ``codes`` that lie in one group and differ in at most ``bits`` bits.
 
     Groups begin at ``starts``; within a group codes are in Gray order.
