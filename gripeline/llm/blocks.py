@@ -17,22 +17,29 @@ from .shared import partitions
 BATCH_BYTES = 8 << 20
 
 
-def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """(b, id, text) with b the batch of each document; the number of batches, which grows with the bytes of text."""
+def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> tuple[DataFrame, int]:
+    """(b, id, text) with b the batch of each document; the number of batches, which grows with the bytes of text.
+
+    With ``keep`` the whole row comes along, as the struct ``row``.
+    """
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = partitions(docs.sparkSession, total, BATCH_BYTES)
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return d.select(F.pmod(F.xxhash64("id", F.lit("batch")), F.lit(n)).cast("int").alias("b"), "id", "text"), n
+    rest = [F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("row")] if keep else []
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *rest)
+    return d.select(F.pmod(F.xxhash64("id", F.lit("batch")), F.lit(n)).cast("int").alias("b"), *d.columns), n
+
+
+def in_order(table: pa.Table) -> pa.Table:
+    """The rows by ascending id (null first), those of equal id by text, so that the order never depends on the shuffle."""
+    return table.sort_by([("id", "ascending"), ("text", "ascending")]) if table.num_rows > 1 else table
+
+
+def ids_of(table: pa.Table) -> np.ndarray:
+    return table.column("id").fill_null(np.iinfo(np.int64).min).to_numpy()
 
 
-def sorted_docs(table: pa.Table) -> tuple[np.ndarray, list]:
-    """Ids in ascending order and their texts as bytes; rows of equal id stand by text, so the order never depends on the shuffle."""
-    ids = table.column("id").to_numpy()
-    texts = [b"" if t is None else t for t in table.column("text").cast(pa.binary()).to_pylist()]
-    order = np.argsort(ids, kind="stable")
-    if len(ids) and (np.diff(ids[order]) == 0).any():
-        order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i])))
-    return ids[order], [texts[i] for i in order]
+def texts_of(table: pa.Table) -> list[bytes]:
+    return [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -63,3 +70,40 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     step[0] = np.frombuffer(data, np.uint8, 8, 1)
     step[1:, :width] = rest
     return np.cumsum(step.reshape(-1).view(np.uint64), dtype=np.uint64)
+
+
+#: What batches send to buckets and buckets answer.
+ROW = "bucket int, b int, keys binary, more binary, content binary"
+_FIELDS = pa.schema([("bucket", pa.int32()), ("b", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("content", pa.binary())])
+
+
+def rows(found: list[tuple]) -> pa.Table:
+    cols = list(zip(*found, strict=True)) if found else [[] for _ in _FIELDS]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FIELDS, strict=True)], schema=_FIELDS)
+
+
+def column(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+
+
+def groups(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    if not len(sorted_keys[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])])
+
+
+def places(order: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each element, the number of the run it belongs to, runs beginning at ``start`` in ``order``."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
+    return out
+
+
+def answered(table: pa.Table, parts: list[tuple[int, int, int]], kind: type, n: int, field: str = "keys") -> np.ndarray:
+    """The answers to ``n`` keys sent in ``parts``, in the order they were sent."""
+    by = dict(zip(table.column("bucket").to_pylist(), table.column(field).to_pylist(), strict=True))
+    out = np.zeros(n, kind)
+    for bucket, x, y in parts:
+        out[x:y] = np.frombuffer(by[bucket], kind)
+    return out

@@ -7,13 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, simhash, suffixes
+from . import bpe, chat, lm, quality, simhash, suffixes, units
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
+    done = chat.format_conversations(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+    done = done.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("segments")).alias("loss"))
+    said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return done.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+SQL_OP1 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, row_number() OVER w AS n, lag(role) OVER w AS prev,
+    replace(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '<part>', '<\part>'), '###', '\###') AS safe,
+    replace(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '<part>', '<\part>'), '###', '\###'), chr(10), '\' || chr(10)) AS head
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(safe) + CASE WHEN n = 1 THEN 6 + length(head) WHEN prev = role THEN 6 ELSE 14 + length(head) END) + 8 AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op2_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = units.remove_repeated_units(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"]))
+    return found.select("doc_id", "n_units", removed.alias("removed_chars"), "removed_spans", "kept_text")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -38,5 +73,44 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op6_quality": op6_quality, "op8_suffixes": op8_suffixes}
-SQL: dict[str, str] = {}
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.stupid_backoff(_table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+SQL_OP10 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+t AS (
+  SELECT r, i, w[i] AS w1, CASE WHEN i >= 2 THEN w[i-1] || ' ' || w[i] END AS w2, CASE WHEN i >= 3 THEN w[i-2] || ' ' || w[i-1] || ' ' || w[i] END AS w3,
+    CASE WHEN i >= 2 THEN w[i-1] END AS p1, CASE WHEN i >= 3 THEN w[i-2] || ' ' || w[i-1] END AS p2
+  FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+g AS (SELECT r, w1 AS g, 1 AS o FROM t UNION ALL SELECT r, w2, 2 FROM t WHERE w2 IS NOT NULL UNION ALL SELECT r, w3, 3 FROM t WHERE w3 IS NOT NULL),
+own AS (SELECT o, r, g, count(*) AS n FROM g GROUP BY o, r, g),
+al AS (SELECT o, r, g, sum(n) OVER (PARTITION BY o, g) - n AS c FROM own),
+n AS (SELECT count(*) AS n FROM t),
+s AS (
+  SELECT t.r, t.i, greatest((SELECT n FROM n) - len(d.w), 1) AS rest, a1.c AS c1, a2.c AS c2, a3.c AS c3, b1.c AS b1, b2.c AS b2
+  FROM t JOIN d ON d.r = t.r JOIN al a1 ON a1.o = 1 AND a1.r = t.r AND a1.g = t.w1
+  LEFT JOIN al a2 ON a2.o = 2 AND a2.r = t.r AND a2.g = t.w2 LEFT JOIN al a3 ON a3.o = 3 AND a3.r = t.r AND a3.g = t.w3
+  LEFT JOIN al b1 ON b1.o = 1 AND b1.r = t.r AND b1.g = t.p1 LEFT JOIN al b2 ON b2.o = 2 AND b2.r = t.r AND b2.g = t.p2),
+u AS (SELECT *, greatest(c1, 1)::DOUBLE / rest::DOUBLE AS s1 FROM s),
+v AS (SELECT *, CASE WHEN i < 2 THEN s1 WHEN c2 > 0 THEN c2::DOUBLE / b1::DOUBLE ELSE 0.4::DOUBLE * s1 END AS s2 FROM u),
+x AS (SELECT r, sum(ln(CASE WHEN i < 3 THEN s2 WHEN c3 > 0 THEN c3::DOUBLE / b2::DOUBLE ELSE 0.4::DOUBLE * s2 END)) AS l FROM v GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, round(coalesce(x.l, 0), 4) AS log_score, round(x.l / len(d.w), 6) AS mean_log_score
+FROM d LEFT JOIN x ON x.r = d.r
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
+    "op2_units": op2_units,
+    "op3_simhash": op3_simhash,
+    "op4_bpe": op4_bpe,
+    "op6_quality": op6_quality,
+    "op8_suffixes": op8_suffixes,
+    "op10_lm": op10_lm,
+}
+SQL: dict[str, str] = {"op1_chat": SQL_OP1, "op10_lm": SQL_OP10}

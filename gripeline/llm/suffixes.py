@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import batched, pack_sorted, slices, sorted_docs, unpack_sorted
+from .blocks import ROW, batched, ids_of, in_order, pack_sorted, rows, slices, texts_of, unpack_sorted
 
 SPAN = 50
 #: Length of an anchor. A longer one is seldom repeated by chance, a shorter one leaves fewer anchors.
@@ -124,21 +124,12 @@ def _unique_keys(key: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndar
     return k[start], count, place
 
 
-ROW = "bucket int, b int, keys binary, more binary, content binary"
-_FIELDS = pa.schema([("bucket", pa.int32()), ("b", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("content", pa.binary())])
-
-
-def _rows(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in _FIELDS]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FIELDS, strict=True)], schema=_FIELDS)
-
-
 def _send_keys(n: int, span: int, gram: int):
     def send(table: pa.Table) -> pa.Table:
-        _, texts = sorted_docs(table)
+        texts = texts_of(in_order(table))
         keys, count, _ = _unique_keys(*(lambda r: (r[4], r[5]))(runs(texts, span, gram)))
         b = table.column("b")[0].as_py()
-        return _rows([(bucket, b, pack_sorted(keys[x:y]), np.minimum(count[x:y], 65535).astype(np.uint16).tobytes(), None) for bucket, x, y in slices(keys, n)])
+        return rows([(bucket, b, pack_sorted(keys[x:y]), np.minimum(count[x:y], 65535).astype(np.uint16).tobytes(), None) for bucket, x, y in slices(keys, n)])
 
     return send
 
@@ -159,7 +150,7 @@ def _answer_keys(hot: int):
         flag = np.empty(len(k), np.uint8)
         flag[order] = np.repeat((total > 1).astype(np.uint8) + 2 * (total > hot).astype(np.uint8), np.diff(np.append(start, len(s))))
         at = np.cumsum(sizes) - sizes
-        return _rows([(bucket, b, flag[x : x + y].tobytes(), None, None) for bucket, b, x, y in zip(table.column("bucket").to_pylist(), table.column("b").to_pylist(), at.tolist(), sizes.tolist(), strict=True)])
+        return rows([(bucket, b, flag[x : x + y].tobytes(), None, None) for bucket, b, x, y in zip(table.column("bucket").to_pylist(), table.column("b").to_pylist(), at.tolist(), sizes.tolist(), strict=True)])
 
     return answer
 
@@ -168,7 +159,8 @@ class _Sent:
     """What a batch sends in the second round, and whose windows it is; the same each time it is made."""
 
     def __init__(self, docs: pa.Table, flags: pa.Table, n: int, span: int, gram: int):
-        self.ids, texts = sorted_docs(docs)
+        docs = in_order(docs)
+        self.ids, texts = ids_of(docs), texts_of(docs)
         self.data, first, length, anchor, key, text = runs(texts, span, gram)
         self.texts = texts
         keys, _, place = _unique_keys(key, text)
@@ -223,14 +215,14 @@ def _digest(content: np.ndarray, extra: np.ndarray) -> np.ndarray:
 def _send_pieces(n: int, span: int, gram: int):
     def send(docs: pa.Table, flags: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return _rows([])
+            return rows([])
         s, b = _Sent(docs, flags, n, span, gram), docs.column("b")[0].as_py()
         used = np.arange(s.content.shape[1]) < (s.windows + span - 1)[:, None]
-        rows = []
+        out = []
         for bucket, x, y in s.parts:
             head = np.concatenate([s.windows[x:y], s.offset[x:y]]).astype(np.uint8).tobytes()
-            rows.append((bucket, b, head, s.least[x:y].tobytes(), s.content[x:y][used[x:y]].tobytes()))
-        return _rows(rows)
+            out.append((bucket, b, head, s.least[x:y].tobytes(), s.content[x:y][used[x:y]].tobytes()))
+        return rows(out)
 
     return send
 
@@ -301,15 +293,15 @@ def _answer_pieces(span: int, gram: int):
             lo, hi = np.minimum.reduceat(best, at_kind[sort]), np.maximum.reduceat(best, at_kind[sort])
             whole[sort] = lo
             mixed[sort[lo != hi]] = True
-        rows, at = [], 0
+        out, at = [], 0
         for bucket, b, size in zip(table.column("bucket").to_pylist(), table.column("b").to_pylist(), sizes.tolist(), strict=True):
             mine = kind[at : at + size]
             apart = np.flatnonzero(mixed[mine])
             m = windows[rep[mine[apart]]]
             i = np.repeat(at_kind[mine[apart]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            rows.append((bucket, b, (whole[mine] - sent[at : at + size]).tobytes(), apart.astype(np.int32).tobytes(), best[i].tobytes()))
+            out.append((bucket, b, (whole[mine] - sent[at : at + size]).tobytes(), apart.astype(np.int32).tobytes(), best[i].tobytes()))
             at += size
-        return _rows(rows)
+        return rows(out)
 
     return answer
 
