@@ -24,9 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECES = 200_000
-PAIRS = 400_000
+from .shared import parts, small_batches
+
+PIECES = 150_000
+PAIRS = 100_000
 LONG = 48
+#: Bytes of text or ids that an executor works on at a time.
+PART = 1 << 20
 
 
 def default_path() -> str:
@@ -72,12 +76,23 @@ def recent_characters() -> str:
 class Vocabulary:
     """Tables of one vocabulary. Ranks number the tokens: single bytes first, then results of merges in merge order."""
 
-    def __init__(self, file: bytes):
+    def __init__(self, file: bytes, encoder: bool = True):
+        model = json.loads(file)
+        byte = {c: b for b, c in enumerate(byte_chars())}
+        vocab = model["model"]["vocab"]
+        self.added = {x["content"]: x["id"] for x in model.get("added_tokens", [])}
+        by_id = {vocab[t]: bytes(byte[c] for c in t) for t in vocab} | {i: t.encode() for t, i in self.added.items()}
+        n = max(by_id) + 1
+        sizes = np.array([len(by_id.get(i, b"")) for i in range(n)], np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(sizes)])
+        self.bytes = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(n)), np.uint8)
+        if encoder:
+            self._encoder(model, byte)
+
+    def _encoder(self, model: dict, byte: dict[str, int]) -> None:
         import ahocorasick
         import regex
 
-        model = json.loads(file)
-        byte = {c: b for b, c in enumerate(byte_chars())}
         raw = lambda t: bytes(byte[c] for c in t).decode("latin-1")
         vocab, merges = model["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"]]
         rank: dict[str, int] = {}
@@ -101,7 +116,6 @@ class Vocabulary:
             self.tokens.add_word(t, i)
         self.tokens.make_automaton()
         self.single = {t: np.uint32(self.ids[i]).tobytes() for t, i in place.items() if len(t) <= LONG}
-        self.added = {x["content"]: x["id"] for x in model.get("added_tokens", [])}
         self.find = regex.compile(PATTERN).findall
         recent = recent_characters()
         self.recent = regex.compile(f"[{recent}]").search if recent else None
@@ -111,11 +125,6 @@ class Vocabulary:
             old = old.replace(r"?\p{L}+", rf"?[\p{{L}}--[{recent}]]+").replace(r"?\p{N}+", rf"?[\p{{N}}--[{recent}]]+")
             self.find_old = regex.compile(old, regex.V1).findall
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
-        by_id = {vocab[t]: bytes(byte[c] for c in t) for t in vocab} | {i: t.encode() for t, i in self.added.items()}
-        n = max(by_id) + 1
-        sizes = np.array([len(by_id.get(i, b"")) for i in range(n)], np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(sizes)])
-        self.bytes = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(n)), np.uint8)
         self.pieces: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
@@ -214,14 +223,14 @@ class Vocabulary:
         return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-_LOADED: dict[int, Vocabulary] = {}
+_LOADED: dict[tuple[int, bool], Vocabulary] = {}
 
 
-def _vocabulary(file) -> Vocabulary:
-    key = hash(file.value)
+def _vocabulary(file, encoder: bool) -> Vocabulary:
+    key = (hash(file.value), encoder)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Vocabulary(file.value)
+        _LOADED[key] = Vocabulary(file.value, encoder)
     return _LOADED[key]
 
 
@@ -230,40 +239,34 @@ def _broadcast(df: DataFrame, path: str | None):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_tokens (long) and ids (binary: little-endian unsigned 32-bit integers)."""
+def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with n_tokens (long) and ids (binary: little-endian unsigned 32-bit integers); without its text if asked for."""
     file = _broadcast(docs, path)
+    small_batches(docs.sparkSession)
     d = docs.drop("n_tokens", "ids")
-    at = d.columns.index(text_col)
-    names = [*d.columns, "n_tokens", "ids"]
+    kept = d.columns if keep_text else [c for c in d.columns if c != text_col]
+    names = [*kept, "n_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _vocabulary(file)
-        for b in batches:
-            packed = [v.encode(t) if t else b"" for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())], names=names)
+        v = _vocabulary(file, True)
+        for b in parts(batches, text_col, PART):
+            packed = [v.encode(t) if t else b"" for t in b.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())], names=names)
 
-    return d.mapInArrow(run, d.select("*", F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("ids")).schema)
+    return d.mapInArrow(run, d.select(*kept, F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("ids")).schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with decoded_text (string), for packed ids as ``encode`` gives them; null counts as no ids."""
     file = _broadcast(encoded, path)
+    small_batches(encoded.sparkSession)
     d = encoded.drop("decoded_text")
-    at = d.columns.index(ids_col)
     names = [*d.columns, "decoded_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _vocabulary(file)
-        for b in batches:
-            packed = [p or b"" for p in b.column(at).to_pylist()]
-            out: list[str] = []
-            n, start = 0, 0
-            for i, p in enumerate(packed):
-                n += len(p)
-                if n >= 4 << 20 or i == len(packed) - 1:
-                    out += v.decode(packed[start : i + 1])
-                    n, start = 0, i + 1
+        v = _vocabulary(file, False)
+        for b in parts(batches, ids_col, PART):
+            out = v.decode([p or b"" for p in b.column(ids_col).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=names)
 
     return d.mapInArrow(run, d.select("*", F.lit("").alias("decoded_text")).schema)

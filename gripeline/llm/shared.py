@@ -58,6 +58,26 @@ def partitions(spark: SparkSession, n_bytes: float, each: int = 16 << 20) -> int
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / each))
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Asks for Arrow batches of few bytes for the rest of the session, whatever the length of a row; a smaller wish stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "67108864b", "67108864", "64MB", "64m", str(2**31 - 1)):
+        spark.conf.set(key, size)
+
+
+def parts(batches, column: str, size: int):
+    """The rows of Arrow batches again, in slices of about ``size`` bytes of one string or binary column."""
+    for b in batches:
+        first, n = 0, 0
+        for i, x in enumerate(b.column(column)):
+            n += 0 if not x.is_valid else x.as_buffer().size
+            if n >= size:
+                yield b.slice(first, i + 1 - first)
+                first, n = i + 1, 0
+        if first < b.num_rows:
+            yield b.slice(first)
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; none for null."""
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES)), " "), "")
