@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lm, quality, simhash, suffixes, units
+from . import bpe, chat, decontamination, language, licences, lm, quality, simhash, suffixes, units
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,15 +55,33 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    done = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False))
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded_text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def documents_as_files(docs: DataFrame) -> DataFrame:
+    """Documents have no path; as files they lie in a directory of their language below one of their source."""
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return docs.select("doc_id", path.alias("path"), "text")
+
+
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents_as_files(_table(spark, sf_dir, "documents"))).select("doc_id", "path", "licence", F.round("similarity", 4).alias("similarity"), "origin", "from_dir")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = language.fit(docs.where(~held_out).select("text", "lang"))
+    found = language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model, keep_text=False)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"]))
@@ -73,6 +91,24 @@ def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shared", "n_item", F.round("containment", 6).alias("containment"))
+
+
+SQL_OP9 = r"""
+WITH w AS (
+  SELECT 0 AS kind, doc_id AS id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents
+  UNION ALL SELECT 1, item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') FROM benchmark),
+s AS (SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM s WHERE kind = 1 GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared, n.n AS n_item, round(count(*) / n.n, 6) AS containment
+FROM s d JOIN s b ON b.s = d.s AND b.kind = 1 AND d.kind = 0 JOIN n ON n.id = b.id
+GROUP BY d.id, b.id, n.n HAVING count(*) >= 0.8 * n.n
+"""
+
+
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.stupid_backoff(_table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
@@ -109,8 +145,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_units": op2_units,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
+    "op5_licences": op5_licences,
     "op6_quality": op6_quality,
+    "op7_language": op7_language,
     "op8_suffixes": op8_suffixes,
+    "op9_decontamination": op9_decontamination,
     "op10_lm": op10_lm,
 }
-SQL: dict[str, str] = {"op1_chat": SQL_OP1, "op10_lm": SQL_OP10}
+SQL: dict[str, str] = {"op1_chat": SQL_OP1, "op9_decontamination": SQL_OP9, "op10_lm": SQL_OP10}
