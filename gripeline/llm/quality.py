@@ -46,6 +46,12 @@ def _pos_bits(n: Column) -> Column:
     return F.length(F.bin(F.greatest(n, F.lit(1)).cast("long")))
 
 
+def _fixed(d: DataFrame, own: list[str], *new: Column) -> DataFrame:
+    """``own`` and ``new`` columns. The new ones come out of a generator of one row, because the optimizer would push a filter
+    on them below the projections before it and then split a text into words anew for each place it looks at."""
+    return d.select(*own, F.inline(F.array(F.struct(*new))))
+
+
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long).
 
@@ -84,14 +90,14 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.select(*own, "_t", "_w", "_l", "_n", F.when(clash, exact).otherwise(F.sort_array(F.transform(h, place))).alias("_p"))
     p = F.col("_p")
     covered = F.aggregate(F.transform(p, lambda x, i: F.coalesce(F.least(F.lit(3), F.get(p, i + 1) - x), F.lit(3)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    return d.select(
-        *own,
+    return _fixed(
+        d, own,
         F.col("_n").cast("long").alias("n_words"),
         F.char_length(F.translate("_t", " " + SPACES, "")).cast("long").alias("word_chars"),
         (F.char_length("_t") - F.char_length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-    )
+    )
 
 
 def _gates(text: Column, n_symbols: Column) -> Column:
@@ -137,12 +143,12 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules(), text: str = "text") ->
     verdict = lambda x: line_verdict(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")), F.col("_g"), rules)
     d = d.select(*own, "_l", F.filter("_l", lambda x: verdict(x).isNull()).alias("_k"))
     left = F.char_length(F.array_join("_k", "")).cast("double")
-    return d.select(
-        *own,
-        F.array_join("_k", "\n").alias("cleaned_text"),
+    d = _fixed(
+        d, [*own, "_k"],
         (F.size("_l") - F.size("_k")).cast("long").alias("n_lines_removed"),
         F.coalesce(F.try_divide(left, F.char_length(F.array_join("_l", ""))), F.lit(0.0)).alias("kept_share"),
-    )
+    )
+    return d.select(*own, F.array_join("_k", "\n").alias("cleaned_text"), "n_lines_removed", "kept_share")
 
 
 def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:

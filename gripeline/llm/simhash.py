@@ -10,6 +10,10 @@
 5. Links found below one node are reduced there to a star on the node's smallest id, so no node emits all its pairs.
    Connected components over the stars then run as joins.
 
+Step 3 loses nothing but is only affordable for few bits. ``near_duplicates(..., bands=True)`` is for wider radii, as a share of
+equal bits of 0.8 asks for (12 of 64): there the upper nodes are bands of minimum shingle hashes instead of bit masks, which two
+texts of high Jaccard similarity share almost surely (at 0.8: 16 bands of 4, all but 0.02 %), and steps 4 and 5 stay as they are.
+
 An upper node with more than ``hot`` fingerprints is split: its members fall into s parts, and each pair of parts is one piece
 of work. Nulls and texts without words have fingerprint zero and are linked like any other; repeated rows share a fingerprint
 and so a component; an empty table gives an empty result. Extra columns of the input are ignored.
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER_ASCII, Cuts, connected_components
+from .shared import LOWER_ASCII, Cuts, connected_components, parts, small_batches
 
 SEED = 42
 RUN = 16
@@ -57,8 +61,25 @@ def majority(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
     return out
 
 
-def _of_texts(texts: list, size: int) -> np.ndarray:
+BANDS, ROWS = 16, 4
+_RNG = np.random.default_rng(7)
+_FLIP = _RNG.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
+_TIMES = _RNG.integers(1 << 62, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each run of ``hashes`` the keys of its bands: each mixes the smallest of the run's hashes under ROWS permutations."""
+    out = np.zeros((len(starts), BANDS), np.uint64)
+    for i in range(BANDS * ROWS):
+        least = np.minimum.reduceat((hashes ^ _FLIP[i]) * _TIMES[i], starts)
+        out[:, i // ROWS] = (out[:, i // ROWS] ^ least) * _TIMES[i // ROWS]
+        out[:, i // ROWS] ^= out[:, i // ROWS] >> np.uint64(31)
+    return out
+
+
+def _of_texts(texts: list, size: int, bands: bool = False) -> tuple[np.ndarray, list]:
     out = np.zeros(len(texts), np.uint64)
+    keys: list[list[int]] = [[] for _ in texts]
     at = 0
     while at < len(texts):  # some 200,000 shingles at a time
         hashes, n, first = [], 0, at
@@ -70,20 +91,26 @@ def _of_texts(texts: list, size: int) -> np.ndarray:
         full = np.flatnonzero(sizes)
         if len(full):
             starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-            out[first + full] = majority(np.concatenate(hashes), starts, sizes[full].astype(np.uint64))
-    return out
+            every = np.concatenate(hashes)
+            out[first + full] = majority(every, starts, sizes[full].astype(np.uint64))
+            if bands:
+                for i, k in zip((first + full).tolist(), band_keys(every, starts).view(np.int64).tolist(), strict=True):
+                    keys[i] = k
+    return out, keys
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the 64-bit fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text", bands: bool = False) -> DataFrame:
+    """(id, fp): the 64-bit fingerprint as a signed long; with ``bands`` also the band keys, an array of longs."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = _of_texts(b.column(1).to_pylist(), shingle_words)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+        for b in parts(batches, "text", 4 << 20):
+            fp, keys = _of_texts(b.column(1).to_pylist(), shingle_words, bands)
+            more = [pa.array(keys, pa.list_(pa.int64()))] if bands else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *more], names=["id", "fp", "bands"][: 2 + bands])
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, "id long, fp long")
+    return d.mapInArrow(run, "id long, fp long, bands array<long>" if bands else "id long, fp long")
 
 
 def masks(bits: int, blocks: int) -> list[int]:
@@ -244,13 +271,20 @@ def grouped_links(keyed: DataFrame, bits: int, cuts: Cuts, hot: int = 8192) -> D
 
 
 def near_duplicates(
-    docs: DataFrame, bits: int = 4, blocks: int = 6, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, bits: int = 4, blocks: int = 6, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text", bands: bool = False
 ) -> DataFrame:
-    """(doc_id, fp, component_id): one row per row of ``docs``; the component is the smallest id reachable over links."""
+    """(doc_id, fp, component_id): one row per row of ``docs``; the component is the smallest id reachable over links.
+
+    ``bands``: look for links below shared bands of minimum hashes, for radii too wide for ``blocks`` bit blocks.
+    """
     cuts = Cuts(docs.sparkSession, "simhash")
-    fps = cuts.cut(fingerprints(docs, shingle_words, id_col, text_col))
+    fps = cuts.cut(fingerprints(docs, shingle_words, id_col, text_col, bands))
     items = cuts.cut(fps.groupBy("fp").agg(F.min("id").alias("id")))
-    edges = cuts.cut(index_links(items, bits, blocks, cuts))
+    if bands:
+        keyed = fps.select("fp", F.explode("bands").alias("k")).distinct().join(items, "fp").select("k", "fp", "id")
+        edges = cuts.cut(grouped_links(keyed, bits, cuts))
+    else:
+        edges = cuts.cut(index_links(items, bits, blocks, cuts))
     found = connected_components(edges, cuts)
     named = cuts.cut(items.join(found, items["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id")))
     cuts.drop(items, edges)
