@@ -107,3 +107,16 @@ def answered(table: pa.Table, parts: list[tuple[int, int, int]], kind: type, n:
     for bucket, x, y in parts:
         out[x:y] = np.frombuffer(by[bucket], kind)
     return out
+
+
+def pack_counts(n: np.ndarray) -> bytes:
+    """Whole numbers of 0 or more in the narrowest type that holds them all, compressed."""
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(n) or n.max() <= np.iinfo(t).max)
+    raw = n.astype(kind).tobytes()
+    return bytes([np.dtype(kind).itemsize]) + len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[1:9], "little")
+    raw = pa.decompress(data[9:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    return np.frombuffer(raw, f"u{data[0]}").astype(np.int64)
