@@ -7,12 +7,15 @@ sent, in the order it sent them. A batch is a function of the ids alone, so a re
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions
+from .shared import partitions, small_batches
 
 BATCH_BYTES = 8 << 20
 
@@ -20,26 +23,82 @@ BATCH_BYTES = 8 << 20
 def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> tuple[DataFrame, int]:
     """(b, id, text) with b the batch of each document; the number of batches, which grows with the bytes of text.
 
-    With ``keep`` the whole row comes along, as the struct ``row``.
+    Documents of a batch are packed to a few rows of compressed text, which ``in_order`` unpacks. With ``keep`` they stay rows
+    of their own, and the whole input row comes along as the struct ``row``.
     """
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = partitions(docs.sparkSession, total, BATCH_BYTES)
     rest = [F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("row")] if keep else []
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *rest)
-    return d.select(F.pmod(F.xxhash64("id", F.lit("batch")), F.lit(n)).cast("int").alias("b"), *d.columns), n
+    d = d.select(F.pmod(F.xxhash64("id", F.lit("batch")), F.lit(n)).cast("int").alias("b"), *d.columns)
+    if keep:
+        return d, n
+    small_batches(docs.sparkSession)
+    return d.mapInArrow(_pack, "b int, ids binary, sizes binary, texts binary"), n
+
+
+#: Stands for a null id while ids are plain numbers.
+NO_ID = np.iinfo(np.int64).min
+PACK_BYTES = 16 << 20
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed() -> Iterator[pa.RecordBatch]:
+        order = np.argsort(np.array(bs), kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(np.array(bs)[order]) != 0, True])
+        out: list[list] = [[], [], [], []]
+        for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            own = order[a:z].tolist()
+            data = b"".join([texts[i] for i in own])
+            values = (bs[own[0]], np.array([ids[i] for i in own], np.int64).tobytes(), np.array([len(texts[i]) for i in own], np.int64).tobytes(), pa.compress(data, codec="zstd", asbytes=True) if data else b"")
+            for x, v in zip(out, values, strict=True):
+                x.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["b", "ids", "sizes", "texts"])
+
+    bs: list[int] = []
+    ids: list[int] = []
+    texts: list[bytes] = []
+    n = 0
+    for batch in batches:
+        bs += batch.column(0).to_pylist()
+        ids += batch.column(1).fill_null(NO_ID).to_pylist()
+        new = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
+        texts += new
+        n += sum(map(len, new))
+        if n >= PACK_BYTES:
+            yield from packed()
+            bs, ids, texts, n = [], [], [], 0
+    if bs:
+        yield from packed()
+
+
+def _unpack(table: pa.Table) -> pa.Table:
+    ids, texts = [np.empty(0, np.int64)], []
+    for i, s, t in zip(*(table.column(c).to_pylist() for c in ("ids", "sizes", "texts")), strict=True):
+        ids.append(np.frombuffer(i, np.int64))
+        ends = np.cumsum(np.frombuffer(s, np.int64)).tolist()
+        data = pa.decompress(t, decompressed_size=ends[-1], codec="zstd", asbytes=True) if ends[-1] else b""
+        texts += [data[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+    every = np.concatenate(ids)
+    return pa.table({"id": pa.array(every, mask=every == NO_ID), "text": pa.array(texts, pa.large_binary())})
 
 
 def in_order(table: pa.Table) -> pa.Table:
-    """The rows by ascending id (null first), those of equal id by text, so that the order never depends on the shuffle."""
-    return table.sort_by([("id", "ascending"), ("text", "ascending")]) if table.num_rows > 1 else table
+    """The documents by ascending id (null first), those of equal id by text, so that the order never depends on the shuffle."""
+    if "texts" in table.column_names:
+        table = _unpack(table)
+    if table.num_rows < 2:
+        return table
+    by = [("id", "ascending"), ("text", "ascending")]
+    return table.take(pc.sort_indices(table.select(["id", "text"]), sort_keys=by, null_placement="at_start"))
 
 
 def ids_of(table: pa.Table) -> np.ndarray:
-    return table.column("id").fill_null(np.iinfo(np.int64).min).to_numpy()
+    return table.column("id").fill_null(NO_ID).to_numpy()
 
 
 def texts_of(table: pa.Table) -> list[bytes]:
-    return [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
+    return [t or b"" for t in table.column("text").cast(pa.large_binary()).to_pylist()]
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:

@@ -11,7 +11,10 @@ from . import bpe, chat, decontamination, language, licences, lm, quality, simha
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    n = spark.sparkContext.defaultParallelism
+    # a table of a few row groups is dealt out, so that all cores work on it
+    return df.repartition(n) if name == "documents" and 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= n else df
 
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import ROW, batched, ids_of, in_order, pack_sorted, rows, slices, texts_of, unpack_sorted
+from .blocks import NO_ID, ROW, batched, ids_of, in_order, pack_sorted, rows, slices, texts_of, unpack_sorted
 
 SPAN = 50
 #: Length of an anchor. A longer one is seldom repeated by chance, a shorter one leaves fewer anchors.
@@ -344,7 +344,7 @@ def _apply(n: int, span: int, gram: int):
                 kept.append(t)
             at0 += len(t)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.table({"doc_id": pa.array(s.ids, pa.int64()), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"doc_id": pa.array(s.ids, pa.int64(), mask=s.ids == NO_ID), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())})
 
     return apply
 
