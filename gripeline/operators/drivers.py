@@ -112,8 +112,7 @@ def verify(edges: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def claim(dimension: Column, value: Column, l5: Column, lift: Column, n: Column) -> Column:
-    number = F.regexp_replace(F.format_number(lift, "0.0#"), ",", "")
-    return F.concat(dimension, F.lit("="), value, F.lit(" over-indexes for "), l5, F.lit(" (lift "), number, F.lit("x, n="), n.cast("string"), F.lit(")"))
+    return F.concat(dimension, F.lit("="), value, F.lit(" over-indexes for "), l5, F.lit(" (lift "), lift.cast("string"), F.lit("x, n="), n.cast("string"), F.lit(")"))
 
 
 def interactions(merged: DataFrame, pairs: list[tuple[str, str]]) -> tuple[DataFrame, list[str]]:
