@@ -2,7 +2,9 @@
 
 Documents fall into batches by a hash of their id. Each batch sums up its own keys before anything is shuffled (a key that is
 everywhere counts once a batch), sends them to buckets by the leading digits of the key, and gets an answer for each key it
-sent, in the order it sent them. A batch is a function of the ids alone, so a recomputed task packs the same blocks.
+sent, in the order it sent them. A batch is a function of the ids alone, so a recomputed task packs the same blocks, provided
+that the input gives the same rows each time it is read, as tables do; write anything else (a limit without an order, a random
+sample) to a table first.
 """
 
 from __future__ import annotations

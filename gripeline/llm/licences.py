@@ -5,7 +5,7 @@ TF-IDF vectors; a text's own licence is that of its best line of similarity ``th
 itself inherits the licence of the nearest directory above it that holds a licence file, found by joining directory paths.
 
 A licence file is one with such a name (LICENSE, LICENCE, COPYING, UNLICENSE, with any suffix) or one whose text is a licence
-for the most part. Of several licence files in a directory the most similar counts, then the first licence by name. Nulls and
+for the most part. Of several in a directory those with such a name count first, then the most similar, then the first by licence. Nulls and
 texts without such a line have no licence of their own; a null path is in no directory; repeated rows are scanned one by one;
 an empty table gives an empty result. Columns of the input are kept; those added here win over input columns of the same name.
 
@@ -110,7 +110,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_c
     files = files.join(own.withColumnRenamed("id", "_id"), F.col(id_col) == F.col("_id"), "left").drop("_id")
     files = cuts.cut(files)
     named = files.where(F.col("licence").isNotNull() & F.col("_dir").isNotNull() & (F.coalesce("_named", F.lit(False)) | (F.col("share") >= FILE_SHARE)))
-    of_dir = named.groupBy(F.col("_dir").alias("dir")).agg(F.min(F.struct((F.lit(0) - F.col("similarity")).alias("s"), "licence")).alias("b")).select("dir", "b.licence", (F.lit(0) - F.col("b.s")).alias("similarity"))
+    of_dir = named.groupBy(F.col("_dir").alias("dir")).agg(F.min(F.struct((~F.coalesce("_named", F.lit(False))).alias("n"), (F.lit(0) - F.col("similarity")).alias("s"), "licence")).alias("b")).select("dir", "b.licence", (F.lit(0) - F.col("b.s")).alias("similarity"))
     up = files.where("_dir is not null").select("_dir").distinct().select("_dir", F.explode(ancestors(F.col("_dir"))).alias("a")).select("_dir", "a.depth", "a.dir")
     near = up.join(of_dir, "dir").groupBy("_dir").agg(F.max(F.struct("depth", "dir", F.col("licence").alias("l"), F.col("similarity").alias("s"))).alias("up"))
     near = cuts.cut(near)
