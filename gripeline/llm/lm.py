@@ -61,7 +61,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     sizes = np.diff(np.searchsorted(start, ends), prepend=0)
     out = np.empty(len(start), np.uint64)
-    step = 1 << 20  # words at a time, powers counted from the first of them
+    step = 1 << 16  # words at a time, powers counted from the first of them
     for a in range(0, len(start), step):
         s, e = start[a : a + step], end[a : a + step]
         part = data[s[0] : e[-1]]
