@@ -106,7 +106,8 @@ def _gates(text: Column, n_symbols: Column) -> Column:
     boiler = F.lit(False)
     for phrase in BOILERPLATE:
         boiler = boiler | F.contains(low, F.lit(phrase))
-    return F.struct((n_symbols > 0).alias("symbols"), boiler.alias("boilerplate"), F.rlike(text, F.lit(r"\p{Lu}{3}")).alias("capitals"))
+    odd = F.rlike(text, F.lit(r"[\t\x0B\f\r]|  "))
+    return F.struct(odd.alias("spaces"), (n_symbols > 0).alias("symbols"), boiler.alias("boilerplate"), F.rlike(text, F.lit(r"\p{Lu}{3}")).alias("capitals"))
 
 
 def line_verdict(line: Column, gates: Column, rules: Rules = Rules()) -> Column:
@@ -140,8 +141,9 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules(), text: str = "text") ->
     own = [c for c in docs.columns if c not in ("cleaned_text", "n_lines_removed", "kept_share")]
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.select(*own, F.split(t, "\n").alias("_l"), _gates(t, F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).alias("_g"))
-    verdict = lambda x: line_verdict(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")), F.col("_g"), rules)
-    d = d.select(*own, "_l", F.filter("_l", lambda x: verdict(x).isNull()).alias("_k"))
+    single = lambda x: F.trim(F.when(F.col("_g.spaces"), F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")).otherwise(x))
+    d = d.select(*own, "_l", "_g", F.transform("_l", single).alias("_s"))  # a column of its own: a rule looks at its line several times
+    d = d.select(*own, "_l", F.filter("_l", lambda _, i: line_verdict(F.get("_s", i), F.col("_g"), rules).isNull()).alias("_k"))
     left = F.char_length(F.array_join("_k", "")).cast("double")
     d = _fixed(
         d, [*own, "_k"],
