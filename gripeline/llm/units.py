@@ -2,8 +2,9 @@
 
 A text falls into units. Units are normalised (lower case, single blanks between words) and digested to 128 bits; the earliest
 occurrence of a digest in the order (document id, place in the text) stays and all later ones are removed. Lines and
-paragraphs count from one word on; sentences within a line count from ``min_words`` words on, so that a passage is found where
-it begins or ends within a line. Whatever is removed therefore stands, in normalised form, at an earlier place.
+paragraphs count from one word on. Sentences within a line count too, so that a passage is found where it begins or ends within
+a line: those of ``min_words`` words or more on their own, shorter ones only next to a unit that is removed. Whatever is removed
+therefore stands, in normalised form, at an earlier place.
 
 Nulls and texts without words have no units and come back unchanged. Rows of equal id rank by their text. Columns of the input
 are kept; the columns added here win over input columns of the same name. An empty table gives an empty result.
@@ -28,9 +29,12 @@ _SENTENCE = re.compile(r"[^.!?]*[.!?]+(?=\s|$)\s*|[^.!?]+$|[^.!?]*[.!?]+")
 _PARAGRAPH = re.compile(r"\n[ \t\r\f\v]*\n")
 
 
-def units(text: str, level: str = "line", min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
-    """(start, end, normalised) of the units of a text, in characters; sentences of a line that has several come after it."""
-    out: list[tuple[int, int, bytes]] = []
+LINE, PARENT, SENTENCE, SHORT = range(4)
+
+
+def units(text: str, level: str = "line", min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes, int]]:
+    """(start, end, normalised, kind) of the units of a text, in characters; the sentences of a line that has several follow it."""
+    out: list[tuple[int, int, bytes, int]] = []
     at = 0
     pieces = text.split("\n") if level == "line" else _PARAGRAPH.split(text)
     for piece in pieces:
@@ -38,18 +42,31 @@ def units(text: str, level: str = "line", min_words: int = MIN_WORDS) -> list[tu
             at = text.index(piece, at)
         found = piece.lower().split()
         if found:
-            out.append((at, at + len(piece), " ".join(found).encode()))
-            if len(found) > min_words:
-                parts = list(_SENTENCE.finditer(piece))
-                if len(parts) > 1:
-                    for m in parts:
-                        words = m[0].lower().split()
-                        if len(words) >= min_words:
-                            out.append((at + m.start(), at + m.end(), ("\x01" + " ".join(words)).encode()))
+            parts = [(m.start(), m.end(), w) for m in _SENTENCE.finditer(piece) if (w := m[0].lower().split())]
+            several = len(parts) > 1
+            out.append((at, at + len(piece), " ".join(found).encode(), PARENT if several else LINE))
+            for a, b, words in parts if several else ():
+                out.append((at + a, at + b, ("\x01" + " ".join(words)).encode(), SENTENCE if len(words) >= min_words else SHORT))
         at += len(piece) + (level == "line")
     return out
 
 
+def chosen(found: list[tuple[int, int, int]], repeated: list[bool]) -> list[bool]:
+    """Which units (start, end, kind) go, given which are repeats: short sentences only beside one that goes."""
+    out = [r and k != SHORT for r, (_, _, k) in zip(repeated, found, strict=True)]
+    end = -1
+    for i, (start, stop, kind) in enumerate(found):
+        if kind == PARENT:
+            end = stop if out[i] else -1
+        elif kind != LINE and start < end:
+            out[i] = True
+    atoms = [i for i, x in enumerate(found) if x[2] != PARENT]
+    for order in (atoms, atoms[::-1]):
+        for before, i in zip(order, order[1:], strict=False):
+            out[i] = out[i] or (out[before] and repeated[i])
+    return out
+
+
 class _Units:
     def __init__(self, docs: pa.Table, level: str, min_words: int):
         import xxhash
@@ -61,8 +78,8 @@ class _Units:
         spans, data, sizes = [], [], []
         for t in self.texts:
             found = units(t, level, min_words) if t else []
-            spans += [(a, b) for a, b, _ in found]
-            data += [digest(x) for _, _, x in found]
+            spans += [(a, b, k) for a, b, _, k in found]
+            data += [digest(x) for _, _, x, _ in found]
             sizes.append(len(found))
         self.spans = spans
         self.sizes = np.array(sizes, np.int64)
@@ -112,8 +129,9 @@ def _apply(n: int, level: str, min_words: int):
         at = 0
         for t, size in zip(u.texts, u.sizes.tolist(), strict=True):
             merged: list[list[int]] = []
-            for i in np.flatnonzero(gone[at : at + size]).tolist():
-                a, b = u.spans[at + i]
+            mine = gone[at : at + size]
+            going = chosen(u.spans[at : at + size], mine.tolist()) if mine.any() else []
+            for a, b, _ in (x for x, g in zip(u.spans[at : at + size], going, strict=False) if g):
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(b, merged[-1][1])
                 elif merged and t[merged[-1][1] : a] == "\n":
