@@ -143,10 +143,6 @@ def rows(found: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FIELDS, strict=True)], schema=_FIELDS)
 
 
-def column(table: pa.Table, name: str, kind: type) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-
-
 def groups(*sorted_keys: np.ndarray) -> np.ndarray:
     """Where each run of equal keys begins."""
     if not len(sorted_keys[0]):

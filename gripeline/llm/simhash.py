@@ -16,7 +16,8 @@ texts of high Jaccard similarity share almost surely (at 0.8: 16 bands of 4, all
 
 An upper node with more than ``hot`` fingerprints is split: its members fall into s parts, and each pair of parts is one piece
 of work. Nulls and texts without words have fingerprint zero and are linked like any other; repeated rows share a fingerprint
-and so a component; an empty table gives an empty result. Extra columns of the input are ignored.
+and so a component; a document without an id is linked, and its component is null if none of its documents has one; an empty table
+gives an empty result. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .shared import LOWER_ASCII, Cuts, connected_components, parts, small_batche
 
 SEED = 42
 RUN = 16
+#: Stands for a null id while ids are plain numbers: above all others, so that a component is named by an id if it has one.
+NO_ID = (1 << 63) - 1
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -109,7 +112,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id"
             more = [pa.array(keys, pa.list_(pa.int64()))] if bands else []
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *more], names=["id", "fp", "bands"][: 2 + bands])
 
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     return d.mapInArrow(run, "id long, fp long, bands array<long>" if bands else "id long, fp long")
 
 
@@ -288,4 +291,5 @@ def near_duplicates(
     found = connected_components(edges, cuts)
     named = cuts.cut(items.join(found, items["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id")))
     cuts.drop(items, edges)
-    return fps.join(named, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    none = F.lit(NO_ID)
+    return fps.join(named, "fp").select(F.nullif("id", none).alias("doc_id"), "fp", F.nullif("component_id", none).alias("component_id"))

@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .blocks import NO_ID, ROW, batched, ids_of, in_order, pack_sorted, rows, slices, texts_of, unpack_sorted
 
