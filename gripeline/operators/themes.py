@@ -91,7 +91,8 @@ def subthemes(a: DataFrame, top: int = 5, min_docs_per_theme: int = 4, quote_cha
     """
     terms = drop_overlapping(distinctive_terms(a, **kw))
     docs = a.select("conversation_id", "l5_id", "text", F.coalesce("severity", F.lit(0.0)).alias("severity"))
-    said = docs.join(F.broadcast(terms), "l5_id").where(F.rlike(F.lower("text"), F.concat(F.lit(r"\b"), F.col("term"), F.lit(r"\b"))))  # 25 terms a leaf
+    whole = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), F.col("term"), F.lit(r"(?![\p{L}\p{N}_])"))
+    said = docs.join(F.broadcast(terms), "l5_id").where(F.contains(F.lower("text"), F.col("term")) & F.rlike(F.lower("text"), whole))  # 25 terms a leaf
     best = F.max_by(F.struct("severity", "text"), F.struct(F.col("severity"), F.col("conversation_id"))).alias("b")
     found = said.groupBy("l5_id", "term", "place", "n_cls").agg(F.count("*").alias("count"), best).where(F.col("count") >= min_docs_per_theme)
     nth = F.row_number().over(Window.partitionBy("l5_id").orderBy("place"))

@@ -337,7 +337,25 @@ def keyword_overlap(spark, d):
     return ad.table(spark, d, "documents").select("doc_id", F.round(text.overlap(F.col("text"), F.lit("The and thin license, und que zebra x1 the")), 6).alias("score"))
 
 
-@query()
+_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(coalesce({x}, ''), '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), '[ \t\n\x0B\f\r]*\|[ \t\n\x0B\f\r]*', chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _bm25_sql(source: str, keys: str, k: int, chars: int) -> str:
+    """CTEs from ``source`` (keys, text, query) to ``snip`` (keys, snippet)."""
+    using = f"USING ({keys})"
+    return rf"""bq AS (SELECT {keys}, text, list_distinct(regexp_extract_all(lower(query), '[a-z0-9'']+')) AS q, {_SENTENCES.format(x="text")} AS s FROM {source}),
+bx AS (SELECT {keys}, text, q, len(s) AS n, i, s[i] AS sent, regexp_extract_all(lower(s[i]), '[a-z0-9'']+') AS b FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM bq)),
+bm AS (SELECT {keys}, greatest(sum(len(b))::DOUBLE / any_value(n), 1.0) AS m FROM bx GROUP BY {keys}),
+btf AS (SELECT {keys}, i, tok, count(*) AS tf FROM (SELECT {keys}, i, unnest(b) AS tok FROM bx) GROUP BY ALL),
+bdf AS (SELECT {keys}, tok, count(*) AS df FROM btf GROUP BY ALL),
+bt AS (SELECT {keys}, i, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(b) / m))) AS score
+  FROM bx JOIN bm {using} JOIN btf USING ({keys}, i) JOIN bdf USING ({keys}, tok) WHERE list_contains(q, tok) GROUP BY {keys}, i),
+br AS (SELECT bx.*, coalesce(round(bt.score, 9), 0) AS score, row_number() OVER (PARTITION BY {", ".join("bx." + x.strip() for x in keys.split(","))} ORDER BY coalesce(round(bt.score, 9), 0) DESC, i) AS rk FROM bx LEFT JOIN bt USING ({keys}, i)),
+bs AS (SELECT {keys}, max(score) AS best, string_agg(sent, ' ' ORDER BY i) FILTER (rk <= {k}) AS top, string_agg(sent, ' ' ORDER BY i) FILTER (i <= {k}) AS first FROM br GROUP BY {keys}),
+snip AS (SELECT {keys}, substr(CASE WHEN len(s) <= {k} THEN trim(coalesce(text, '')) WHEN len(q) = 0 OR best <= 0 THEN first ELSE top END, 1, {chars}) AS snippet FROM bq LEFT JOIN bs {using})"""
+
+
+@query(f"WITH src AS (SELECT u.conv_id, u.text, a.text AS query FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id WHERE u.turn = 0 AND a.turn = 1), {_bm25_sql('src', 'conv_id', 2, 500)} SELECT conv_id, snippet FROM snip")
 def bm25_scores(spark, d):
     """Compression of each user's message by the first answer of its conversation."""
     c = ad.table(spark, d, "conversations")
@@ -362,7 +380,23 @@ def tfidf_terms(spark, d):
     return th.tfidf(ad.documents_a(spark, d)).groupBy("l5_id", "term").agg(F.sum("tf").alias("tf"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
-@query()
+_W = r"[^\p{{L}}\p{{N}}_]"
+
+
+@query(_tfidf_sql(rf""",
+cls AS (SELECT source AS l5_id, count(*) AS n_cls, (SELECT n FROM n) AS n FROM documents GROUP BY source),
+lt AS (SELECT l5_id, term, sum(weight) AS s FROM x GROUP BY l5_id, term), gt AS (SELECT term, sum(s) AS al FROM lt GROUP BY term),
+dd AS (SELECT l5_id, term, n_cls, s / n_cls - coalesce((al - s) / nullif(n - n_cls, 0), 0) AS dist FROM lt JOIN gt USING (term) JOIN cls USING (l5_id) WHERE n_cls >= 15),
+pl AS (SELECT *, row_number() OVER (PARTITION BY l5_id ORDER BY round(dist, 12) DESC, term) AS place FROM dd WHERE dist > 0),
+tl AS (SELECT l5_id, any_value(n_cls) AS n_cls, list(term ORDER BY place) AS t FROM pl WHERE place <= 25 GROUP BY l5_id),
+kl AS (SELECT l5_id, n_cls, list_reduce(t, lambda acc, y: CASE WHEN len(list_filter(acc, lambda z: contains(z, y) OR contains(y, z))) > 0 THEN acc ELSE list_append(acc, y) END, CAST([] AS VARCHAR[])) AS t FROM tl),
+kt AS (SELECT l5_id, n_cls, t[i] AS term, i AS place FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM kl)),
+doc AS (SELECT CAST(d.doc_id AS VARCHAR) AS cid, source AS l5_id, text, 2.0::DOUBLE + 2 * coalesce(toxic, 0) + (1 - coalesce(quality, 1)) AS severity FROM documents d LEFT JOIN labels USING (doc_id)),
+said AS (SELECT kt.*, cid, text, severity, row_number() OVER (PARTITION BY kt.l5_id, term ORDER BY severity DESC, cid DESC) AS r, count(*) OVER (PARTITION BY kt.l5_id, term) AS cnt
+  FROM doc JOIN kt ON kt.l5_id = doc.l5_id AND regexp_matches(' ' || lower(text) || ' ', '{_W.format()}' || term || '{_W.format()}')),
+th AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l5_id ORDER BY place) AS nth FROM said WHERE r = 1 AND cnt >= 4) WHERE nth <= 5),
+src AS (SELECT l5_id, term, text, term AS query FROM th), {_bm25_sql('src', 'l5_id, term', 1, 200)}
+SELECT l5_id, term AS label, CAST(nth AS INT) AS place, cnt AS count, round(cnt::DOUBLE / n_cls, 6) AS share, snippet AS quote, severity FROM th JOIN snip USING (l5_id, term)"""))
 def subthemes(spark, d):
     return th.subthemes(ad.documents_a(spark, d)).select("l5_id", "label", "place", "count", *r6("share"), "quote", "severity")
 
