@@ -143,6 +143,49 @@ FROM d LEFT JOIN x ON x.r = d.r
 """
 
 
+_BOILER = "regexp_matches({x}, '" + "|".join(quality.BOILERPLATE) + "')"
+_ENDS = ", ".join(f"'{c}'" for c in quality.ENDS)
+SQL_OP6 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT r, i, w[i:i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+p AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, i + unnest([0, 1, 2]) AS k FROM p) GROUP BY r),
+l AS (SELECT r, t, x, trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')) AS y FROM (SELECT r, t, unnest(string_split(t, chr(10))) AS x FROM d)),
+k AS (SELECT *, length(y) - length(replace(y, ' ', '')) + 1 AS n, length(y) - length(regexp_replace(y, '[#*$%&|<>]', '', 'g')) AS symbols, length(y) - length(replace(y, '|', '')) AS bars,
+  length(regexp_replace(y, '[^\p{{L}}]+', '', 'g')) AS letters, length(regexp_replace(y, '[^\p{{Lu}}]+', '', 'g')) AS capitals,
+  right(regexp_replace(y, '["''»”’)\]\s]+$', ''), 1) AS bare FROM l),
+v AS (SELECT *, CASE WHEN y = '' THEN true WHEN bars >= 2 AND bars > 0.2 * n THEN false WHEN symbols > 0.2 * n THEN false
+  WHEN regexp_matches(t, '\p{{Lu}}{{3}}') AND letters >= 8 AND capitals > 0.6 * letters THEN false WHEN {_BOILER.format(x="lower(y)")} THEN false
+  WHEN n < 10 AND right(y, 1) NOT IN ({_ENDS}) AND bare NOT IN ({_ENDS}) THEN false ELSE true END AS ok FROM k),
+s AS (SELECT r, coalesce(sum(length(x)) FILTER (ok), 0)::DOUBLE / nullif(sum(length(x)), 0) AS share, count(*) FILTER (regexp_matches(x, '[^\x20\x09-\x0D]')) - count(DISTINCT x) FILTER (regexp_matches(x, '[^\x20\x09-\x0D]')) AS dup FROM v GROUP BY r),
+o AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(dup AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, coalesce(share, 0) AS share FROM d JOIN w USING (r) JOIN s USING (r) LEFT JOIN c USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND share >= 0.5 AS kept FROM o
+"""
+
+_TERMS = ", ".join(f"({i}, '{n}', '{w}', {x!r}::DOUBLE)" for i, n, w, x in licences.vectors()[0])
+_IDFS = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in licences.idfs().items())
+_CUES = licences.CUES.removeprefix("(?i)")
+SQL_OP5 = rf"""
+WITH tv(template, licence, word, weight) AS (VALUES {_TERMS}), iv(word, idf) AS (VALUES {_IDFS}),
+f AS (SELECT doc_id, text, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || doc_id || '.txt' AS path, concat_ws('/', nullif(source, ''), nullif(lang, '')) AS dir FROM documents),
+l AS (SELECT doc_id, length(text) AS n, line, string_split(text, chr(10))[line] AS x FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM f)),
+q AS (SELECT doc_id, line, length(x)::DOUBLE / n AS share, regexp_extract_all(lower(x), '[a-z0-9]+') AS w FROM l WHERE regexp_matches(x, '{_CUES}', 'i')),
+tf AS (SELECT doc_id, line, share, word, count(*) AS c FROM (SELECT doc_id, line, share, unnest(w) AS word FROM q) GROUP BY ALL),
+x AS (SELECT tf.*, c * coalesce(idf, {licences.vectors()[1]!r}::DOUBLE) AS v FROM tf LEFT JOIN iv USING (word)),
+nm AS (SELECT doc_id, line, sqrt(sum(v * v)) AS norm FROM x GROUP BY ALL),
+dt AS (SELECT doc_id, line, share, template, licence, round(sum(v * weight) / any_value(norm), 6) AS s FROM x JOIN tv USING (word) JOIN nm USING (doc_id, line) GROUP BY ALL),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY s DESC, template) AS k FROM dt WHERE s >= {licences.THRESHOLD}) WHERE k = 1),
+own AS (SELECT doc_id, licence, s, sum(share) OVER (PARTITION BY doc_id) AS share, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, line) AS k FROM b),
+o AS (SELECT f.doc_id, f.path, f.dir, own.licence, own.s, own.share FROM f LEFT JOIN own ON own.doc_id = f.doc_id AND own.k = 1),
+df AS (SELECT * FROM (SELECT dir, licence, s, row_number() OVER (PARTITION BY dir ORDER BY s DESC, licence) AS k FROM o WHERE licence IS NOT NULL AND share >= {licences.FILE_SHARE}) WHERE k = 1)
+SELECT doc_id, path, coalesce(o.licence, df.licence) AS licence, round(coalesce(o.s, df.s), 4) AS similarity,
+  CASE WHEN o.licence IS NOT NULL THEN 'own' WHEN df.licence IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN o.licence IS NULL AND df.licence IS NOT NULL THEN o.dir END AS from_dir
+FROM o LEFT JOIN df USING (dir)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_units": op2_units,
@@ -155,4 +198,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_lm": op10_lm,
 }
-SQL: dict[str, str] = {"op1_chat": SQL_OP1, "op9_decontamination": SQL_OP9, "op10_lm": SQL_OP10}
+SQL: dict[str, str] = {"op1_chat": SQL_OP1, "op5_licences": SQL_OP5, "op6_quality": SQL_OP6, "op9_decontamination": SQL_OP9, "op10_lm": SQL_OP10}
