@@ -32,7 +32,7 @@ SPAN = 50
 #: Length of an anchor. A longer one is seldom repeated by chance, a shorter one leaves fewer anchors.
 GRAM = 28
 #: Occurrences of an anchor beyond which its windows travel one by one.
-HOT = 20_000
+HOT = 4096
 SEGMENT = 1 << 19
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
