@@ -106,7 +106,7 @@ class Vocabulary:
                 rank[a + b] = len(rank)
                 self.split.append((x, y))
             self.joined.setdefault(x << 32 | y, rank[a + b])
-        self.ids = [vocab[t] for t in rank]
+        self.packed = [np.uint32(vocab[t]).tobytes() for t in rank]
         text = [raw(t) for t in rank]
         self.length = [len(t) for t in text]
         place = {t: i for i, t in enumerate(text)}
@@ -115,7 +115,7 @@ class Vocabulary:
         for i, t in enumerate(text):
             self.tokens.add_word(t, i)
         self.tokens.make_automaton()
-        self.single = {t: np.uint32(self.ids[i]).tobytes() for t, i in place.items() if len(t) <= LONG}
+        self.single = {t: self.packed[i] for t, i in place.items() if len(t) <= LONG}
         self.find = regex.compile(PATTERN).findall
         recent = recent_characters()
         self.recent = regex.compile(f"[{recent}]").search if recent else None
@@ -130,11 +130,7 @@ class Vocabulary:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging in rank order leaves ``a`` and ``b`` side by side: undo the later merge again and again, and see
-        whether the tokens at the border would have merged before it."""
-        key = a << 32 | b
-        known = self.pairs.get(key)
-        if known is not None:
-            return known
+        whether the tokens at the border would have merged before it. The answer goes into the table of pairs."""
         x, y, limit, split, joined = a, b, 1 << 40, self.split, self.joined
         while True:
             if joined.get(x << 32 | y, limit) < limit:
@@ -156,14 +152,14 @@ class Vocabulary:
                 break
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        self.pairs[key] = ok
+        self.pairs[a << 32 | b] = ok
         return ok
 
     def piece(self, text: str) -> bytes:
         """The packed ids of one piece; bytes stand as Latin-1 characters."""
         n = len(text)
         longest = [-1] * n
-        length, ids, shorter, compatible = self.length, self.ids, self.shorter, self.compatible
+        length, packed, shorter, pairs, compatible = self.length, self.packed, self.shorter, self.pairs, self.compatible
         for end, token in self.tokens.iter(text):
             at = end + 1 - length[token]
             if longest[at] < 0 or length[longest[at]] < length[token]:
@@ -174,8 +170,12 @@ class Vocabulary:
         while at < n:
             while token >= 0:
                 end = at + length[token]
-                if alive[end] and (not out or compatible(out[-1], token)):
-                    break
+                if alive[end]:
+                    if not out:
+                        break
+                    fits = pairs.get(out[-1] << 32 | token)
+                    if fits or (fits is None and compatible(out[-1], token)):
+                        break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
@@ -186,7 +186,7 @@ class Vocabulary:
                 last = out.pop()
                 at -= length[last]
                 token = shorter[last]
-        return np.array([ids[t] for t in out], np.uint32).tobytes()
+        return b"".join([packed[t] for t in out])
 
     def plain(self, text: str) -> bytes:
         """The packed ids of a text without special tokens."""
