@@ -22,14 +22,14 @@ from .shared import partitions, small_batches
 BATCH_BYTES = 8 << 20
 
 
-def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> tuple[DataFrame, int]:
+def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, each: int = BATCH_BYTES) -> tuple[DataFrame, int]:
     """(b, id, text) with b the batch of each document; the number of batches, which grows with the bytes of text.
 
     Documents of a batch are packed to a few rows of compressed text, which ``in_order`` unpacks. With ``keep`` they stay rows
     of their own, and the whole input row comes along as the struct ``row``.
     """
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = partitions(docs.sparkSession, total, BATCH_BYTES)
+    n = partitions(docs.sparkSession, total, each)
     rest = [F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("row")] if keep else []
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *rest)
     d = d.select(F.pmod(F.xxhash64("id", F.lit("batch")), F.lit(n)).cast("int").alias("b"), *d.columns)

@@ -34,6 +34,8 @@ GRAM = 28
 #: Occurrences of an anchor beyond which its windows travel one by one.
 HOT = 4096
 SEGMENT = 1 << 19
+#: Bytes of text of a batch.
+BATCH = 6 << 20
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -350,7 +352,7 @@ def _apply(n: int, span: int, gram: int):
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans, kept): the byte spans removed and the bytes left, one row per row of ``docs``."""
-    d, n = batched(docs, id_col, text_col)
+    d, n = batched(docs, id_col, text_col, each=BATCH)
     by = d.groupBy("b")
     flags = by.applyInArrow(_send_keys(n, span, gram), ROW).groupBy("bucket").applyInArrow(_answer_keys(hot), ROW)
     pieces = by.cogroup(flags.groupBy("b")).applyInArrow(_send_pieces(n, span, gram), ROW)
