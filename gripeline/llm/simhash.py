@@ -10,9 +10,15 @@
 5. Links found below one node are reduced there to a star on the node's smallest id, so no node emits all its pairs.
    Connected components over the stars then run as joins.
 
-Step 3 loses nothing but is only affordable for few bits. ``near_duplicates(..., bands=True)`` is for wider radii, as a share of
-equal bits of 0.8 asks for (12 of 64): there the upper nodes are bands of minimum shingle hashes instead of bit masks, which two
-texts of high Jaccard similarity share almost surely (at 0.8: 16 bands of 4, all but 0.02 %), and steps 4 and 5 stay as they are.
+Step 3 loses nothing but is only affordable for few bits. ``near_duplicates(..., bands=True)`` is for similar texts that differ in
+more: there fingerprints decide nothing, and exactly those texts are linked whose sets of shingles have a Jaccard similarity of
+``similarity`` or more. Shingles are told apart, and sets collapsed, by 64 bits of hash; the rest is exact:
+
+1. Shingles stand in one order of all texts, rare ones first. Of two sets that similar, each has one of the other's shingles among
+   its first ``n - ceil(similarity * n) + 1`` (prefix filter), and sizes and places of the first such shingle bound what they share.
+2. Below a shingle that more than CROWD prefixes have, each set first meets its neighbour and a few leaders. What is linked then
+   need not meet again, so a large group of near copies costs no square of its size.
+3. All other pairs below a shingle that are not yet in one component are compared by their whole sets.
 
 An upper node with more than ``hot`` fingerprints is split: its members fall into s parts, and each pair of parts is one piece
 of work. Nulls and texts without words have fingerprint zero and are linked like any other; repeated rows share a fingerprint
@@ -64,25 +70,15 @@ def majority(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
     return out
 
 
-BANDS, ROWS = 16, 4
-_RNG = np.random.default_rng(7)
-_FLIP = _RNG.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
-_TIMES = _RNG.integers(1 << 62, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
+#: Shingles known to be frequent, at most, and from how many occurrences; prefixes below one shingle that meet pair by pair; leaders.
+FREQUENT, FROM, CROWD, LEADERS = 1 << 17, 32, 32, 3
+#: Up to so many rows the names of the sets to compare are broadcast, else dealt out by hash.
+BROADCAST_ROWS = 1_000_000
 
-def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each run of ``hashes`` the keys of its bands: each mixes the smallest of the run's hashes under ROWS permutations."""
-    out = np.zeros((len(starts), BANDS), np.uint64)
-    for i in range(BANDS * ROWS):
-        least = np.minimum.reduceat((hashes ^ _FLIP[i]) * _TIMES[i], starts)
-        out[:, i // ROWS] = (out[:, i // ROWS] ^ least) * _TIMES[i // ROWS]
-        out[:, i // ROWS] ^= out[:, i // ROWS] >> np.uint64(31)
-    return out
 
-
-def _of_texts(texts: list, size: int, bands: bool = False) -> tuple[np.ndarray, list]:
+def _of_texts(texts: list, size: int, sets: bool = False) -> tuple[np.ndarray, list]:
     out = np.zeros(len(texts), np.uint64)
-    keys: list[list[int]] = [[] for _ in texts]
+    found: list[np.ndarray] = []
     at = 0
     while at < len(texts):  # some 200,000 shingles at a time
         hashes, n, first = [], 0, at
@@ -94,26 +90,183 @@ def _of_texts(texts: list, size: int, bands: bool = False) -> tuple[np.ndarray,
         full = np.flatnonzero(sizes)
         if len(full):
             starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-            every = np.concatenate(hashes)
-            out[first + full] = majority(every, starts, sizes[full].astype(np.uint64))
-            if bands:
-                for i, k in zip((first + full).tolist(), band_keys(every, starts).view(np.int64).tolist(), strict=True):
-                    keys[i] = k
-    return out, keys
+            out[first + full] = majority(np.concatenate(hashes), starts, sizes[full].astype(np.uint64))
+        if sets:
+            found += [np.unique(h) for h in hashes]
+    return out, found
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text", bands: bool = False) -> DataFrame:
-    """(id, fp): the 64-bit fingerprint as a signed long; with ``bands`` also the band keys, an array of longs."""
+    """(id, fp): the 64-bit fingerprint as a signed long; with ``bands`` also the sorted set of shingle hashes h and its name, a hash."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for b in parts(batches, "text", 4 << 20):
-            fp, keys = _of_texts(b.column(1).to_pylist(), shingle_words, bands)
-            more = [pa.array(keys, pa.list_(pa.int64()))] if bands else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *more], names=["id", "fp", "bands"][: 2 + bands])
+            fp, sets = _of_texts(b.column(1).to_pylist(), shingle_words, bands)
+            raw = [h.tobytes() for h in sets]
+            name = np.array([xxhash.xxh64_intdigest(h, SEED) for h in raw], np.uint64).view(np.int64)
+            more = [pa.array(name), pa.array(raw, pa.binary())] if bands else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *more], names=["id", "fp", "node", "h"][: 2 + len(more)])
 
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, "id long, fp long, bands array<long>" if bands else "id long, fp long")
+    return d.mapInArrow(run, "id long, fp long, node long, h binary" if bands else "id long, fp long")
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(h, np.uint64) for h in column.to_pylist()]
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, c) of the shingles that occur more than once in some two million."""
+    held: list[np.ndarray] = []
+    n = 0
+
+    def counted() -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1].astype(np.int64))], names=["h", "c"])
+
+    for b in batches:
+        held += _sets(b.column(0))
+        n += sum(map(len, held[-b.num_rows :])) if b.num_rows else 0
+        if n >= 2_000_000:
+            yield counted()
+            held, n = [], 0
+    yield counted()
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
+
+
+def _prefixes(known, similarity: float):
+    """Rows (node, h) to (k, node, n, place): the first shingles of each set, in order of frequency and hash; each set once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, counts = (np.frombuffer(x, np.uint64) for x in known.value)
+        seen: set[int] = set()
+        for b in batches:
+            k, node, n, place = [], [], [], []
+            for name, h in zip(b.column(0).to_pylist(), _sets(b.column(1)), strict=True):
+                if not len(h) or name in seen:
+                    continue
+                seen.add(name)
+                p = prefix_length(len(h), similarity)
+                at = np.searchsorted(frequent, h)
+                c = np.where(frequent[np.minimum(at, len(frequent) - 1)] == h, counts[np.minimum(at, len(frequent) - 1)], 0) if len(frequent) else np.zeros(len(h))
+                first = np.argsort(c, kind="stable")[:p]  # h is sorted
+                k.append(h[first])
+                node.append(np.full(len(first), name))
+                n.append(np.full(len(first), len(h), np.int32))
+                place.append(np.arange(len(first), dtype=np.int32))
+            if k:
+                k = np.concatenate(k).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(np.concatenate(x)) for x in (node, n, place))], names=["k", "node", "n", "place"])
+
+    return run
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by their first, in blocks of about 100,000 rows that split no group."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for b in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        n += b.num_rows
+        if n >= 100_000:
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if last:
+                yield [c[:last] for c in cols]
+                cols = [c[last:].copy() for c in cols]
+            held, n = [cols], len(cols[0])
+    if held and n:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (k, node, n, place) without repeated ones and without those that are alone under their k."""
+    for k, node, n, place in _whole_groups(batches):
+        new = np.r_[True, (k[1:] != k[:-1]) | (node[1:] != node[:-1])]
+        k, node, n, place = k[new], node[new], n[new], place[new]
+        many = np.r_[False, k[1:] == k[:-1]]
+        many |= np.r_[k[1:] == k[:-1], False]
+        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (k, node, n, place)], names=["k", "node", "n", "place"])
+
+
+def _candidates(similarity: float, crowds: bool, step: int = 1 << 20):
+    """Sorted rows (k, node, n, place, c) to pairs (a, b) of different c that may be similar; of crowds only neighbours and leaders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, node, n, place, c in _whole_groups(batches):
+            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            sizes = np.diff(np.append(starts, len(k)))
+            every = np.arange(len(k))
+            lo = np.repeat(starts, sizes)
+            if crowds:
+                every = every[np.repeat(sizes > CROWD, sizes)]
+            work = np.cumsum(every - lo[every])
+            at = 0
+            while at < len(every):
+                to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + step)))
+                q = every[at:to]
+                at = to
+                if crowds:
+                    i, j = np.tile(q, LEADERS + 1), np.concatenate([q - 1, *(lo[q] + x for x in range(LEADERS))])
+                    i, j = i[(j < i) & (j >= lo[i])], j[(j < i) & (j >= lo[i])]
+                else:
+                    i, j = _expand(lo[q], q)
+                    i = q[i]
+                may = (c[i] != c[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) * (1 + similarity) >= (n[i].astype(np.int64) + n[j]) * similarity - 1e-9)
+                if may.any():
+                    pairs = np.unique(np.stack([np.minimum(node[i[may]], node[j[may]]), np.maximum(node[i[may]], node[j[may]])]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return run
+
+
+def _similar(similarity: float):
+    """Rows (a, b, x, y) to those (a, b) whose sets x and y are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for x, y in zip(_sets(b.column(2)), _sets(b.column(3)), strict=True):
+                both = np.sort(np.concatenate([x, y]), kind="stable")
+                n = int((both[1:] == both[:-1]).sum())
+                near.append(n >= similarity * (len(x) + len(y) - n) - 1e-9)
+            near = pa.array(near, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], names=["a", "b"])
+
+    return run
+
+
+def similar_links(sets: DataFrame, similarity: float, cuts: Cuts) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (a, b) that connect exactly those nodes of ``sets`` (node, h) linked by sets of that Jaccard similarity; tables to drop."""
+    spark = sets.sparkSession
+    often = sets.select("h").mapInArrow(_frequent, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FROM)
+    often = often.orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
+    h, c = (often.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+    order = np.argsort(h)
+    known = spark.sparkContext.broadcast((h[order].tobytes(), c[order].tobytes()))
+    keyed = sets.select("node", "h").mapInArrow(_prefixes(known, similarity), "k long, node long, n int, place int")
+    keyed = cuts.cut(keyed.repartition("k").sortWithinPartitions("k", "node").mapInArrow(_shared_keys, "k long, node long, n int, place int"))
+    needed = cuts.cut(keyed.select("node").distinct())
+    names = F.broadcast(needed) if needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else needed
+    whole = cuts.cut(sets.select("node", "h").join(names, "node", "left_semi").dropDuplicates(["node"]))
+
+    def compare(groups: DataFrame, crowds: bool) -> DataFrame:
+        rows = groups.select("k", "node", "n", "place", "c").repartition("k").sortWithinPartitions("k", "node")
+        pairs = cuts.cut(rows.mapInArrow(_candidates(similarity, crowds), "a long, b long").distinct())
+        two = pairs.join(whole.select(F.col("node").alias("b"), F.col("h").alias("y")), "b").join(whole.select(F.col("node").alias("a"), F.col("h").alias("x")), "a")
+        return cuts.cut(two.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"))
+
+    first = compare(keyed.withColumn("c", F.col("node")), True)
+    linked = connected_components(first, cuts)
+    rest = compare(keyed.join(linked, "node", "left").withColumn("c", F.coalesce("component", "node")), False)
+    cuts.drop(keyed, needed, whole)
+    return first.unionByName(rest), [first, rest]
 
 
 def masks(bits: int, blocks: int) -> list[int]:
@@ -274,22 +427,31 @@ def grouped_links(keyed: DataFrame, bits: int, cuts: Cuts, hot: int = 8192) -> D
 
 
 def near_duplicates(
-    docs: DataFrame, bits: int = 4, blocks: int = 6, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text", bands: bool = False
-) -> DataFrame:
+    docs: DataFrame, bits: int = 4, blocks: int = 6, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text", bands: bool = False,
+    similarity: float = 0.8,
+) -> DataFrame:
     """(doc_id, fp, component_id): one row per row of ``docs``; the component is the smallest id reachable over links.
 
-    ``bands``: look for links below shared bands of minimum hashes, for radii too wide for ``blocks`` bit blocks.
+    ``bands``: links are the pairs of texts with a Jaccard similarity of ``similarity`` or more, whatever bits their fingerprints
+    differ in; ``bits`` and ``blocks`` are not read then.
     """
     cuts = Cuts(docs.sparkSession, "simhash")
     fps = cuts.cut(fingerprints(docs, shingle_words, id_col, text_col, bands))
-    items = cuts.cut(fps.groupBy("fp").agg(F.min("id").alias("id")))
-    if bands:
-        keyed = fps.select("fp", F.explode("bands").alias("k")).distinct().join(items, "fp").select("k", "fp", "id")
-        edges = cuts.cut(grouped_links(keyed, bits, cuts))
-    else:
+    if not bands:
+        items = cuts.cut(fps.groupBy("fp").agg(F.min("id").alias("id")))
         edges = cuts.cut(index_links(items, bits, blocks, cuts))
-    found = connected_components(edges, cuts)
-    named = cuts.cut(items.join(found, items["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id")))
-    cuts.drop(items, edges)
+        found = connected_components(edges, cuts)
+        named = cuts.cut(items.join(found, items["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id")))
+        cuts.drop(items, edges)
+    else:
+        sets, fps = fps, cuts.cut(fps.select("id", "fp", "node"))
+        edges, tables = similar_links(sets, similarity, cuts)
+        found = connected_components(edges, cuts)
+        cuts.drop(sets, *tables)
+        items = fps.groupBy("node").agg(F.min("id").alias("id"))
+        items = cuts.cut(items.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")))
+        least = items.groupBy("component").agg(F.min("id").alias("component_id"))
+        named = cuts.cut(items.select("node", "component").join(least, "component").select("node", "component_id"))
+        cuts.drop(items)
     none = F.lit(NO_ID)
-    return fps.join(named, "fp").select(F.nullif("id", none).alias("doc_id"), "fp", F.nullif("component_id", none).alias("component_id"))
+    return fps.join(named, "node" if bands else "fp").select(F.nullif("id", none).alias("doc_id"), "fp", F.nullif("component_id", none).alias("component_id"))

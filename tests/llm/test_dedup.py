@@ -101,6 +101,38 @@ def test_bands_catch_similar_texts(spark):
     assert sum(got[100 + i] == i for i in range(40)) >= 38 and all(got[i] == i for i in range(40))
 
 
+@pytest.mark.parametrize("crowd", [32, 2])
+def test_similar_texts_against_brute_force(spark, monkeypatch, crowd):
+    """Links are the pairs of Jaccard similarity 0.8 or more, at the border and in crowds too, and no others."""
+    monkeypatch.setattr(simhash, "CROWD", crowd, raising=False)
+    monkeypatch.setattr(simhash, "FROM", 8, raising=False)
+    r = random.Random(9)
+    sets = lambda t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set()
+    rows = [(-i, t) for i, t in enumerate([None, "", "one", "One", "one two three four", "one two three four five"], 1)]
+    shared = " ".join(r.choices(WORDS, k=20))
+    for i in range(150):
+        w = r.choices(WORDS, k=r.choice([12, 30, 60, 200]))
+        t = w if i % 3 else [*w, *shared.split()]
+        rows.append((i, " ".join(t)))
+        u = list(t)
+        for _ in range(max(1, round(len(u) * r.choice([0.005, 0.02, 0.025, 0.03]) + r.random() - 0.5))):
+            u[r.randrange(len(u))] = "edit"
+        rows.append((1000 + i, " ".join(u)))
+        rows.append((2000 + i, " ".join(t[: len(t) - round(len(t) * r.choice([0.15, 0.19, 0.2, 0.21]))])))
+    base = r.choices(WORDS, k=80)
+    for i in range(90):  # many near copies of one text, not all of each other
+        w = list(base)
+        for _ in range(i % 4):
+            w[r.randrange(80)] = f"e{r.randrange(3)}"
+        rows.append((4000 + i, " ".join(w)))
+    found = [(i, sets(t)) for i, t in rows]
+    pairs = [(a, b) for n, (a, x) in enumerate(found) for b, y in found[:n] if x == y or 5 * len(x & y) >= 4 * len(x | y)]
+    want = components(pairs, {i for i, _ in rows})
+    assert 150 < len(set(want.values())) < len(rows) - 100
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bits=12, shingle_words=5, bands=True).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == want and len(got) == len(rows)
+
+
 def test_chain_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)] + [(200, 300 + i) for i in range(50)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges, Cuts(spark, "test")).collect()}
