@@ -33,7 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import LOWER_ASCII, Cuts, connected_components, parts, small_batches
@@ -96,8 +96,13 @@ def _of_texts(texts: list, size: int, sets: bool = False) -> tuple[np.ndarray, l
     return out, found
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """(id, row), never null: the id or NO_ID, and a hash of the text. Rows that agree in both are repeated rows."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("row")]
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text", bands: bool = False) -> DataFrame:
-    """(id, fp): the 64-bit fingerprint as a signed long; with ``bands`` also the sorted set of shingle hashes h and its name, a hash."""
+    """(id, fp): the 64-bit fingerprint as a signed long; with ``bands`` also row, a hash of the text, the sorted set of shingle hashes h and its name, a hash."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,11 +112,11 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id"
             fp, sets = _of_texts(b.column(1).to_pylist(), shingle_words, bands)
             raw = [h.tobytes() for h in sets]
             name = np.array([xxhash.xxh64_intdigest(h, SEED) for h in raw], np.uint64).view(np.int64)
-            more = [pa.array(name), pa.array(raw, pa.binary())] if bands else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *more], names=["id", "fp", "node", "h"][: 2 + len(more)])
+            more = [b.column(2), pa.array(name), pa.array(raw, pa.binary())] if bands else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *more], names=["id", "fp", "row", "node", "h"][: 2 + len(more)])
 
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, "id long, fp long, node long, h binary" if bands else "id long, fp long")
+    d = docs.select(row_key(id_col, text_col)[0], F.col(text_col).alias("text"), *([row_key(id_col, text_col)[1]] if bands else []))
+    return d.mapInArrow(run, "id long, fp long, row long, node long, h binary" if bands else "id long, fp long")
 
 
 def _sets(column: pa.Array) -> list[np.ndarray]:
@@ -435,23 +440,33 @@ def near_duplicates(
     ``bands``: links are the pairs of texts with a Jaccard similarity of ``similarity`` or more, whatever bits their fingerprints
     differ in; ``bits`` and ``blocks`` are not read then.
     """
-    cuts = Cuts(docs.sparkSession, "simhash")
-    fps = cuts.cut(fingerprints(docs, shingle_words, id_col, text_col, bands))
-    if not bands:
-        items = cuts.cut(fps.groupBy("fp").agg(F.min("id").alias("id")))
-        edges = cuts.cut(index_links(items, bits, blocks, cuts))
-        found = connected_components(edges, cuts)
-        named = cuts.cut(items.join(found, items["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id")))
-        cuts.drop(items, edges)
-    else:
-        sets, fps = fps, cuts.cut(fps.select("id", "fp", "node"))
-        edges, tables = similar_links(sets, similarity, cuts)
-        found = connected_components(edges, cuts)
-        cuts.drop(sets, *tables)
-        items = fps.groupBy("node").agg(F.min("id").alias("id"))
-        items = cuts.cut(items.join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")))
-        least = items.groupBy("component").agg(F.min("id").alias("component_id"))
-        named = cuts.cut(items.select("node", "component").join(least, "component").select("node", "component_id"))
-        cuts.drop(items)
     none = F.lit(NO_ID)
-    return fps.join(named, "node" if bands else "fp").select(F.nullif("id", none).alias("doc_id"), "fp", F.nullif("component_id", none).alias("component_id"))
+    out = [F.nullif("id", none).alias("doc_id"), "fp", F.nullif("component_id", none).alias("component_id")]
+    cuts = Cuts(docs.sparkSession, "simhash")
+    if bands:
+        found = _similar_groups(docs, similarity, shingle_words, id_col, text_col, cuts)
+        least = found.groupBy("component").agg(F.min("id").alias("component_id"))
+        return found.join(least, "component").select(*out)
+    fps = cuts.cut(fingerprints(docs, shingle_words, id_col, text_col))
+    items = cuts.cut(fps.groupBy("fp").agg(F.min("id").alias("id")))
+    edges = cuts.cut(index_links(items, bits, blocks, cuts))
+    found = connected_components(edges, cuts)
+    named = cuts.cut(items.join(found, items["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id")))
+    cuts.drop(items, edges)
+    return fps.join(named, "fp").select(*out)
+
+
+def _similar_groups(docs: DataFrame, similarity: float, shingle_words: int, id_col: str, text_col: str, cuts: Cuts) -> DataFrame:
+    """(id, row, fp, component): one row per row of ``docs``; a component is named by a node, so it needs no id."""
+    sets = cuts.cut(fingerprints(docs, shingle_words, id_col, text_col, bands=True))
+    fps = cuts.cut(sets.select("id", "row", "fp", "node"))
+    edges, tables = similar_links(sets, similarity, cuts)
+    found = connected_components(edges, cuts)
+    cuts.drop(sets, *tables)
+    return cuts.cut(fps.join(found, "node", "left").select("id", "row", "fp", F.coalesce("component", "node").alias("component")))
+
+
+def first_of_similar(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, row) as of ``row_key``: of each group of similar texts the row of smallest id, those without an id last, then of smallest hash."""
+    found = _similar_groups(docs, similarity, shingle_words, id_col, text_col, Cuts(docs.sparkSession, "simhash"))
+    return found.groupBy("component").agg(F.min(F.struct("id", "row")).alias("first")).select("first.id", "first.row")

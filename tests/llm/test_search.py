@@ -146,6 +146,25 @@ def test_pipeline(spark):
     assert {r["doc_id"]: bytes(r["ids"]) for r in corpus_pipeline.run(spark, DIR).collect()} == {i: bytes(r["ids"]) for i, r in five.items()}
 
 
+def test_pipeline_null_and_equal_ids(spark):
+    """Rows without an id or of equal ids are judged by their own texts in each stage."""
+    r = random.Random(3)
+    make = lambda n=60: " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(n)) + "."
+    a, b, c, d, e, f = (make() for _ in range(6))
+    leak = max((x["text"] for x in spark.read.parquet(f"{DIR}/benchmark.parquet").collect() if x["text"]), key=len)
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    run = lambda stage, rows: sorted([(x["doc_id"], x["text"]) for x in stage(spark, frame(rows), DIR).collect()], key=key)
+    rows = [(None, a), (None, b), (7, c), (7, d), (None, e), (3, e + " x"), (None, f), (None, f), (9, c)]
+    assert run(corpus_pipeline.quality_rules, rows) == sorted(rows, key=key)
+    assert run(corpus_pipeline.near_duplicates, rows) == sorted([(None, a), (None, b), (7, c), (7, d), (3, e + " x"), (None, f)], key=key)
+    rows = [(None, a), (None, leak), (7, b), (7, leak), (8, leak), (9, c)]
+    assert run(corpus_pipeline.benchmark_leaks, rows) == sorted([(None, a), (7, b), (9, c)], key=key)
+    rows = [(None, a), (None, b), (7, c), (7, d)]
+    assert run(corpus_pipeline.repeated_passages, rows) == sorted(rows, key=key)
+    assert len(corpus_pipeline.tokens(spark, frame(rows), DIR).collect()) == 4
+
+
 def test_pipeline_on_nothing(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
