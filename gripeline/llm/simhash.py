@@ -18,7 +18,8 @@ more: there fingerprints decide nothing, and exactly those texts are linked whos
    its first ``n - ceil(similarity * n) + 1`` (prefix filter), and sizes and places of the first such shingle bound what they share.
 2. Below a shingle that more than CROWD prefixes have, each set first meets its neighbour and a few leaders. What is linked then
    need not meet again, so a large group of near copies costs no square of its size.
-3. All other pairs below a shingle that are not yet in one component are compared by their whole sets.
+3. All other pairs below a shingle that are not yet in one component are compared by their whole sets, unless the counts of their
+   hashes in 256 buckets rule that out. Sets are built anew from the texts for that, as all of them take more disk than the texts.
 
 An upper node with more than ``hot`` fingerprints is split: its members fall into s parts, and each pair of parts is one piece
 of work. Nulls and texts without words have fingerprint zero and are linked like any other; repeated rows share a fingerprint
@@ -101,75 +102,89 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("row")]
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text", bands: bool = False) -> DataFrame:
-    """(id, fp): the 64-bit fingerprint as a signed long; with ``bands`` also row, a hash of the text, the sorted set of shingle hashes h and its name, a hash."""
+def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp): the 64-bit fingerprint as a signed long."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches, "text", 4 << 20):
+            fp, _ = _of_texts(b.column(1).to_pylist(), shingle_words)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
+
+    return docs.select(row_key(id_col, text_col)[0], F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+
+
+SET = "id long, row long, fp long, node long, n int, first binary, spread binary"
+
+
+def shingle_sets(docs: DataFrame, known, similarity: float, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
+    """SET: besides id, row and fp a hash that names the set, its size, its first shingles, and how its hashes spread over 256 buckets."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        frequent, counts = (np.frombuffer(x, np.uint64) for x in known.value)
         for b in parts(batches, "text", 4 << 20):
-            fp, sets = _of_texts(b.column(1).to_pylist(), shingle_words, bands)
-            raw = [h.tobytes() for h in sets]
-            name = np.array([xxhash.xxh64_intdigest(h, SEED) for h in raw], np.uint64).view(np.int64)
-            more = [b.column(2), pa.array(name), pa.array(raw, pa.binary())] if bands else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *more], names=["id", "fp", "row", "node", "h"][: 2 + len(more)])
+            fp, sets = _of_texts(b.column(2).to_pylist(), shingle_words, True)
+            name = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+            first = [h[_order(h, frequent, counts)[: prefix_length(len(h), similarity)]].tobytes() if len(h) else b"" for h in sets]
+            spread = [np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for h in sets]
+            more = [pa.array(name), pa.array([len(h) for h in sets], pa.int32()), pa.array(first, pa.binary()), pa.array(spread, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64)), *more], names=[x.split()[0] for x in SET.split(", ")])
 
-    d = docs.select(row_key(id_col, text_col)[0], F.col(text_col).alias("text"), *([row_key(id_col, text_col)[1]] if bands else []))
-    return d.mapInArrow(run, "id long, fp long, row long, node long, h binary" if bands else "id long, fp long")
+    return docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text")).mapInArrow(run, SET)
+
+
+def _order(h: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of the sorted hashes h in order of known frequency and hash."""
+    if not len(frequent):
+        return np.arange(len(h))
+    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+    return np.argsort(np.where(frequent[at] == h, counts[at], 0), kind="stable")
 
 
 def _sets(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(h, np.uint64) for h in column.to_pylist()]
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, c) of the shingles that occur more than once in some two million."""
-    held: list[np.ndarray] = []
-    n = 0
+def _frequent(size: int):
+    """Rows (text) to (h, c) of the shingles that occur more than once in some two million."""
 
-    def counted() -> pa.RecordBatch:
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         h, c = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1].astype(np.int64))], names=["h", "c"])
 
-    for b in batches:
-        held += _sets(b.column(0))
-        n += sum(map(len, held[-b.num_rows :])) if b.num_rows else 0
-        if n >= 2_000_000:
-            yield counted()
-            held, n = [], 0
-    yield counted()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
+        for b in parts(batches, "text", 4 << 20):
+            for t in b.column(0).to_pylist():
+                held.append(np.unique(shingle_hashes(t, size)))
+                n += len(held[-1])
+                if n >= 2_000_000:
+                    yield counted(held)
+                    held, n = [], 0
+        yield counted(held)
+
+    return run
 
 
 def prefix_length(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1
 
 
-def _prefixes(known, similarity: float):
-    """Rows (node, h) to (k, node, n, place): the first shingles of each set, in order of frequency and hash; each set once a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts = (np.frombuffer(x, np.uint64) for x in known.value)
-        seen: set[int] = set()
-        for b in batches:
-            k, node, n, place = [], [], [], []
-            for name, h in zip(b.column(0).to_pylist(), _sets(b.column(1)), strict=True):
-                if not len(h) or name in seen:
-                    continue
-                seen.add(name)
-                p = prefix_length(len(h), similarity)
-                at = np.searchsorted(frequent, h)
-                c = np.where(frequent[np.minimum(at, len(frequent) - 1)] == h, counts[np.minimum(at, len(frequent) - 1)], 0) if len(frequent) else np.zeros(len(h))
-                first = np.argsort(c, kind="stable")[:p]  # h is sorted
-                k.append(h[first])
-                node.append(np.full(len(first), name))
-                n.append(np.full(len(first), len(h), np.int32))
-                place.append(np.arange(len(first), dtype=np.int32))
-            if k:
-                k = np.concatenate(k).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(np.concatenate(x)) for x in (node, n, place))], names=["k", "node", "n", "place"])
-
-    return run
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, n, first) to (k, node, n, place), a row for each first shingle; each set once a task."""
+    seen: set[int] = set()
+    for b in batches:
+        rows = []
+        for node, n, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _sets(b.column(2)), strict=True):
+            if len(first) and node not in seen:
+                seen.add(node)
+                rows.append((first.view(np.int64), np.full(len(first), node), np.full(len(first), n, np.int32), np.arange(len(first), dtype=np.int32)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["k", "node", "n", "place"])
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -231,13 +246,32 @@ def _candidates(similarity: float, crowds: bool, step: int = 1 << 20):
     return run
 
 
-def _similar(similarity: float):
-    """Rows (a, b, x, y) to those (a, b) whose sets x and y are similar."""
+def _spreads(similarity: float):
+    """Rows (a, b, x, y, n, m) to those (a, b) that may be similar: sets share at most the lesser count of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = []
-            for x, y in zip(_sets(b.column(2)), _sets(b.column(3)), strict=True):
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, 256) for i in (2, 3))
+            least = np.minimum(x, y)
+            n = b.column(4).to_numpy().astype(np.int64) + b.column(5).to_numpy()
+            may = pa.array((least.sum(1, dtype=np.int64) * (1 + similarity) >= n * similarity - 1e-9) | (least == 255).any(1))  # 255: or more
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(may), b.column(1).filter(may)], names=["a", "b"])
+
+    return run
+
+
+def _similar(similarity: float, size: int):
+    """Rows (a, b, x, y) to those (a, b) whose texts x and y have similar sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near, a, x = [], None, None
+            for one, s, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if one != a:
+                    a, x = one, np.unique(shingle_hashes(s, size))
+                y = np.unique(shingle_hashes(t, size))
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 n = int((both[1:] == both[:-1]).sum())
                 near.append(n >= similarity * (len(x) + len(y) - n) - 1e-9)
@@ -247,31 +281,44 @@ def _similar(similarity: float):
     return run
 
 
-def similar_links(sets: DataFrame, similarity: float, cuts: Cuts) -> tuple[DataFrame, list[DataFrame]]:
-    """Edges (a, b) that connect exactly those nodes of ``sets`` (node, h) linked by sets of that Jaccard similarity; tables to drop."""
-    spark = sets.sparkSession
-    often = sets.select("h").mapInArrow(_frequent, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= FROM)
-    often = often.orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
+def frequent_shingles(docs: DataFrame, shingle_words: int, text_col: str):
+    """A broadcast of the hashes of the most frequent shingles, sorted, and their counts; it only sets an order, so it may miss some."""
+    small_batches(docs.sparkSession)
+    often = docs.select(F.col(text_col).alias("text")).mapInArrow(_frequent(shingle_words), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    often = often.where(F.col("c") >= FROM).orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
     h, c = (often.column(i).to_numpy().view(np.uint64) for i in (0, 1))
     order = np.argsort(h)
-    known = spark.sparkContext.broadcast((h[order].tobytes(), c[order].tobytes()))
-    keyed = sets.select("node", "h").mapInArrow(_prefixes(known, similarity), "k long, node long, n int, place int")
+    return docs.sparkSession.sparkContext.broadcast((h[order].tobytes(), c[order].tobytes()))
+
+
+def similar_links(docs: DataFrame, sets: DataFrame, similarity: float, shingle_words: int, text_col: str, cuts: Cuts) -> DataFrame:
+    """Edges (a, b) that connect exactly those nodes of ``sets`` (of ``docs``) linked by sets of that Jaccard similarity."""
+    keyed = sets.select("node", "n", "first").mapInArrow(_keys, "k long, node long, n int, place int")
     keyed = cuts.cut(keyed.repartition("k").sortWithinPartitions("k", "node").mapInArrow(_shared_keys, "k long, node long, n int, place int"))
-    needed = cuts.cut(keyed.select("node").distinct())
-    names = F.broadcast(needed) if needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else needed
-    whole = cuts.cut(sets.select("node", "h").join(names, "node", "left_semi").dropDuplicates(["node"]))
+    of = cuts.cut(sets.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("spread").alias("spread")))
+
+    def both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+        for node, new in (("b", "2"), ("a", "1")):
+            pairs = pairs.join(table.select(F.col("node").alias(node), *(F.col(c).alias(c + new) for c in columns)), node)
+        return pairs
 
     def compare(groups: DataFrame, crowds: bool) -> DataFrame:
         rows = groups.select("k", "node", "n", "place", "c").repartition("k").sortWithinPartitions("k", "node")
-        pairs = cuts.cut(rows.mapInArrow(_candidates(similarity, crowds), "a long, b long").distinct())
-        two = pairs.join(whole.select(F.col("node").alias("b"), F.col("h").alias("y")), "b").join(whole.select(F.col("node").alias("a"), F.col("h").alias("x")), "a")
-        return cuts.cut(two.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"))
+        pairs = rows.mapInArrow(_candidates(similarity, crowds), "a long, b long").distinct()
+        pairs = cuts.cut(both(pairs, of, "n", "spread").select("a", "b", "spread1", "spread2", "n1", "n2").mapInArrow(_spreads(similarity), "a long, b long"))
+        needed = cuts.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(of.select("node", "row"), "node"))
+        names = F.broadcast(needed) if needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else needed
+        texts = docs.select(F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).join(names, "row").select("node", "text")
+        texts = cuts.cut(texts.groupBy("node").agg(F.min("text").alias("text")))
+        out = cuts.cut(both(pairs, texts, "text").select("a", "b", "text1", "text2").mapInArrow(_similar(similarity, shingle_words), "a long, b long"))
+        cuts.drop(pairs, needed, texts)
+        return out
 
     first = compare(keyed.withColumn("c", F.col("node")), True)
     linked = connected_components(first, cuts)
     rest = compare(keyed.join(linked, "node", "left").withColumn("c", F.coalesce("component", "node")), False)
-    cuts.drop(keyed, needed, whole)
-    return first.unionByName(rest), [first, rest]
+    cuts.drop(keyed, of)
+    return first.unionByName(rest)
 
 
 def masks(bits: int, blocks: int) -> list[int]:
@@ -458,11 +505,10 @@ def near_duplicates(
 
 def _similar_groups(docs: DataFrame, similarity: float, shingle_words: int, id_col: str, text_col: str, cuts: Cuts) -> DataFrame:
     """(id, row, fp, component): one row per row of ``docs``; a component is named by a node, so it needs no id."""
-    sets = cuts.cut(fingerprints(docs, shingle_words, id_col, text_col, bands=True))
-    fps = cuts.cut(sets.select("id", "row", "fp", "node"))
-    edges, tables = similar_links(sets, similarity, cuts)
-    found = connected_components(edges, cuts)
-    cuts.drop(sets, *tables)
+    known = frequent_shingles(docs, shingle_words, text_col)
+    sets = cuts.cut(shingle_sets(docs, known, similarity, shingle_words, id_col, text_col))
+    fps = sets.select("id", "row", "fp", "node")
+    found = connected_components(similar_links(docs, sets, similarity, shingle_words, text_col, cuts), cuts)
     return cuts.cut(fps.join(found, "node", "left").select("id", "row", "fp", F.coalesce("component", "node").alias("component")))
 
 
