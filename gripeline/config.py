@@ -27,6 +27,8 @@ class Config:
     curated_cap: int = 30
     tiers: tuple[tuple[str, float], ...] = (("very_high", 0.85), ("high", 0.60), ("fair", 0.35))
     top_n: int = 10
+    #: Dimension values that the report lists, those of most support.
+    hotspots_shown: int = 100
     exemplar_k: int = 3
     compress_sentences: int = 2
     snippet_chars: int = 500

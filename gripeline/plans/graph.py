@@ -1,7 +1,9 @@
 """The property graph as three versioned Parquet tables: nodes, edges, runs.
 
-A version is a directory; ``CURRENT`` names the one to read. An update reads the current version, merges, writes the next one and
-then swaps the pointer, so readers never see half an update and old versions are the snapshots.
+A version is a directory, ``v=1``, ``v=2`` and so on. An update reads the newest complete version, merges, and writes the next one; an
+empty file ``COMPLETE`` beside its tables, made last, is what makes it a version. Nothing is deleted or renamed, so a reader sees
+either all of an update or none of it, whenever a writer stops, and old versions are the snapshots. A writer claims its number by
+creating the file ``CLAIM`` of that version, which a second writer cannot; numbers whose writer stopped are passed over.
 """
 
 from __future__ import annotations
@@ -69,6 +71,11 @@ def query(nodes: DataFrame, node_type: str | None = None, filters: dict | None =
     return d.limit(limit) if limit else d
 
 
+def get_node(nodes: DataFrame, node: str) -> DataFrame:
+    """The node of that id: one row or none."""
+    return nodes.where(F.col("id") == node)
+
+
 def get_edges(edges: DataFrame, node: str, direction: str = "out", edge_type: str | None = None) -> DataFrame:
     where = {"out": F.col("src") == node, "in": F.col("dst") == node, "both": (F.col("src") == node) | (F.col("dst") == node)}[direction]
     d = edges.where(where)
@@ -118,15 +125,17 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def version(self) -> int:
-        p, fs = self._fs("CURRENT")
+    def _numbers(self, name: str) -> list[int]:
+        """The versions that have a file of that name."""
+        p, fs = self._fs("")
         if not fs.exists(p):
-            return 0
-        stream = fs.open(p)
-        try:
-            return int(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip())
-        finally:
-            stream.close()
+            return []
+        found = [x.getPath().getName() for x in fs.listStatus(p)]
+        return sorted(n for x in found if x.startswith("v=") and (n := int(x[2:])) and fs.exists(self._fs(f"{x}/{name}")[0]))
+
+    def version(self) -> int:
+        """The newest complete version; 0 if there is none."""
+        return max(self._numbers("COMPLETE"), default=0)
 
     def read(self, version: int | None = None) -> Graph:
         v = self.version() if version is None else version
@@ -135,19 +144,25 @@ class Store:
         of = lambda t, s: self.spark.read.schema(s).parquet(f"{self.path}/v={v}/{t}")
         return Graph(of("nodes", NODE), of("edges", EDGE), of("runs", RUN))
 
+    def _touch(self, name: str) -> bool:
+        """Creates an empty file; false if it is there."""
+        p, fs = self._fs(name)
+        try:
+            fs.create(p, False).close()
+        except Exception as e:
+            if fs.exists(p):
+                return False
+            raise e
+        return True
+
     def write(self, g: Graph) -> int:
-        """Writes the next version and makes it current."""
-        v = self.version() + 1
+        """Writes the next version; its number."""
+        v = max(self._numbers("CLAIM"), default=0) + 1
+        while not self._touch(f"v={v}/CLAIM"):
+            v += 1
         for name in ("nodes", "edges", "runs"):
-            getattr(g, name).write.mode("overwrite").parquet(f"{self.path}/v={v}/{name}")
-        tmp, fs = self._fs(f"CURRENT.{v}")
-        stream = fs.create(tmp, True)
-        stream.write(bytearray(str(v).encode()))
-        stream.close()
-        cur, _ = self._fs("CURRENT")
-        if fs.exists(cur):
-            fs.delete(cur, False)
-        fs.rename(tmp, cur)
+            getattr(g, name).write.parquet(f"{self.path}/v={v}/{name}")
+        self._touch(f"v={v}/COMPLETE")
         return v
 
     def snapshot(self, run_id: str) -> str:

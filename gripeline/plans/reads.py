@@ -110,13 +110,24 @@ def systemic_drivers(g: Graph, only_bridges: bool = False, k: int = 10) -> DataF
     return d.orderBy(F.desc("is_bridge"), F.desc("systemic_score"), "dimension", "value").limit(k)
 
 
+def verify_claims(g: Graph, claims: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Claims (l5_id, dimension, value) with verdict, reason and the figures of their edges: one join for any number of claims.
+
+    Verified is what the graph holds as significant, with a lift above one and support enough; a claim without an edge says so.
+    """
+    found = affects(g).select("l5_id", "dimension", "value", "lift", "support", "p_value", "significant", F.lit(True).alias("_edge"))
+    ok = F.coalesce(F.col("significant") & (F.col("lift") > 1) & (F.col("support") >= cfg.min_support), F.lit(False))
+    d = claims.join(found, ["l5_id", "dimension", "value"], "left")
+    return d.select(
+        *claims.columns, F.when(ok, "verified").otherwise("unsupported").alias("verdict"), F.when(F.col("_edge").isNull(), "no edge").alias("reason"),
+        "lift", "support", "p_value", "significant",
+    )
+
+
 def verify_claim(g: Graph, l5_id: str, dimension: str, value: str, cfg: Config = DEFAULT) -> dict:
-    r = _parsed(g.edges.where(F.col("id") == f"{l5_id}:affects:dim:{dimension}:{value}"), _AFFECTS).first()
-    told = {"l5_id": l5_id, "dimension": dimension, "value": value}
-    if r is None:
-        return {"verdict": "unsupported", "reason": "no edge", **told}
-    ok = bool(r["significant"] and r["lift"] > 1 and r["support"] >= cfg.min_support)
-    return {"verdict": "verified" if ok else "unsupported", **told, **{k: r[k] for k in ("lift", "support", "p_value", "significant")}}
+    one = g.edges.sparkSession.createDataFrame([(l5_id, dimension, value)], "l5_id string, dimension string, value string")
+    r = verify_claims(g, one, cfg).first().asDict()
+    return {k: v for k, v in r.items() if v is not None}
 
 
 def search(g: Graph, query: str, l5_id: str | None = None, k: int = 5) -> DataFrame:

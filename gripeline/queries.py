@@ -104,7 +104,7 @@ def _cells(a: str, dims: list[str], b: str = "b") -> str:
 
 # --- planted dimensions: Table A of orders, with taxonomy leaves instead of priorities ----------------------------------------------
 LEAVES = ["late_delivery", "payment_failure", "long_wait", "damaged_item", "stock_question"]
-PLANT_DIMS = ["carrier", "region", "payment_method", "device_type", "customer_segment"]
+PLANT_DIMS = list(planted.DIMENSIONS)
 
 
 def planted_a(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +117,8 @@ def planted_b(spark: SparkSession, d: str) -> DataFrame:
 
 
 def planted_edges(spark: SparkSession, d: str) -> DataFrame:
-    return dr.drivers(dr.merge(planted_a(spark, d), planted_b(spark, d), PLANT_DIMS), PLANT_DIMS, "2000-W01")
+    merged = planted.plant(planted_a(spark, d), PLANT_DIMS, facts=False, keep=("l5_id",))  # made row by row from Table A: no join
+    return dr.drivers(merged, PLANT_DIMS, "2000-W01")
 
 
 def _pick_sql(dim: str) -> str:

@@ -67,12 +67,12 @@ def test_build_reads_report(spark, tmp_path):
     assert len(c) == 5 and c[late]["zscore"] == pytest.approx(1.6202, abs=2e-3) and {x["movement"] for x in c.values()} == {"new"}
     assert reads.drivers_of(g, late).count() > 0 and reads.exemplars_of(g, late).count() == 3
     d = reads.drivers_of(g, late, significant_only=True).first()
-    assert d["value"] == "DroneX" and reads.verify_claim(g, late, d["dimension"], d["value"])["verdict"] == "verified"
+    assert d["value"] == "USPS" and reads.verify_claim(g, late, d["dimension"], d["value"])["verdict"] == "verified"
     assert reads.verify_claim(g, late, "x", "y")["reason"] == "no edge"
     assert reads.ops_hotspots(g).count() == 15 and reads.search(g, "delivery trouble").count() == 5
     assert reads.leaf_profile(g, "none").first()["found"] is False and reads.leaf_profile(g, late).first()["found"]
     assert reads.systemic_drivers(g).count() >= 1 and reads.top_leaves(g, n=2).count() == 2 and reads.period_series(g, late).count() == 1
-    g2 = reads.write_insight(g, late, "run1", "s", "c", "a", ["dim:carrier:DroneX"], "t1")
+    g2 = reads.write_insight(g, late, "run1", "s", "c", "a", ["dim:carrier:USPS"], "t1")
     assert reads.insights_of(g2, late).count() == 1
     # a second run of the same period: nothing moves, the history keeps one entry
     again = build.run(a, b, store, "run2", "t2", pack)
@@ -86,6 +86,37 @@ def test_build_reads_report(spark, tmp_path):
     assert spark.read.json(f"{store.snapshot('run2')}/nodes").count() == g.nodes.count()
 
 
+def test_store_survives_a_writer_that_stops(spark, tmp_path, monkeypatch):
+    store = graph.Store(spark, f"file://{tmp_path}/g")
+    assert store.version() == 0 and store.read().nodes.count() == 0
+    none = graph.empty(spark)
+    one = graph.Graph(node(spark, ("a", "x", "{}", None, None)), none.edges, none.runs)
+    two = graph.Graph(node(spark, ("b", "x", "{}", None, None)), none.edges, none.runs)
+    assert store.write(one) == 1
+    touch = graph.Store._touch
+
+    def stop_at(n):
+        calls = []
+
+        def stop(self, name):
+            calls.append(name)
+            if len(calls) == n:
+                raise KeyboardInterrupt
+            return touch(self, name)
+
+        return stop
+
+    for n in (1, 2):  # before the claim; after the tables, before they count
+        monkeypatch.setattr(graph.Store, "_touch", stop_at(n))
+        with pytest.raises(KeyboardInterrupt):
+            store.write(two)
+        assert store.version() == 1 and [r["id"] for r in store.read().nodes.collect()] == ["a"]
+    monkeypatch.setattr(graph.Store, "_touch", touch)
+    v = store.write(two)
+    assert store.version() == v > 1 and [r["id"] for r in store.read().nodes.collect()] == ["b"]
+    assert [r["id"] for r in store.read(1).nodes.collect()] == ["a"] and graph.get_node(store.read().nodes, "b").count() == 1
+
+
 def test_increments(spark, tmp_path):
     pack = taxonomy.own_pack()
     a = table_a(spark, pack, weeks=4, each=20).persist()
