@@ -1,10 +1,12 @@
 """Operator 6: quality rules, line by line first, in DataFrame functions only.
 
-Each line is judged on its own (end punctuation, navigation, symbols, capitals, boilerplate, repeats of an earlier line);
-failing lines are removed; a document is rejected when it fails the two base rules or when too much of its text was removed.
+Each line is judged on its own (navigation, symbols, capitals, boilerplate, end punctuation): what a line is told never depends on
+the lines around it. Failing lines are removed; a document is rejected when it fails the two base rules or when too much of its
+text was removed. The phrases of boilerplate are English; the other rules know no language.
 
 Nulls, empty texts and texts of white space have no words: they fail the base rule and are rejected. Repeated rows are judged
-one by one. Columns of the input are kept; the columns added here win over input columns of the same name.
+one by one. A text of any length is one row and one task's work, which grows with its length times the logarithm of it. Columns of
+the input are kept; the columns added here win over input columns of the same name.
 """
 
 from __future__ import annotations
@@ -57,7 +59,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Repeated windows are found by sorting one long per window, hash bits above and position below; neighbours with equal hash
     bits are then compared word by word. Should two different windows of a document have equal hash bits, that document
-    takes the exact path, which compares all its windows.
+    takes the exact path, which sorts its windows as text.
     """
     own = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     d = docs.select(*own, F.coalesce(F.col(text), F.lit("")).alias("_t"))
@@ -85,9 +87,12 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.select(*own, "_t", "_w", "_l", "_n", "_m", hit.alias("_h"))
     h = F.col("_h")
     clash = F.exists(F.transform(h, lambda x, i: same_hash(x, F.get(h, i - 1)) & ~same_words(place(x), place(F.get(h, i - 1)))), lambda x: x)
-    each = F.sequence(F.lit(0), F.col("_n") - 3)
-    exact = F.filter(each, lambda i: F.exists(each, lambda j: (i != j) & same_words(i, j)))
-    d = d.select(*own, "_t", "_w", "_l", "_n", F.when(clash, exact).otherwise(F.sort_array(F.transform(h, place))).alias("_p"))
+    spelt = F.transform(F.sequence(F.lit(0), F.col("_n") - 3), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i")))
+    d = d.select(*own, "_t", "_w", "_l", "_n", "_m", "_h", F.when(clash, F.sort_array(spelt)).alias("_e"))
+    e = F.col("_e")
+    same_text = lambda x, y: F.coalesce(x["g"] == y["g"], F.lit(False))  # noqa: E731  words hold no blank
+    exact = F.transform(F.filter(e, lambda x, i: same_text(x, F.get(e, i - 1)) | same_text(x, F.get(e, i + 1))), lambda x: x["i"])
+    d = d.select(*own, "_t", "_w", "_l", "_n", F.sort_array(F.when(e.isNotNull(), exact).otherwise(F.transform("_h", place))).alias("_p"))
     p = F.col("_p")
     covered = F.aggregate(F.transform(p, lambda x, i: F.coalesce(F.least(F.lit(3), F.get(p, i + 1) - x), F.lit(3)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     return _fixed(
@@ -100,14 +105,19 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _gates(text: Column, n_symbols: Column) -> Column:
-    """Which rules a whole text can break at all: one cheap pass spares most texts the costlier tests of each line."""
+def _gates(text: Column, n_symbols: Column, rules: Rules) -> Column:
+    """Which rules some line of a whole text could break: one cheap pass spares most texts the costlier tests of each line.
+
+    A gate only shuts where no line can fail. A phrase of boilerplate in a line stands in the text too, unless white space in it was
+    made single. Where over half of a line's letters are capitals, two capitals follow each other with no other letter between.
+    """
     low = F.lower(text)
-    boiler = F.lit(False)
+    odd = F.rlike(text, F.lit(r"[\t\x0B\f\r]|  "))
+    boiler = odd
     for phrase in BOILERPLATE:
         boiler = boiler | F.contains(low, F.lit(phrase))
-    odd = F.rlike(text, F.lit(r"[\t\x0B\f\r]|  "))
-    return F.struct(odd.alias("spaces"), (n_symbols > 0).alias("symbols"), boiler.alias("boilerplate"), F.rlike(text, F.lit(r"\p{Lu}{3}")).alias("capitals"))
+    capitals = F.rlike(text, F.lit(r"\p{Lu}[^\p{L}\n]*+\p{Lu}")) if rules.max_capital_share >= 0.5 else F.lit(True)
+    return F.struct(odd.alias("spaces"), (n_symbols > 0).alias("symbols"), boiler.alias("boilerplate"), capitals.alias("capitals"))
 
 
 def line_verdict(line: Column, gates: Column, rules: Rules = Rules()) -> Column:
@@ -140,7 +150,7 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules(), text: str = "text") ->
     """``docs`` with cleaned_text, n_lines_removed (long) and kept_share (double, of the text's characters)."""
     own = [c for c in docs.columns if c not in ("cleaned_text", "n_lines_removed", "kept_share")]
     t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.select(*own, F.split(t, "\n").alias("_l"), _gates(t, F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).alias("_g"))
+    d = docs.select(*own, F.split(t, "\n").alias("_l"), _gates(t, F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, "")), rules).alias("_g"))
     single = lambda x: F.trim(F.when(F.col("_g.spaces"), F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")).otherwise(x))
     d = d.select(*own, "_l", "_g", F.transform("_l", single).alias("_s"))  # a column of its own: a rule looks at its line several times
     d = d.select(*own, "_l", F.filter("_l", lambda _, i: line_verdict(F.get("_s", i), F.col("_g"), rules).isNull()).alias("_k"))

@@ -156,7 +156,7 @@ k AS (SELECT *, length(y) - length(replace(y, ' ', '')) + 1 AS n, length(y) - le
   length(regexp_replace(y, '[^\p{{L}}]+', '', 'g')) AS letters, length(regexp_replace(y, '[^\p{{Lu}}]+', '', 'g')) AS capitals,
   right(regexp_replace(y, '["''»”’)\]\s]+$', ''), 1) AS bare FROM l),
 v AS (SELECT *, CASE WHEN y = '' THEN true WHEN bars >= 2 AND bars > 0.2 * n THEN false WHEN symbols > 0.2 * n THEN false
-  WHEN regexp_matches(t, '\p{{Lu}}{{3}}') AND letters >= 8 AND capitals > 0.6 * letters THEN false WHEN {_BOILER.format(x="lower(y)")} THEN false
+  WHEN letters >= 8 AND capitals > 0.6 * letters THEN false WHEN {_BOILER.format(x="lower(y)")} THEN false
   WHEN n < 10 AND right(y, 1) NOT IN ({_ENDS}) AND bare NOT IN ({_ENDS}) THEN false ELSE true END AS ok FROM k),
 s AS (SELECT r, coalesce(sum(length(x)) FILTER (ok), 0)::DOUBLE / nullif(sum(length(x)), 0) AS share, count(*) FILTER (regexp_matches(x, '[^\x20\x09-\x0D]')) - count(DISTINCT x) FILTER (regexp_matches(x, '[^\x20\x09-\x0D]')) AS dup FROM v GROUP BY r),
 o AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

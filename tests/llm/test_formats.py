@@ -95,6 +95,25 @@ def test_quality_verdicts(spark):
     assert quality.judge(d).where("kept").select("doc_id").count() == 2  # a filter on the verdict is not pushed below the words
 
 
+def test_a_line_is_judged_by_itself(spark):
+    """The same line gets the same verdict whatever else the text says."""
+    lines = ["A B C D E F G H I J K L.", "A b c D e f G h. I j k.", "THE END IS NEAR, FRIENDS.", "All  rights\treserved.", "Terms   of use apply here as they did before.", "a | b | c", "plain words that end in a mark here, as they should."]
+    around = ["", "NASA", "Quiet prose without much in it, which goes on.", "ALL CAPITALS HERE", "x ||| y", "tab\there"]
+    rows = [(i, f"{a}\n{x}\n{a}") for i, (x, a) in enumerate((x, a) for x in lines for a in around)]
+    kept = {r["doc_id"]: x in r["cleaned_text"].split("\n") for (i, t), r in zip(rows, sorted(quality.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r["doc_id"]), strict=True) for x in [t.split("\n")[1]]}
+    for n, x in enumerate(lines):
+        verdicts = {kept[n * len(around) + k] for k in range(len(around)) if around[k] != x}
+        assert verdicts == {x.startswith(("plain", "A b"))}, x
+
+
+def test_long_text_with_clashes(spark, monkeypatch):
+    """A text of 200,000 words whose windows all clash is still counted, by sorting and not pair by pair."""
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *a: F.lit(0).cast("long"))
+    text = " ".join(f"w{i}" for i in range(100_000)) + " " + " ".join(f"w{i}" for i in range(100_000, 0, -1)) + " w1 w2 w3"
+    r = quality.base_counts(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r["n_words"], r["n_repeat_words"]) == (len(text.split()), counts(text)[4])
+
+
 def test_quality_hash_clash(spark, monkeypatch):
     """With one hash for every window, the exact path finds the same counts."""
     monkeypatch.setattr(quality.F, "xxhash64", lambda *a: F.lit(0).cast("long"))
