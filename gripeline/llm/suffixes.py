@@ -2,7 +2,8 @@
 
 A byte goes when it lies in a ``span``-byte string that also starts in a document with a smaller id. Strings are judged on the
 input; matches never cross documents; nulls count as empty; texts shorter than ``span`` bytes lose nothing; of rows with equal
-ids none counts as smaller. An empty table gives an empty result.
+ids none counts as smaller, and a row without an id counts as smaller than all with one. Ids are whole numbers. A text of any
+length belongs to one batch, whose task holds some thirty times its bytes. An empty table gives an empty result.
 
 Three rounds over batches of documents (see ``blocks``):
 
@@ -112,7 +113,7 @@ def runs(texts: list[bytes], span: int, gram: int) -> tuple[np.ndarray, ...]:
 
 
 def _unique_keys(key: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ascending distinct keys, how often each occurs (at most 255; 1 also for any number within one text), and each run's place among them."""
+    """Ascending distinct keys, how often each occurs (1 also for any number within one text), and each run's place among them."""
     order = np.argsort(key, kind="stable")
     k = key[order]
     start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
@@ -179,7 +180,7 @@ class _Sent:
         offset = np.concatenate([(anchor - first)[plain], np.repeat(anchor[hot], reps) - self.first[plain.sum() :]])
         width = 2 * span - gram
         content = _gather(self.data, self.first, self.length + span - 1, width)
-        own = _digest(content, self.length * 256 + offset)
+        own = _digest(content, (self.length << 32) + offset)
         hot_only = np.arange(len(own)) >= plain.sum()
         deal = np.where(hot_only, own, np.concatenate([key[plain], np.repeat(key[hot], reps)]))
         deal = _mix(deal ^ np.uint64(0x5851F42D4C957F2D))
@@ -213,6 +214,11 @@ def _digest(content: np.ndarray, extra: np.ndarray) -> np.ndarray:
     return h
 
 
+def _head(span: int) -> type:
+    """The type of numbers of windows and offsets of a piece, which are below ``span``."""
+    return np.uint8 if span <= 256 else np.uint32
+
+
 def _send_pieces(n: int, span: int, gram: int):
     def send(docs: pa.Table, flags: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -221,7 +227,7 @@ def _send_pieces(n: int, span: int, gram: int):
         used = np.arange(s.content.shape[1]) < (s.windows + span - 1)[:, None]
         out = []
         for bucket, x, y in s.parts:
-            head = np.concatenate([s.windows[x:y], s.offset[x:y]]).astype(np.uint8).tobytes()
+            head = np.concatenate([s.windows[x:y], s.offset[x:y]]).astype(_head(span)).tobytes()
             out.append((bucket, b, head, s.least[x:y].tobytes(), s.content[x:y][used[x:y]].tobytes()))
         return rows(out)
 
@@ -253,7 +259,7 @@ def _answer_pieces(span: int, gram: int):
 
     def answer(table: pa.Table) -> pa.Table:
         table = table.sort_by("b")
-        heads = [np.frombuffer(x, np.uint8).astype(np.int64).reshape(2, -1) for x in table.column("keys").to_pylist()]
+        heads = [np.frombuffer(x, _head(span)).astype(np.int64).reshape(2, -1) for x in table.column("keys").to_pylist()]
         sizes = np.array([h.shape[1] for h in heads])
         windows, offset = np.concatenate(heads, axis=1)
         sent = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("more").to_pylist()])
@@ -261,7 +267,7 @@ def _answer_pieces(span: int, gram: int):
         length = windows + span - 1
         first = np.cumsum(length) - length
         content = _gather(data, first, length, 2 * span - gram)
-        own = _digest(content, windows * 256 + offset)
+        own = _digest(content, (windows << 32) + offset)
         key = gram_hashes(data, gram)[first + offset]
         order = np.lexsort((own, key))
         same = (own[order][1:] == own[order][:-1]) & (windows[order][1:] == windows[order][:-1]) & (content[order][1:] == content[order][:-1]).all(1)
@@ -351,7 +357,9 @@ def _apply(n: int, span: int, gram: int):
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans, kept): the byte spans removed and the bytes left, one row per row of ``docs``."""
+    """(doc_id, spans, kept): the byte spans removed and the bytes left, one row per row of ``docs``. ``span`` is at least ``gram`` and 8."""
+    if span < max(gram, 8):
+        raise ValueError(f"span {span} is shorter than an anchor of {gram} bytes, or than 8 bytes")
     d, n = batched(docs, id_col, text_col, each=BATCH)
     by = d.groupBy("b")
     flags = by.applyInArrow(_send_keys(n, span, gram), ROW).groupBy("bucket").applyInArrow(_answer_keys(hot), ROW)

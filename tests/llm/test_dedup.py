@@ -199,6 +199,24 @@ def test_suffixes(spark, hot):
     assert suffixes.remove_repeats(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("span", [50, 200, 256, 257, 400, 700, 701])
+def test_long_spans(spark, span):
+    """A shared run of 700 bytes goes whole for every span up to its length."""
+    r = random.Random(6)
+    shared = "".join(r.choices("abcdefghij klmnop", k=700))
+    rows = [(1, "xy" + shared + "tail"), (2, "qq" + shared + "zz"), (3, shared[100:600]), (None, shared[:300])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x["doc_id"] or 0, [(s["start"], s["end"]) for s in x["spans"]], hashlib.sha256(bytes(x["kept"])).hexdigest()) for x in suffixes.remove_repeats(d, span=span).collect())
+    assert got == cut_repeats([(i or 0, t) for i, t in rows], span)
+    if span in (400, 700):
+        assert got[2][1] == [(2, 702)]
+
+
+def test_short_span(spark):
+    with pytest.raises(ValueError, match="anchor"):
+        suffixes.remove_repeats(spark.createDataFrame([(1, "x")], "doc_id long, text string"), span=20)
+
+
 def test_radix_groups():
     r = np.random.default_rng(0)
     data = r.integers(2, size=4000).astype(np.uint8)
