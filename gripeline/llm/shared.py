@@ -15,11 +15,14 @@ SPACES = "\t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one is set only where that is unset."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a local one is set for a local master, and any other is refused:
+    executors of a cluster would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -29,13 +32,23 @@ class Cuts:
     """Lineage cuts: tables written to the shared folder and read back.
 
     Each cut is one Parquet table, so a lost executor costs no more than the stages after it. ``drop`` deletes tables that
-    no later step reads.
+    no later step reads. A frame that an operator returns may read the last of them; ``clean`` deletes all that are left.
     """
 
+    roots: list[str] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        Cuts.roots.append(self.root)
+
+    @classmethod
+    def clean(cls, spark: SparkSession) -> None:
+        """Deletes what is left of all cuts made so far by this driver; frames made by operators cannot be read any more after it."""
+        while cls.roots:
+            path = spark._jvm.org.apache.hadoop.fs.Path(cls.roots.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1

@@ -57,8 +57,8 @@ def test_simhash(spark):
     assert simhash.near_duplicates(d.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [8192, 40])
-def test_index_finds_every_link(spark, hot):
+@pytest.mark.parametrize(("hot", "blocks"), [(8192, 6), (40, 6), (8192, 5), (40, 5), (8192, 7)])
+def test_index_finds_every_link(spark, hot, blocks):
     r = np.random.default_rng(1)
     centre = r.integers(1 << 62, size=30, dtype=np.uint64)
     near = np.repeat(centre, 12)
@@ -68,14 +68,57 @@ def test_index_finds_every_link(spark, hot):
     for _ in range(2):
         big = big ^ (np.uint64(1) << r.integers(64, size=len(big), dtype=np.uint64))
     codes = np.unique(np.concatenate([centre, near, big]))
-    items = spark.createDataFrame([(i, int(c)) for i, c in enumerate(codes.view(np.int64))], "id long, fp long")
+    ids = codes.view(np.int64).tolist()
+    items = spark.createDataFrame([(c,) for c in ids], "fp long")
     cuts = Cuts(spark, "test")
-    found = connected_components(simhash.index_links(items, 4, 6, cuts, hot), cuts).collect()
-    pairs = [(int(b), i) for i in range(len(codes)) for b in np.flatnonzero(np.bitwise_count(codes[:i] ^ codes[i]) <= 4)]
-    want = components(pairs, set(range(len(codes))))
-    assert {r["node"]: r["component"] for r in found} == {n: c for n, c in want.items() if any(n in p for p in pairs)}
+    found = connected_components(simhash.index_links(items, 4, blocks, cuts, hot), cuts).collect()
+    pairs = [(ids[b], ids[i]) for i in range(len(codes)) for b in np.flatnonzero(np.bitwise_count(codes[:i] ^ codes[i]) <= 4)]
+    want = components(pairs, set(ids))
+    linked = {n for p in pairs for n in p}
+    assert {r["node"]: r["component"] for r in found} == {n: c for n, c in want.items() if n in linked}
 
 
+def test_number_of_blocks():
+    assert [simhash.blocks_for(n, 4) for n in (0, 1, 235_748, 14_000_000, 10**9, 10**11)] == [5, 5, 5, 6, 7, 8]
+
+
+def test_rows_without_an_id_or_of_one_id_link_nothing_else(spark):
+    """An id that several texts share, or that is missing, is no bridge between texts that are unlike."""
+    r = random.Random(8)
+    far = [" ".join(r.choices(WORDS, k=60)) for _ in range(6)]
+    rows = [(8, far[0]), (3, far[0]), (9, far[1]), (3, far[1]), (None, far[2]), (None, far[3]), (5, far[4]), (None, far[5]), (7, far[5]), (None, far[2])]
+    got = sorted(((x["doc_id"] or 0, x["component_id"]) for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    # texts 0 and 1 are two components, each named by its smallest id; texts 2 and 3 have no id at all
+    assert got == sorted([(8, 3), (3, 3), (9, 3), (3, 3), (0, None), (0, None), (0, None), (5, 5), (0, 7), (7, 7)], key=str)
+    one = [" ".join([*far[0].split(), "end"]), far[1], far[2]]
+    got = simhash.near_duplicates(spark.createDataFrame([(4, far[0]), (None, one[1]), (None, one[2]), (6, far[3])], "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"] or 0, x["component_id"] or 0) for x in got) == [(0, 0), (0, 0), (4, 4), (6, 6)]
+
+
+def test_shared_folder(spark):
+    from gripeline.llm import shared
+
+    cuts = Cuts(spark, "gone")
+    path = cuts.cut(spark.range(3))._cut_path
+    assert spark.read.parquet(path).count() == 3
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    Cuts.roots, kept = [cuts.root], Cuts.roots
+    Cuts.clean(spark)
+    Cuts.roots = kept
+    assert not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+
+    class Remote:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Remote(), {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session())
+
 def test_runs_of_the_index():
     r = np.random.default_rng(2)
     codes = r.integers(1 << 12, size=3000, dtype=np.uint64)
