@@ -1,15 +1,15 @@
 """Operator 7: language identification, words first, then shorter and shorter character n-grams.
 
-``fit`` counts words and, within words, character n-grams by language over a sample of the labelled texts bounded by language
-(``docs_per_language``), and keeps the most frequent of each (``words_per_language``, ``grams_per_language``): a model whose size
-is bounded by these parameters and the number of languages. ``predict`` adds up, over the words of a text, the log frequency of
-a known word in each language; an unseen word falls back to its n-grams of ``longest`` characters, and to shorter ones as long
-as none of them is known. The language with the largest sum wins (ties: the first by name); ``score`` is its share when the mean
-scores of a word are set against each other.
+``fit`` counts words and, within words, character n-grams by language over a sample of the labelled texts: at most
+``docs_per_language`` different ones of each language, those of smallest hash, each counted once however often it stands. That
+bound on labelled rows is the only one; every word and n-gram of the sample is kept, so the model is as large as the sample has
+distinct ones. ``predict`` adds up, over the words of a text, the log frequency of a known word in each language; an unseen word
+falls back to its n-grams of ``longest`` characters, and to shorter ones as long as none of them is known. The language with the
+largest sum wins (ties: the first by name); ``score`` is its share when the mean scores of a word are set against each other.
 
 Texts that are null or without letters get ``und`` and score 0, as do all texts when nothing was learned. Labels that are null
-teach nothing. Repeated rows count as often as they stand. Columns of the input are kept; lang_pred and score win over input
-columns of the same name.
+teach nothing. A text of any length is predicted whole, in one task. Columns of the input are kept; lang_pred and score win over
+input columns of the same name.
 """
 
 from __future__ import annotations
@@ -31,25 +31,30 @@ CACHE = 200_000
 @dataclass(frozen=True)
 class Settings:
     docs_per_language: int = 4000
-    words_per_language: int = 20_000
-    grams_per_language: int = 20_000
     longest: int = 4
     #: What each step down costs, as a factor of a word's probability.
     backoff: float = 0.4
-    #: Languages beyond which the tables by language shrink, so that the model stays below so many times their size.
-    languages: int = 50
 
 
-def fit(labelled: DataFrame, settings: Settings = Settings(), text_col: str = "text", lang_col: str = "lang") -> bytes:
-    """The model, as JSON, from rows of text and label. The result is collected; its size is bounded by ``settings``."""
+def sample(labelled: DataFrame, settings: Settings = Settings(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, text): at most ``docs_per_language`` different texts of each language, those of smallest hash.
+
+    A first cut by hash leaves some thrice as many, so that no window sees more than a few thousand rows of a language.
+    """
     d = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    share = {r["lang"]: min(1.0, settings.docs_per_language / r["count"]) for r in d.groupBy("lang").count().collect()}
+    share = {r["lang"]: min(1.0, 3 * settings.docs_per_language / r["count"]) for r in d.groupBy("lang").count().collect()}
     if not share:
-        return json.dumps({"languages": [], "tables": []}).encode()
-    small = min(1.0, settings.languages / len(share))
+        return d
     part = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     limit = F.element_at(F.create_map(*(F.lit(x) for kv in share.items() for x in kv)), F.col("lang"))
-    words = d.where(part < limit).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("g"))
+    d = d.where(part < limit).select("lang", part.alias("part"), "text").dropDuplicates(["lang", "text"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("part", "text"))
+    return d.withColumn("place", place).where(F.col("place") <= settings.docs_per_language).select("lang", "text")
+
+
+def fit(labelled: DataFrame, settings: Settings = Settings(), text_col: str = "text", lang_col: str = "lang") -> bytes:
+    """The model, as JSON, from rows of text and label. The result is collected; its size is bounded by that of the sample."""
+    words = sample(labelled, settings, text_col, lang_col).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("g"))
     words = words.groupBy("lang", "g").count().select("lang", F.lit(0).alias("n"), "g", F.col("count").alias("c"))
     padded = F.concat(F.lit(" "), F.col("g"), F.lit(" "))
     grams = F.explode(F.flatten(F.transform(
@@ -57,19 +62,15 @@ def fit(labelled: DataFrame, settings: Settings = Settings(), text_col: str = "t
         lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(padded) - n + 1, F.lit(1))), lambda i: F.struct(n.alias("n"), F.substring(padded, i, n).alias("g"))),
     )))
     grams = words.select("lang", "c", grams.alias("x")).where(F.char_length("x.g") == F.col("x.n")).groupBy("lang", F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg(F.sum("c").alias("c"))
-    every = words.unionByName(grams)
-    by = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "g")
-    top = F.when(F.col("n") == 0, int(settings.words_per_language * small)).otherwise(int(settings.grams_per_language * small))
-    total = every.groupBy("lang", "n").agg(F.sum("c").alias("total"))
-    kept = every.withColumn("place", F.row_number().over(by)).where(F.col("place") <= top).join(total, ["lang", "n"])
-    languages = sorted(share)
-    tables: list[dict[str, list[float]]] = [{} for _ in range(settings.longest + 1)]
+    found = words.unionByName(grams).groupBy("n", "g").agg(F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("c")).collect()  # an entry a language
+    languages = sorted({x for r in found for x in r["c"]})
     at = {x: i for i, x in enumerate(languages)}
-    floors = [[0.0] * len(languages) for _ in tables]
-    for r in kept.select("lang", "n", "g", (F.log(F.col("c") / F.col("total"))).alias("p"), F.log(0.5 / F.col("total")).alias("floor")).collect():
-        tables[r["n"]].setdefault(r["g"], [0.0] * len(languages))[at[r["lang"]]] = r["p"]
-        floors[r["n"]][at[r["lang"]]] = r["floor"]
-    return json.dumps({"languages": languages, "backoff": settings.backoff, "floors": floors, "tables": tables}).encode()
+    tables: list[dict[str, list[int]]] = [{} for _ in range(settings.longest + 1)]
+    for r in found:
+        row = tables[r["n"]][r["g"]] = [0] * len(languages)
+        for x, c in r["c"].items():
+            row[at[x]] = c
+    return json.dumps({"languages": languages, "backoff": settings.backoff, "tables": tables}).encode()
 
 
 class _Model:
@@ -82,9 +83,10 @@ class _Model:
         if self.languages:
             self.step = float(np.log(m["backoff"]))
             self.tables = []
-            for table, floor in zip(m["tables"], m["floors"], strict=True):
-                at = np.array(list(table.values()), np.float32).reshape(len(table), len(self.languages))
-                at = np.where(at == 0, np.array(floor, np.float32), at)
+            for table in m["tables"]:
+                counts = np.array(list(table.values()), np.float64).reshape(len(table), len(self.languages))
+                # what a language never says counts as half an occurrence
+                at = np.log(np.maximum(counts, 0.5) / np.maximum(counts.sum(0), 1)).astype(np.float32)
                 self.tables.append((dict(zip(table, range(len(table)), strict=True)), at))
             self.rows = np.zeros((CACHE + len(self.tables[0][0]), len(self.languages)), np.float32)
             self.reset()

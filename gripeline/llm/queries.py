@@ -79,7 +79,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     model = language.fit(docs.where(~held_out).select("text", "lang"))
     found = language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model, keep_text=False)
     return found.select("doc_id", "held_out", "lang_pred", "score")

@@ -54,6 +54,56 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.predict(d, none).collect()} == {"und"}
 
 
+def test_language_against_brute_force(spark):
+    """The whole method again in plain Python: sample, counts, words first, then n-grams from long to short."""
+    import numpy as np
+    import regex
+
+    r = random.Random(4)
+    sounds = {"aa": "abcde", "bb": "cdefg", "cc": "xyzéß"}
+    say = lambda lang, n: " ".join("".join(r.choices(sounds[lang], k=r.randint(1, 5))) for _ in range(n))
+    labelled = [(say(x, 8), x) for x in sounds for _ in range(12)] + [("Shared, WORDS 12 shared", "bb"), (None, "aa"), ("not told", None)]
+    labelled += [labelled[0]] * 9  # copies teach no more than one
+    text = spark.createDataFrame(labelled, "text string, lang string")
+    asked = [say(x, 5) + " " + w for x in sounds for w in ("", "abx", "qqq", "shared Words", "ÉÉ 3 é")] + ["qq ww", "1 2"]
+    got = {x["text"]: (x["lang_pred"], x["score"]) for x in language.predict(spark.createDataFrame([(t,) for t in asked], "text string"), language.fit(text)).collect()}
+    letters = lambda t: regex.findall(r"\p{L}+", t.lower())
+    grams = lambda w, n: [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+    counts = {x: [Counter(), *(Counter() for _ in range(4))] for x in sounds}
+    for t, x in {(t, x) for t, x in labelled if t is not None and x is not None}:
+        for w in letters(t):
+            counts[x][0][w] += 1
+            for n in range(1, 5):
+                counts[x][n].update(grams(w, n))
+    log = lambda x, n, g: math.log(max(counts[x][n][g], 0.5) / max(sum(counts[x][n].values()), 1))
+    for t in asked:
+        total = dict.fromkeys(sounds, 0.0)
+        for w in letters(t):
+            for n, parts in [(0, [w]), *((n, grams(w, n)) for n in (4, 3, 2, 1)), (None, [])]:
+                steps = 0 if n == 0 else 4 if n is None else 5 - n
+                known = [g for g in parts if any(counts[x][n][g] for x in sounds)]
+                if known or n is None:
+                    for x in sounds:
+                        total[x] += (np.mean([log(x, n, g) for g in known]) + steps * math.log(0.4)) if known else (steps + 1) * math.log(0.4)
+                    break
+        if not letters(t):
+            assert got[t] == ("und", 0.0)
+            continue
+        mean = {x: total[x] / len(letters(t)) for x in sounds}
+        best = max(sorted(mean), key=lambda x: mean[x])
+        ties = [x for x in mean if abs(mean[x] - mean[best]) < 1e-5]
+        assert got[t][0] in ties and got[t][1] == pytest.approx(1 / sum(math.exp(mean[x] - mean[best]) for x in mean), rel=1e-4)
+
+
+def test_language_sample(spark):
+    """The bound counts different texts; copies are one, and a language of few texts keeps them all."""
+    rows = [(f"text {i}", "aa") for i in range(200)] + [("same", "aa")] * 500 + [("few", "bb"), ("few", "bb"), ("some", "bb")]
+    got = language.sample(spark.createDataFrame(rows, "text string, lang string"), language.Settings(docs_per_language=30)).collect()
+    by = Counter(r["lang"] for r in got)
+    assert len(set(got)) == len(got) and by["bb"] == 2 and 10 <= by["aa"] <= 30
+    assert language.sample(spark.createDataFrame([], "text string, lang string")).count() == 0
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -87,6 +137,32 @@ def test_decontamination(spark, rows):
     assert {(g["doc_id"], g["item_id"]): (g["n_shared"], g["n_item"]) for g in got} == want and want
 
 
+def test_decontamination_without_ids(spark):
+    """Documents without an id are told apart by their texts; half a passage in each of two is no whole one."""
+    words = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "b1 b2 b3 b4 b5 b6 b7")], "item_id long, text string")
+    half = [(None, " ".join(words[:22])), (None, " ".join(words[18:]))]
+    whole = [(None, "x " + " ".join(words)), (None, "x " + " ".join(words)), (None, " ".join(words) + " y"), (7, " ".join(words[:22])), (7, " ".join(words[18:])), (8, None), (None, None), (9, "")]
+    docs = spark.createDataFrame(half + whole, "doc_id long, text string")
+    got = decontamination.contained_items(docs, items).collect()
+    assert sorted((str(r["doc_id"]), r["item_id"], round(r["containment"], 6)) for r in got) == [("7", 1, 1.0), ("None", 1, 1.0), ("None", 1, 1.0)]
+    assert decontamination.contained_items(docs.limit(0), items).count() == 0 and decontamination.contained_items(docs, items.limit(0)).count() == 0
+
+
+def test_search_meets_sketches_only(spark):
+    """What shares shingles with an item, but none of its sketch, is never a candidate and so never compared."""
+    words = [f"w{i}" for i in range(60)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    every = decontamination.sketches(items, 0.8, 5, "item_id", "text").collect()
+    d = spark.createDataFrame([(i, " ".join(words[i : i + 5])) for i in range(56)], "doc_id long, text string")
+    of = {r["doc_id"]: (r["h"], r["g"]) for r in decontamination._shingles(d, "text", 5).collect()}
+    sketch = {(r["h"], r["g"]) for r in every if r["in_sketch"]}
+    assert 0 < len(sketch) < len(every) / 2
+    rows = d.selectExpr("doc_id", "0L row", "text")
+    found = decontamination.candidates(rows, spark.createDataFrame(every).where("in_sketch").select("item_id", "h", "g"), 5).collect()
+    assert {r["doc_id"] for r in found} == {i for i, s in of.items() if s in sketch}
+
+
 def test_stupid_backoff(spark):
     r = random.Random(2)
     words = ["a", "B", "c", "d", "e"]
