@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import plain
 import pytest
 import xxhash
 
@@ -187,27 +188,14 @@ def test_units(spark):
     rows += [(9000, "A b.\nA  B.\n\nc")] * 2
     for level in ("line", "paragraph"):
         d = spark.createDataFrame([(i, t, "mine", 1.5) for i, t in rows], "doc_id long, text string, kept_text string, lang double")
-        got = sorted(units.remove_repeated_units(d, level).collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
-        seen, at = set(), 0
-        for i, t in sorted(rows, key=lambda x: (x[0], x[1] or "")):
-            gone, found = set(), units.units(t or "", level)
-            again = []
-            for a, b, x, k in found:
-                again.append(x in seen)
-                seen.add(x)
-                if again[-1] and k != units.SHORT:
-                    gone |= set(range(a, b))
-            atoms = [(a, b, r) for (a, b, _, k), r in zip(found, again, strict=True) if k != units.PARENT]
-            for _ in atoms:
-                for (a, b, r), (c, d_, s) in zip(atoms, atoms[1:]):
-                    if r and s and (a in gone or c in gone):
-                        gone |= set(range(a, b)) | set(range(c, d_))
-            r, at = got[at], at + 1
+        got = sorted(units.remove_repeated_units(d, level).collect(), key=lambda r: (r["doc_id"], (r["text"] or "").encode()))
+        want = plain.cut_units(rows, level)
+        assert len(got) == len(rows)
+        for r, (t, gone) in zip(got, want, strict=True):
             cut = {k for s in r["removed_spans"] for k in range(s["start"], s["end"])}
-            assert (r["doc_id"], r["text"], r["lang"]) == (i, t, 1.5) and all(t[k].isspace() for k in cut ^ gone)
+            assert (r["text"], r["lang"]) == (t, 1.5) and all(t[k].isspace() for k in cut ^ gone)
             if t is not None:
                 assert "".join(c for k, c in enumerate(t) if k not in cut).replace("\n", "") == r["kept_text"].replace("\n", "")
-        assert at == len(got) == len(rows)
     assert units.remove_repeated_units(d.limit(0)).count() == 0
 
 

@@ -5,10 +5,12 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
+import plain
 import pytest
 from pyspark.sql import functions as F
 
-from gripeline.llm import bpe, decontamination, language, licences, lm, quality, simhash, units
+from gripeline.llm import bpe, decontamination, language, licences, lm
 from gripeline.llm.shared import Cuts
 
 DIR = "/root/testdata/sf0.001"
@@ -191,35 +193,48 @@ def test_stupid_backoff(spark):
 
 
 def test_pipeline(spark):
-    """Each stage does to its input what its operator says, and the whole is the stages in turn."""
-    cuts = Cuts(spark, "test")
+    """Stage by stage and as a whole, against plain Python and the tokenizers library."""
+    from tokenizers import Tokenizer
+
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    text = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    odd = [(-1, None), (-2, ""), (None, "word " * 60), (None, None), (5, "A second text of id five. " + " ".join(f"f{i}" for i in range(60)) + ".")]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "x", 1, "more") for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long, extra string").select(*docs.columns))
+    docs = docs.unionByName(docs.orderBy("doc_id").limit(3)).cache()
+    rows = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    same = lambda df, want: rows(df) == sorted(want, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    cuts = Cuts(spark, "test")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "repeated_passages", "benchmark_leaks", "tokens"]
+
     one = cuts.cut(corpus_pipeline.quality_rules(spark, docs, DIR))
-    assert one.columns == docs.columns and text(one) == {r["doc_id"]: r["cleaned_text"] for r in quality.judge(docs).collect() if r["kept"]}
-    two = cuts.cut(corpus_pipeline.near_duplicates(spark, one.union(one.orderBy("doc_id").limit(3)), DIR))
-    first = {r["component_id"] for r in simhash.near_duplicates(one, bits=12, shingle_words=5, bands=True).collect()}
-    assert two.columns == docs.columns and sorted(text(two)) == sorted(first) and two.count() == len(first)
+    want = [(i, t) for i, x in rows(docs) if (t := plain.clean(x)) is not None]
+    assert one.columns == docs.columns and same(one, want) and 50 < len(want) < docs.count()
+
+    two = cuts.cut(corpus_pipeline.near_duplicates(spark, one, DIR))
+    want = plain.first_of_similar(want)
+    assert two.columns == docs.columns and same(two, want) and len(want) < one.count()
+
     three = cuts.cut(corpus_pipeline.repeated_passages(spark, two, DIR))
-    seen, left = set(), {}
-    for i, t in sorted(text(two).items()):
-        gone, found, again = set(), units.units(t), []
-        for _, _, x, _ in found:
-            again.append(x in seen)
-            seen.add(x)
-        for (a, b, _, _), go in zip(found, units.chosen([(a, b, k) for a, b, _, k in found], again), strict=True):
-            gone |= set(range(a, b)) if go else set()
-        left[i] = "".join(c for k, c in enumerate(t) if k not in gone).split()
-    assert {i: t.split() for i, t in text(three).items()} == {i: w for i, w in left.items() if w}
+    by_id = sorted(want, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    left = {(i, "".join(c for k, c in enumerate(t) if k not in gone).replace("\n", "")) for (i, _), (t, gone) in zip(by_id, plain.cut_units(want), strict=True)}
+    assert {(i, t.replace("\n", "")) for i, t in rows(three)} == {(i, t) for i, t in left if t.strip()}
+
     four = cuts.cut(corpus_pipeline.benchmark_leaks(spark, three, DIR))
-    items = [s for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect() if (s := shingles(r["text"]))]
-    clean = {i for i, t in text(three).items() if not any(len(s & shingles(t)) >= 0.8 * len(s) for s in items)}
-    assert set(text(four)) == clean
-    five = {r["doc_id"]: r for r in corpus_pipeline.tokens(spark, four, DIR).collect()}
-    v = bpe.Vocabulary(open(bpe.default_path(), "rb").read())
-    assert {i: bytes(r["ids"]) for i, r in five.items()} == {i: v.encode(t) for i, t in text(four).items()} and all(r["round_trip"] for r in five.values())
-    assert {r["doc_id"]: bytes(r["ids"]) for r in corpus_pipeline.run(spark, DIR).collect()} == {i: bytes(r["ids"]) for i, r in five.items()}
+    items = [s for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect() if (s := plain.shingles(r["text"]))]
+    assert same(four, [(i, t) for i, t in rows(three) if not any(len(s & plain.shingles(t)) >= 0.8 * len(s) for s in items)])
+
+    five = {(r["doc_id"]): r for r in corpus_pipeline.tokens(spark, four, DIR).collect()}
+    t = Tokenizer.from_file(bpe.default_path())
+    text = dict(rows(four))
+    assert set(five) == set(text)
+    for i, r in five.items():
+        ids = t.encode(text[i], add_special_tokens=False).ids
+        assert np.frombuffer(bytes(r["ids"]), np.uint32).tolist() == ids and r["round_trip"] and r["n_tokens"] == len(ids)
+
+    docs = cuts.cut(spark.read.parquet(f"{DIR}/documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        docs = cuts.cut(stage(spark, docs, DIR))
+    key = lambda df: sorted((r["doc_id"], bytes(r["ids"])) for r in df.collect())
+    assert key(corpus_pipeline.run(spark, DIR)) == key(docs)
 
 
 def test_pipeline_null_and_equal_ids(spark):
