@@ -1,8 +1,8 @@
 """Blocks: columns of numbers packed into binary rows, so that what is dealt out by hash costs bytes and not rows.
 
-Documents fall into batches by a hash of their id. Each batch sums up its own keys before anything is shuffled (a key that is
+Documents fall into batches by a hash of their id, those without one by a hash of their text. Each batch sums up its own keys before anything is shuffled (a key that is
 everywhere counts once a batch), sends them to buckets by the leading digits of the key, and gets an answer for each key it
-sent, in the order it sent them. A batch is a function of the ids alone, so a recomputed task packs the same blocks, provided
+sent, in the order it sent them. A batch is a function of its rows alone, so a recomputed task packs the same blocks, provided
 that the input gives the same rows each time it is read, as tables do; write anything else (a limit without an order, a random
 sample) to a table first.
 """
@@ -32,7 +32,7 @@ def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     n = partitions(docs.sparkSession, total, each)
     rest = [F.struct(*(F.col(c) for c in docs.columns if c != text_col)).alias("row")] if keep else []
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *rest)
-    d = d.select(F.pmod(F.xxhash64("id", F.lit("batch")), F.lit(n)).cast("int").alias("b"), *d.columns)
+    d = d.select(F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text")), F.lit("batch")), F.lit(n)).cast("int").alias("b"), *d.columns)
     if keep:
         return d, n
     small_batches(docs.sparkSession)

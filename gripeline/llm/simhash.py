@@ -13,15 +13,19 @@
 5. Links found below one node are reduced there to a star on the node's smallest id, so no node emits all its pairs.
    Connected components over the stars then run as joins.
 
-Step 3 loses nothing but is only affordable for few bits. ``near_duplicates(..., bands=True)`` is for similar texts that differ in
-more: there fingerprints decide nothing, and exactly those texts are linked whose sets of shingles have a Jaccard similarity of
-``similarity`` or more. Shingles are told apart, and sets collapsed, by 64 bits of hash; the rest is exact:
-
-1. Shingles stand in one order of all texts, rare ones first. Of two sets that similar, each has one of the other's shingles among
-   its first ``n - ceil(similarity * n) + 1`` (prefix filter), and sizes and places of the first such shingle bound what they share.
-2. Below a shingle that more than CROWD prefixes have, each set first meets its neighbour and a few leaders. What is linked then
-   need not meet again, so a large group of near copies costs no square of its size.
-3. All other pairs below a shingle that are not yet in one component are compared by their whole sets, unless the counts of their
+Step 3 loses nothing but is only affordable for few bits. ``similar_texts`` and ``first_of_similar`` are for similar texts that
+differ in more: there fingerprints decide nothing, and exactly those texts are linked whose sets of shingles have a Jaccard
+similarity of ``similarity`` or more. Shingles are told apart, and sets collapsed, by 64 bits of hash; the rest is exact:
+
+1. Batches of documents count their shingles and learn from buckets how many documents have each (see ``blocks``): to the power of
+   two, which is enough for one order of all shingles, rare ones first.
+2. Of two sets that similar, each has one of the other's shingles among its first ``n - ceil(similarity * n) + 1`` (prefix
+   filter), and sizes and places of the first such shingle bound what they share. Shingles that one document alone has find
+   nothing and are not sent, so a text without much in common with others sends next to nothing.
+3. Below a shingle that more than CROWD prefixes have, every set first meets a few leaders, those with the fewest shingles of their
+   own: of a large group of near copies the ones nearest to what all have in common, and the same ones below each shingle. What
+   is linked then need not meet again, so such a group costs no square of its size. A second round takes leaders from what is left.
+4. All other pairs below a shingle that are not yet in one component are compared by their whole sets, unless the counts of their
    hashes in 256 buckets rule that out. Sets are built anew from the texts for that, as all of them take more disk than the texts.
 
 An upper node with more than ``hot`` fingerprints is split: its members fall into s parts, and each pair of parts is one piece
@@ -40,6 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import ROW, batched, groups, in_order, pack_counts, pack_sorted, places, rows, slices, texts_of, unpack_counts, unpack_sorted
 from .shared import LOWER_ASCII, Cuts, connected_components, parts, small_batches
 
 SEED = 42
@@ -48,11 +53,11 @@ RUN = 16
 NO_ID = (1 << 63) - 1
 
 
-def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+def shingle_hashes(text: str | bytes | None, size: int) -> np.ndarray:
     """XXH64 of each shingle of ``size`` words, A-Z in lower case; the whole sequence if it has fewer words."""
     import xxhash
 
-    found = (text or "").encode().translate(LOWER_ASCII).split()
+    found = (text if isinstance(text, bytes) else (text or "").encode()).translate(LOWER_ASCII).split()
     if not found:
         return np.empty(0, np.uint64)
     joined = b" ".join(found)
@@ -74,15 +79,14 @@ def majority(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
     return out
 
 
-#: Shingles known to be frequent, at most, and from how many occurrences; prefixes below one shingle that meet pair by pair; leaders.
-FREQUENT, FROM, CROWD, LEADERS = 1 << 17, 32, 32, 3
+#: Sets below one shingle that meet pair by pair; leaders; rounds in which crowds meet leaders only; bytes of text of a batch.
+CROWD, LEADERS, ROUNDS, BATCH = 32, 3, 2, 4 << 20
 #: Up to so many rows the names of the sets to compare are broadcast, else dealt out by hash.
 BROADCAST_ROWS = 1_000_000
 
 
-def _of_texts(texts: list, size: int, sets: bool = False) -> tuple[np.ndarray, list]:
+def _of_texts(texts: list, size: int) -> np.ndarray:
     out = np.zeros(len(texts), np.uint64)
-    found: list[np.ndarray] = []
     at = 0
     while at < len(texts):  # some 200,000 shingles at a time
         hashes, n, first = [], 0, at
@@ -95,9 +99,7 @@ def _of_texts(texts: list, size: int, sets: bool = False) -> tuple[np.ndarray, l
         if len(full):
             starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
             out[first + full] = majority(np.concatenate(hashes), starts, sizes[full].astype(np.uint64))
-        if sets:
-            found += [np.unique(h) for h in hashes]
-    return out, found
+    return out
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
@@ -111,83 +113,99 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches, "text", 4 << 20):
-            fp, _ = _of_texts(b.column(1).to_pylist(), shingle_words)
+            fp = _of_texts(b.column(1).to_pylist(), shingle_words)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
     return docs.select(row_key(id_col, text_col)[0], F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 
 
-SET = "id long, row long, fp long, node long, n int, first binary, spread binary"
+SET = "id long, row long, node long, n int, spread binary"
+
+
+def _name(h: np.ndarray) -> int:
+    import xxhash
 
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED)
 
-def shingle_sets(docs: DataFrame, known, similarity: float, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
-    """SET: besides id, row and fp a hash that names the set, its size, its first shingles, and how its hashes spread over 256 buckets."""
+
+def shingle_sets(docs: DataFrame, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
+    """SET: besides id and row a hash that names the set, its size, and how its hashes spread over 256 buckets."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        frequent, counts = (np.frombuffer(x, np.uint64) for x in known.value)
-        for b in parts(batches, "text", 4 << 20):
-            fp, sets = _of_texts(b.column(2).to_pylist(), shingle_words, True)
-            name = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
-            first = [h[_order(h, frequent, counts)[: prefix_length(len(h), similarity)]].tobytes() if len(h) else b"" for h in sets]
+        for b in parts(batches, "text", 1 << 20):
+            sets = [np.unique(shingle_hashes(t, shingle_words)) for t in b.column(2).to_pylist()]
+            name = np.array([_name(h) for h in sets], np.uint64).view(np.int64)
             spread = [np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for h in sets]
-            more = [pa.array(name), pa.array([len(h) for h in sets], pa.int32()), pa.array(first, pa.binary()), pa.array(spread, pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64)), *more], names=[x.split()[0] for x in SET.split(", ")])
+            more = [pa.array(name), pa.array([len(h) for h in sets], pa.int32()), pa.array(spread, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *more], names=[x.split()[0] for x in SET.split(", ")])
 
     return docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text")).mapInArrow(run, SET)
 
 
-def _order(h: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The places of the sorted hashes h in order of known frequency and hash."""
-    if not len(frequent):
-        return np.arange(len(h))
-    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-    return np.argsort(np.where(frequent[at] == h, counts[at], 0), kind="stable")
+class _Sets:
+    """The different sets of a batch of documents, and how often each of their shingles occurs in it."""
 
+    def __init__(self, docs: pa.Table, size: int):
+        sets = {_name(h): h for h in (np.unique(shingle_hashes(t, size)) for t in texts_of(in_order(docs))) if len(h)}
+        self.names = np.array(list(sets), np.uint64).view(np.int64)
+        self.sizes = np.fromiter(map(len, sets.values()), np.int64, len(sets))
+        self.every = np.concatenate([np.empty(0, np.uint64), *sets.values()])
+        self.keys, self.place, self.count = np.unique(self.every, return_inverse=True, return_counts=True)
 
-def _sets(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(h, np.uint64) for h in column.to_pylist()]
 
+def _send_counts(n: int, size: int):
+    def send(docs: pa.Table) -> pa.Table:
+        s, b = _Sets(docs, size), docs.column("b")[0].as_py()
+        return rows([(bucket, b, pack_sorted(s.keys[x:y]), pack_counts(s.count[x:y]), None) for bucket, x, y in slices(s.keys, n)])
 
-def _frequent(size: int):
-    """Rows (text) to (h, c) of the shingles that occur more than once in some two million."""
+    return send
 
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        h, c = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1].astype(np.int64))], names=["h", "c"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        n = 0
-        for b in parts(batches, "text", 4 << 20):
-            for t in b.column(0).to_pylist():
-                held.append(np.unique(shingle_hashes(t, size)))
-                n += len(held[-1])
-                if n >= 2_000_000:
-                    yield counted(held)
-                    held, n = [], 0
-        yield counted(held)
+def _answer_classes(table: pa.Table) -> pa.Table:
+    """By shingle sent: the logarithm of how many sets have it, one in each batch that has the same."""
+    table = table.sort_by("b")
+    keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
+    k = np.concatenate(keys)
+    count = np.concatenate([unpack_counts(x) for x in table.column("more").to_pylist()])
+    order = np.argsort(k)
+    start = groups(k[order])
+    total = np.add.reduceat(count[order], start)
+    each = np.log2(total).astype(np.int64)[places(order, start)]
+    at = np.cumsum([0, *map(len, keys)])
+    names = zip(table.column("bucket").to_pylist(), table.column("b").to_pylist(), strict=True)
+    return rows([(bucket, b, pack_counts(each[at[i] : at[i + 1]]), None, None) for i, (bucket, b) in enumerate(names)])
 
-    return run
 
+FIRST = "k long, node long, n int, place int, own int"
 
-def prefix_length(n: int, similarity: float) -> int:
-    return n - int(np.ceil(similarity * n - 1e-9)) + 1
 
+def _first(n: int, size: int, similarity: float):
+    """FIRST: a row for each of the first shingles of a set that other sets have too; ``own`` is how many it has alone."""
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, n, first) to (k, node, n, place), a row for each first shingle; each set once a task."""
-    seen: set[int] = set()
-    for b in batches:
-        rows = []
-        for node, n, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _sets(b.column(2)), strict=True):
-            if len(first) and node not in seen:
-                seen.add(node)
-                rows.append((first.view(np.int64), np.full(len(first), node), np.full(len(first), n, np.int32), np.arange(len(first), dtype=np.int32)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["k", "node", "n", "place"])
+    def first(docs: pa.Table, told: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return pa.table({x.split()[0]: pa.array([], pa.int64() if x.endswith("long") else pa.int32()) for x in FIRST.split(", ")})
+        s = _Sets(docs, size)
+        by = dict(zip(told.column("bucket").to_pylist(), told.column("keys").to_pylist(), strict=True))
+        each = np.zeros(len(s.keys), np.int64)
+        for bucket, x, y in slices(s.keys, n):
+            each[x:y] = unpack_counts(by[bucket])
+        each = each[s.place]
+        owner = np.repeat(np.arange(len(s.sizes)), s.sizes)
+        order = np.lexsort((s.every, each, owner))
+        start = np.cumsum(s.sizes) - s.sizes
+        place = np.arange(len(owner)) - start[owner]
+        own = np.add.reduceat((each == 0).astype(np.int64), start) if len(start) else start
+        limit = s.sizes - np.ceil(similarity * s.sizes - 1e-9).astype(np.int64) + 1
+        keep = (place < limit[owner]) & (each[order] > 0)
+        who = owner[keep]
+        return pa.table({
+            "k": s.every[order][keep].view(np.int64), "node": s.names[who], "n": s.sizes[who].astype(np.int32), "place": place[keep].astype(np.int32),
+            "own": own[who].astype(np.int32),
+        })
+
+    return first
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -208,36 +226,35 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (k, node, n, place) without repeated ones and without those that are alone under their k."""
-    for k, node, n, place in _whole_groups(batches):
-        new = np.r_[True, (k[1:] != k[:-1]) | (node[1:] != node[:-1])]
-        k, node, n, place = k[new], node[new], n[new], place[new]
-        many = np.r_[False, k[1:] == k[:-1]]
-        many |= np.r_[k[1:] == k[:-1], False]
-        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (k, node, n, place)], names=["k", "node", "n", "place"])
-
-
 def _candidates(similarity: float, crowds: bool, step: int = 1 << 20):
-    """Sorted rows (k, node, n, place, c) to pairs (a, b) of different c that may be similar; of crowds only neighbours and leaders."""
+    """Sorted rows (k, own, node, n, place, c) to pairs (a, b) of different c that may be similar; of crowds only those with a leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, node, n, place, c in _whole_groups(batches):
+        for k, own, node, n, place, c in _whole_groups(batches):
+            new = np.r_[True, (k[1:] != k[:-1]) | (node[1:] != node[:-1])]  # a set is met once, in however many batches it is
+            k, own, node, n, place, c = (x[new] for x in (k, own, node, n, place, c))
             starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             sizes = np.diff(np.append(starts, len(k)))
             every = np.arange(len(k))
             lo = np.repeat(starts, sizes)
             if crowds:
                 every = every[np.repeat(sizes > CROWD, sizes)]
-            work = np.cumsum(every - lo[every])
+                if not len(every):
+                    continue
+                # leaders: the first sets of the first components that stand below k
+                order = np.lexsort((every, c[every], lo[every]))
+                e = every[order]
+                lead = np.sort(e[np.r_[True, (c[e][1:] != c[e][:-1]) | (lo[e][1:] != lo[e][:-1])]])
+                first = np.flatnonzero(np.r_[True, lo[lead][1:] != lo[lead][:-1]])
+                nth = np.arange(len(lead)) - np.repeat(first, np.diff(np.append(first, len(lead))))
+            work = np.cumsum(np.full(len(every), LEADERS) if crowds else every - lo[every])
             at = 0
             while at < len(every):
                 to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + step)))
                 q = every[at:to]
                 at = to
                 if crowds:
-                    i, j = np.tile(q, LEADERS + 1), np.concatenate([q - 1, *(lo[q] + x for x in range(LEADERS))])
-                    i, j = i[(j < i) & (j >= lo[i])], j[(j < i) & (j >= lo[i])]
+                    i, j = (np.concatenate(x) for x in zip(*(_of_group(lead[nth == x], lo, q) for x in range(LEADERS)), strict=True))
                 else:
                     i, j = _expand(lo[q], q)
                     i = q[i]
@@ -249,6 +266,14 @@ def _candidates(similarity: float, crowds: bool, step: int = 1 << 20):
     return run
 
 
+def _of_group(lead: np.ndarray, lo: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places q, and for each the one of ``lead`` in its group; without those whose group has none."""
+    at = np.searchsorted(lo[lead], lo[q])
+    there = at < len(lead)
+    there[there] = lo[lead[at[there]]] == lo[q[there]]
+    return q[there], lead[at[there]]
+
+
 def _spreads(similarity: float):
     """Rows (a, b, x, y, n, m) to those (a, b) that may be similar: sets share at most the lesser count of each bucket."""
 
@@ -284,20 +309,13 @@ def _similar(similarity: float, size: int):
     return run
 
 
-def frequent_shingles(docs: DataFrame, shingle_words: int, text_col: str):
-    """A broadcast of the hashes of the most frequent shingles, sorted, and their counts; it only sets an order, so it may miss some."""
-    small_batches(docs.sparkSession)
-    often = docs.select(F.col(text_col).alias("text")).mapInArrow(_frequent(shingle_words), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    often = often.where(F.col("c") >= FROM).orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
-    h, c = (often.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-    order = np.argsort(h)
-    return docs.sparkSession.sparkContext.broadcast((h[order].tobytes(), c[order].tobytes()))
-
-
-def similar_links(docs: DataFrame, sets: DataFrame, similarity: float, shingle_words: int, text_col: str, cuts: Cuts) -> DataFrame:
+def similar_links(docs: DataFrame, sets: DataFrame, similarity: float, shingle_words: int, id_col: str, text_col: str, cuts: Cuts) -> DataFrame:
     """Edges (a, b) that connect exactly those nodes of ``sets`` (of ``docs``) linked by sets of that Jaccard similarity."""
-    keyed = sets.select("node", "n", "first").mapInArrow(_keys, "k long, node long, n int, place int")
-    keyed = cuts.cut(keyed.repartition("k").sortWithinPartitions("k", "node").mapInArrow(_shared_keys, "k long, node long, n int, place int"))
+    keyed_docs = docs.select(F.xxhash64(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
+    d, n = batched(keyed_docs, "id", "text", each=BATCH)
+    by = d.groupBy("b")
+    classes = by.applyInArrow(_send_counts(n, shingle_words), ROW).groupBy("bucket").applyInArrow(_answer_classes, ROW)
+    keyed = cuts.cut(by.cogroup(classes.groupBy("b")).applyInArrow(_first(n, shingle_words, similarity), FIRST))
     of = cuts.cut(sets.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("spread").alias("spread")))
 
     def both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
@@ -305,9 +323,9 @@ def similar_links(docs: DataFrame, sets: DataFrame, similarity: float, shingle_w
             pairs = pairs.join(table.select(F.col("node").alias(node), *(F.col(c).alias(c + new) for c in columns)), node)
         return pairs
 
-    def compare(groups: DataFrame, crowds: bool) -> DataFrame:
-        rows = groups.select("k", "node", "n", "place", "c").repartition("k").sortWithinPartitions("k", "node")
-        pairs = rows.mapInArrow(_candidates(similarity, crowds), "a long, b long").distinct()
+    def compare(below: DataFrame, crowds: bool) -> DataFrame:
+        met = below.select("k", "own", "node", "n", "place", "c").repartition("k").sortWithinPartitions("k", "own", "node")
+        pairs = met.mapInArrow(_candidates(similarity, crowds), "a long, b long").distinct()
         pairs = cuts.cut(both(pairs, of, "n", "spread").select("a", "b", "spread1", "spread2", "n1", "n2").mapInArrow(_spreads(similarity), "a long, b long"))
         needed = cuts.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(of.select("node", "row"), "node"))
         names = F.broadcast(needed) if needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else needed
@@ -317,11 +335,12 @@ def similar_links(docs: DataFrame, sets: DataFrame, similarity: float, shingle_w
         cuts.drop(pairs, needed, texts)
         return out
 
-    first = compare(keyed.withColumn("c", F.col("node")), True)
-    linked = connected_components(first, cuts)
-    rest = compare(keyed.join(linked, "node", "left").withColumn("c", F.coalesce("component", "node")), False)
+    edges = compare(keyed.withColumn("c", F.col("node")), True)
+    for last in (*[False] * (ROUNDS - 1), True):
+        linked = connected_components(edges, cuts)
+        edges = edges.unionByName(compare(keyed.join(linked, "node", "left").withColumn("c", F.coalesce("component", "node")), not last))
     cuts.drop(keyed, of)
-    return first.unionByName(rest)
+    return edges
 
 
 def masks(bits: int, blocks: int) -> list[int]:
@@ -487,21 +506,12 @@ def grouped_links(keyed: DataFrame, bits: int, cuts: Cuts, hot: int = 8192) -> D
 
 
 def near_duplicates(
-    docs: DataFrame, bits: int = 4, blocks: int | None = None, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text", bands: bool = False,
-    similarity: float = 0.8,
+    docs: DataFrame, bits: int = 4, blocks: int | None = None, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, fp, component_id): one row per row of ``docs``; the component is the smallest id reachable over links.
-
-    ``bands``: links are the pairs of texts with a Jaccard similarity of ``similarity`` or more, whatever bits their fingerprints
-    differ in; ``bits`` and ``blocks`` are not read then.
-    """
+    """(doc_id, fp, component_id): one row per row of ``docs``; the component is the smallest id reachable over links."""
     none = F.lit(NO_ID)
     out = [F.nullif("id", none).alias("doc_id"), "fp", F.nullif("component_id", none).alias("component_id")]
     cuts = Cuts(docs.sparkSession, "simhash")
-    if bands:
-        found = _similar_groups(docs, similarity, shingle_words, id_col, text_col, cuts)
-        least = found.groupBy("component").agg(F.min("id").alias("component_id"))
-        return found.join(least, "component").select(*out)
     fps = cuts.cut(fingerprints(docs, shingle_words, id_col, text_col))
     items = cuts.cut(fps.groupBy("fp").agg(F.min("id").alias("id")))
     edges = cuts.cut(index_links(items.select("fp"), bits, blocks or blocks_for(items.count(), bits), cuts))
@@ -514,12 +524,21 @@ def near_duplicates(
 
 
 def _similar_groups(docs: DataFrame, similarity: float, shingle_words: int, id_col: str, text_col: str, cuts: Cuts) -> DataFrame:
-    """(id, row, fp, component): one row per row of ``docs``; a component is named by a node, so it needs no id."""
-    known = frequent_shingles(docs, shingle_words, text_col)
-    sets = cuts.cut(shingle_sets(docs, known, similarity, shingle_words, id_col, text_col))
-    fps = sets.select("id", "row", "fp", "node")
-    found = connected_components(similar_links(docs, sets, similarity, shingle_words, text_col, cuts), cuts)
-    return cuts.cut(fps.join(found, "node", "left").select("id", "row", "fp", F.coalesce("component", "node").alias("component")))
+    """(id, row, component): one row per row of ``docs``; a component is named by a node, so it needs no id."""
+    sets = cuts.cut(shingle_sets(docs, shingle_words, id_col, text_col))
+    rows = sets.select("id", "row", "node")
+    found = connected_components(similar_links(docs, sets, similarity, shingle_words, id_col, text_col, cuts), cuts)
+    done = cuts.cut(rows.join(found, "node", "left").select("id", "row", F.coalesce("component", "node").alias("component")))
+    cuts.drop(sets)
+    return done
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id): one row per row of ``docs``; links are the pairs of texts of that Jaccard similarity or more."""
+    found = _similar_groups(docs, similarity, shingle_words, id_col, text_col, Cuts(docs.sparkSession, "simhash"))
+    least = found.groupBy("component").agg(F.min("id").alias("component_id"))
+    none = F.lit(NO_ID)
+    return found.join(least, "component").select(F.nullif("id", none).alias("doc_id"), F.nullif("component_id", none).alias("component_id"))
 
 
 def first_of_similar(docs: DataFrame, similarity: float = 0.8, shingle_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

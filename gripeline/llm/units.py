@@ -6,8 +6,9 @@ paragraphs count from one word on. Sentences within a line count too, so that a
 a line: those of ``min_words`` words or more on their own, shorter ones only next to a unit that is removed. Whatever is removed
 therefore stands, in normalised form, at an earlier place.
 
-Nulls and texts without words have no units and come back unchanged. Rows of equal id rank by their text. Columns of the input
-are kept; the columns added here win over input columns of the same name. An empty table gives an empty result.
+Nulls and texts without words have no units and come back unchanged. Ids are whole numbers; rows of equal id rank by their text,
+rows without an id come before all others, in an order by hash of their texts. A text of any length is read whole, by one task.
+Columns of the input are kept; the columns added here win over input columns of the same name. An empty table gives an empty result.
 
 Digests are first gathered by batch of documents (see ``blocks``): a line that is in a third of all documents costs one record
 for each batch, and the answer to a batch is whether it holds the earliest occurrence.

@@ -132,24 +132,11 @@ def test_runs_of_the_index():
     assert got == want
 
 
-def test_bands_catch_similar_texts(spark):
-    r = random.Random(5)
-    rows = []
-    for i in range(40):
-        w = r.choices(WORDS, k=300)
-        rows.append((i, " ".join(w)))
-        for k in r.sample(range(300), 4):
-            w[k] = "edit"
-        rows.append((100 + i, " ".join(w)))
-    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bits=12, shingle_words=5, bands=True).collect()}
-    assert sum(got[100 + i] == i for i in range(40)) >= 38 and all(got[i] == i for i in range(40))
-
-
-@pytest.mark.parametrize("crowd", [32, 2])
-def test_similar_texts_against_brute_force(spark, monkeypatch, crowd):
+@pytest.mark.parametrize(("crowd", "batch"), [(32, 4 << 20), (2, 2000)])
+def test_similar_texts_against_brute_force(spark, monkeypatch, crowd, batch):
     """Links are the pairs of Jaccard similarity 0.8 or more, at the border and in crowds too, and no others."""
-    monkeypatch.setattr(simhash, "CROWD", crowd, raising=False)
-    monkeypatch.setattr(simhash, "FROM", 8, raising=False)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "BATCH", batch)
     r = random.Random(9)
     sets = lambda t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set()
     rows = [(-i, t) for i, t in enumerate([None, "", "one", "One", "one two three four", "one two three four five"], 1)]
@@ -173,7 +160,7 @@ def test_similar_texts_against_brute_force(spark, monkeypatch, crowd):
     pairs = [(a, b) for n, (a, x) in enumerate(found) for b, y in found[:n] if x == y or 5 * len(x & y) >= 4 * len(x | y)]
     want = components(pairs, {i for i, _ in rows})
     assert 150 < len(set(want.values())) < len(rows) - 100
-    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bits=12, shingle_words=5, bands=True).collect()
+    got = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x["doc_id"]: x["component_id"] for x in got} == want and len(got) == len(rows)
 
 
