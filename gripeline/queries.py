@@ -121,11 +121,11 @@ def planted_edges(spark: SparkSession, d: str) -> DataFrame:
     return dr.drivers(merged, PLANT_DIMS, "2000-W01")
 
 
-def _pick_sql(dim: str) -> str:
+def _pick_sql(dim: str, leaves: list[str] = LEAVES) -> str:
     u = f"(CAST('0x' || substr(md5(conversation_id || '|{dim}|42'), 1, 12) AS BIGINT)::DOUBLE / {float(1 << 48)!r})"
     values = planted.DIMENSIONS[dim]
     one = lambda leaf: "CASE " + " ".join(f"WHEN {u} < {e!r}::DOUBLE THEN '{v}'" for e, v in zip(planted.cumulated(leaf, dim)[:-1], values[:-1], strict=True)) + f" ELSE '{values[-1]}' END"
-    return "CASE l5_id " + " ".join(f"WHEN '{x}' THEN {one(x)}" for x in LEAVES) + " END"
+    return "CASE l5_id " + " ".join(f"WHEN '{x}' THEN {one(x)}" for x in leaves) + " END"
 
 
 _PA = f"{_A}, pa AS (SELECT * REPLACE (list_extract({LEAVES!r}, CAST(CAST(conversation_id AS BIGINT) % {len(LEAVES)} AS INT) + 1) AS l5_id) FROM a)"
@@ -135,15 +135,15 @@ _OE = f"WITH {_A}, {_B}, {_cells('a', ad.ORDER_DIMENSIONS)}"
 
 
 # --- contract -----------------------------------------------------------------------------------------------------------------------
-@query(f"""WITH {_A}, e AS (SELECT *, CASE WHEN CAST(conversation_id AS BIGINT) % 101 = 0 THEN 'angry' ELSE sentiment END AS s2, CASE WHEN CAST(conversation_id AS BIGINT) % 53 = 0 THEN 2 ELSE churn_intent END AS c2,
-  CASE WHEN CAST(conversation_id AS BIGINT) % 47 = 0 THEN ' ' ELSE l5_id END AS l2 FROM a)
-SELECT 0::BIGINT AS created_at, count(*) FILTER (s2 NOT IN ('very_neg', 'neg', 'neutral', 'pos')) AS sentiment, count(*) FILTER (c2 NOT IN (0, 1)) AS churn_intent, 0::BIGINT AS financial_harm,
-  0::BIGINT AS safety_legal, 0::BIGINT AS repeat_contact, 0::BIGINT AS unresolved, count(*) FILTER (trim(l2) = '') AS l5_id, 0::BIGINT AS severity FROM e""")
+#: Every how many rows each check of Table A is broken in the query below.
+BROKEN = {"created_at": 89, "sentiment": 101, "churn_intent": 53, "financial_harm": 59, "safety_legal": 61, "repeat_contact": 67, "unresolved": 71, "l5_id": 47, "severity": 73}
+
+
+@query("SELECT " + ", ".join(f"count(*) FILTER (o_orderkey % {n} = 0) AS {c}" for c, n in BROKEN.items()) + " FROM orders")
 def contract_violations(spark, d):
-    k = F.col("conversation_id").cast("long")
-    a = a_of(spark, d).withColumn("sentiment", F.when(k % 101 == 0, "angry").otherwise(F.col("sentiment")))
-    a = a.withColumn("churn_intent", F.when(k % 53 == 0, 2).otherwise(F.col("churn_intent"))).withColumn("l5_id", F.when(k % 47 == 0, " ").otherwise(F.col("l5_id")))
-    return contract.count_violations(a)
+    k, wrong = F.col("conversation_id").cast("long"), {"created_at": "nonsense", "sentiment": "angry", "l5_id": " ", "severity": 5.5}
+    a = a_of(spark, d).withColumn("created_at", F.col("created_at").cast("string"))
+    return contract.count_violations(a.withColumns({c: F.when(k % n == 0, F.lit(wrong.get(c, 2))).otherwise(F.col(c)) for c, n in BROKEN.items()}))
 
 
 @query("""WITH a AS (SELECT DISTINCT o_orderkey AS id FROM orders), b AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_returnflag = 'R')
@@ -356,13 +356,14 @@ bs AS (SELECT {keys}, max(score) AS best, string_agg(sent, ' ' ORDER BY i) FILTE
 snip AS (SELECT {keys}, substr(CASE WHEN len(s) <= {k} THEN trim(coalesce(text, '')) WHEN len(q) = 0 OR best <= 0 THEN first ELSE top END, 1, {chars}) AS snippet FROM bq LEFT JOIN bs {using})"""
 
 
-@query(f"WITH src AS (SELECT u.conv_id, u.text, a.text AS query FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id WHERE u.turn = 0 AND a.turn = 1), {_bm25_sql('src', 'conv_id', 2, 500)} SELECT conv_id, snippet FROM snip")
+@query(f"""WITH src AS (SELECT u.conv_id, u.turn, u.text, coalesce(n.text, '') AS query FROM conversations u LEFT JOIN conversations n ON n.conv_id = u.conv_id AND n.turn = u.turn + 1), {_bm25_sql('src', 'conv_id, turn', 2, 500)}
+SELECT conv_id, turn, snippet FROM snip""")
 def bm25_scores(spark, d):
-    """Compression of each user's message by the first answer of its conversation."""
+    """Every turn compressed by the one that answers it; the last of a conversation has no query."""
     c = ad.table(spark, d, "conversations")
-    first = c.where("turn = 1").select("conv_id", F.col("text").alias("q"))
-    return c.where("turn = 0").join(first, "conv_id").select("conv_id", "text", "q").transform(text.with_snippet, "text", F.col("q"), 2, 500).select("conv_id", "snippet")
-
+    answer = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.coalesce("text", F.lit("")).alias("q"))
+    d = c.select("conv_id", "turn", "text").join(answer, ["conv_id", "turn"], "left").withColumn("q", F.coalesce("q", F.lit("")))
+    return text.with_snippet(d, "text", F.col("q"), 2, 500).select("conv_id", "turn", "snippet")
 
 
 def _tfidf_sql(select: str) -> str:

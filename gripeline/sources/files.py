@@ -27,9 +27,9 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_replies(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV of replies, all columns strings; columns are matched by header."""
+    """A CSV of replies, all columns strings; columns are matched by header, quotes in a quoted text are doubled, and it may hold line breaks."""
     try:
-        header = spark.read.option("header", True).csv(path)
+        header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(path) from e

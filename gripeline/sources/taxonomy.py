@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean
@@ -105,6 +105,15 @@ def cue_level(text: Column) -> Column:
     return F.when(low.rlike(after), "post_sale").when(low.rlike(during), "sale").otherwise("pre_sale")
 
 
+def cluster_names(texts: DataFrame, stops: list[str]) -> DataFrame:
+    """(cluster, name): the four most frequent words of each cluster of ``texts`` (cluster, text), ties in order of the alphabet."""
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}_])([a-z]{3,})(?![\p{L}\p{N}_])"), F.lit(1))).alias("word")
+    counts = texts.select("cluster", word).where(~F.col("word").isin(*stops)).groupBy("cluster", "word").count()
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("count"), "word"))
+    top = counts.withColumn("place", place).where("place <= 4")
+    return top.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), "_").alias("name"))
+
+
 def induce(texts: DataFrame, k: int = 20, seed: int = 42, stops: list[str] | None = None) -> Pack:
     """A taxonomy from (conversation_id, text, embedding): k-means clusters, each named by its four most frequent words.
 
@@ -118,12 +127,7 @@ def induce(texts: DataFrame, k: int = 20, seed: int = 42, stops: list[str] | Non
     stops = stop_words() if stops is None else stops
     d = texts.select("conversation_id", clean(F.col("text")).alias("text"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     d = KMeans(k=min(k, MAX_LEAVES), seed=seed, predictionCol="cluster").fit(d).transform(d)
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b([a-z]{3,})\b"), F.lit(1))).alias("word")
-    counts = d.select("cluster", word).where(~F.col("word").isin(*stops)).groupBy("cluster", "word").count()
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("count"), "word"))
-    named = counts.withColumn("place", place).where("place <= 4").groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), "_").alias("name"))
+    named = cluster_names(d, stops)
     levels = d.select("cluster", cue_level(F.col("text")).alias("l1")).groupBy("cluster").agg(F.mode("l1", True).alias("l1"))
     nodes = {}
     for r in levels.join(named, "cluster", "left").orderBy("cluster").limit(MAX_LEAVES).collect():
