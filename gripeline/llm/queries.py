@@ -167,19 +167,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 
 _TERMS = ", ".join(f"({i}, '{n}', '{w}', {x!r}::DOUBLE)" for i, n, w, x in licences.vectors()[0])
 _IDFS = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in licences.idfs().items())
-_CUES = licences.CUES.removeprefix("(?i)")
+_SPANS = " UNION ALL ".join(f"SELECT doc_id, {w} AS size, unnest(range(1, n - {w} + 2, {step})) AS a, a + {w} - 1 AS z FROM nl" for w, step in licences.WINDOWS.items())
 SQL_OP5 = rf"""
 WITH tv(template, licence, word, weight) AS (VALUES {_TERMS}), iv(word, idf) AS (VALUES {_IDFS}),
 f AS (SELECT doc_id, text, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || doc_id || '.txt' AS path, concat_ws('/', nullif(source, ''), nullif(lang, '')) AS dir FROM documents),
-l AS (SELECT doc_id, length(text) AS n, line, string_split(text, chr(10))[line] AS x FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM f)),
-q AS (SELECT doc_id, line, length(x)::DOUBLE / n AS share, regexp_extract_all(lower(x), '[a-z0-9]+') AS w FROM l WHERE regexp_matches(x, '{_CUES}', 'i')),
-tf AS (SELECT doc_id, line, share, word, count(*) AS c FROM (SELECT doc_id, line, share, unnest(w) AS word FROM q) GROUP BY ALL),
-x AS (SELECT tf.*, c * coalesce(idf, {licences.vectors()[1]!r}::DOUBLE) AS v FROM tf LEFT JOIN iv USING (word)),
-nm AS (SELECT doc_id, line, sqrt(sum(v * v)) AS norm FROM x GROUP BY ALL),
-dt AS (SELECT doc_id, line, share, template, licence, round(sum(v * weight) / any_value(norm), 6) AS s FROM x JOIN tv USING (word) JOIN nm USING (doc_id, line) GROUP BY ALL),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY s DESC, template) AS k FROM dt WHERE s >= {licences.THRESHOLD}) WHERE k = 1),
-own AS (SELECT doc_id, licence, s, sum(share) OVER (PARTITION BY doc_id) AS share, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, line) AS k FROM b),
-o AS (SELECT f.doc_id, f.path, f.dir, own.licence, own.s, own.share FROM f LEFT JOIN own ON own.doc_id = f.doc_id AND own.k = 1),
+l0 AS (SELECT doc_id, k, regexp_extract_all(translate(string_split(text, chr(10))[k], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w
+  FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM f)),
+l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS line, w FROM l0 WHERE len(w) > 0),
+nl AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id),
+sp AS (SELECT DISTINCT doc_id, a, z FROM ({_SPANS} UNION ALL SELECT doc_id, n, 1, n FROM nl) WHERE z >= a),
+lw AS (SELECT doc_id, line, word, count(*) AS c FROM (SELECT doc_id, line, unnest(w) AS word FROM l) GROUP BY ALL),
+x AS (SELECT sp.doc_id, a, z, lw.word, sum(c) * any_value(coalesce(idf, {licences.vectors()[1]!r}::DOUBLE)) AS v, any_value(idf) AS idf
+  FROM sp JOIN lw ON lw.doc_id = sp.doc_id AND lw.line BETWEEN a AND z LEFT JOIN iv ON iv.word = lw.word GROUP BY ALL),
+nm AS (SELECT doc_id, a, z, sqrt(sum(v * v)) AS norm, sqrt(coalesce(sum(v * v) FILTER (idf IS NOT NULL), 0)) AS in_templates FROM x GROUP BY ALL),
+dt AS (SELECT x.doc_id, x.a, x.z, template, licence, round(sum(v * weight) / any_value(norm), 6) AS s FROM x JOIN nm USING (doc_id, a, z) JOIN tv USING (word) WHERE in_templates >= {licences.THRESHOLD - 0.001} * norm GROUP BY ALL),
+m AS (SELECT * FROM dt WHERE s >= {licences.THRESHOLD}),
+sh AS (SELECT l.doc_id, sum(len(l.w)) FILTER (EXISTS (SELECT 1 FROM m WHERE m.doc_id = l.doc_id AND l.line BETWEEN m.a AND m.z))::DOUBLE / sum(len(l.w)) AS share FROM l GROUP BY l.doc_id),
+own AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, z - a, a, template) = 1),
+o AS (SELECT f.doc_id, f.path, f.dir, own.licence, own.s, sh.share FROM f LEFT JOIN own ON own.doc_id = f.doc_id LEFT JOIN sh ON sh.doc_id = f.doc_id),
 df AS (SELECT * FROM (SELECT dir, licence, s, row_number() OVER (PARTITION BY dir ORDER BY s DESC, licence) AS k FROM o WHERE licence IS NOT NULL AND share >= {licences.FILE_SHARE}) WHERE k = 1)
 SELECT doc_id, path, coalesce(o.licence, df.licence) AS licence, round(coalesce(o.s, df.s), 4) AS similarity,
   CASE WHEN o.licence IS NOT NULL THEN 'own' WHEN df.licence IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN o.licence IS NULL AND df.licence IS NOT NULL THEN o.dir END AS from_dir

@@ -16,32 +16,88 @@ from gripeline.llm.shared import Cuts
 DIR = "/root/testdata/sf0.001"
 
 
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0"""
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+GPL = """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+BSD = """// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions are
+// met:
+// 1. Redistributions of source code must retain the above copyright notice,
+// this list of conditions and the following disclaimer."""
+CODE = "\n".join(f"def step_{i}(value, other):\n    return value * {i} + other.field_{i}" for i in range(30))
+
+
 def test_licences(spark):
     rows = [
-        ("a/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software to deal in the Software without restriction"), ("a/b/c/x.py", "print(1)"),
-        ("a/b/COPYING.txt", "You can redistribute it and/or modify it under the terms of the GNU General Public License version 3"), ("a/y.py", "# Licensed under the Apache License, Version 2.0.\ncode"),
-        ("a/z.py", None), ("z/q.py", ""), (None, "All rights reserved."), ("top.py", "We licensed a song and wrote about it at length in many other words than those of any template"), ("a/b/c/x.py", "print(1)"),
+        ("a/LICENSE", MIT), ("a/b/c/x.py", CODE), ("a/b/COPYING.txt", GPL), ("a/y.py", "# Licensed under the Apache License, Version 2.0.\ncode"),
+        ("a/z.py", None), ("z/q.py", ""), (None, "All rights reserved."), ("top.py", "We licensed a song and wrote about it at length in many other words than those of any template"), ("a/b/c/x.py", CODE),
+        ("h/asf.py", APACHE + "\n" + CODE), ("h/gpl.c", CODE + "\n" + GPL + "\n" + CODE), ("h/bsd.cc", BSD + "\n\n" + CODE), ("h/spdx.py", "# SPDX-License-Identifier: MIT\n" + CODE), ("h/spdx2.py", "// SPDX-License-Identifier: Apache-2.0"),
+        ("m/notes.txt", MIT), ("m/deep/er/x.py", CODE), ("h/none.py", CODE),
     ]
-    d = spark.createDataFrame([(i, p, t, "old") for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string, licence string")
-    got = {r["doc_id"]: (r["licence"], r["origin"], r["from_dir"]) for r in licences.scan(d).collect()}
+    d = spark.createDataFrame([(None if i in (0, 15) else i % 12, i, p, t, "old") for i, (p, t) in enumerate(rows)], "doc_id long, n int, path string, text string, licence string")
+    got = {r["n"]: (r["licence"], r["origin"], r["from_dir"]) for r in licences.scan(d).collect()}
+    assert got.pop(11) in {("BSD-2-Clause", "own", None), ("BSD-3-Clause", "own", None)}  # what both begin with
     assert got == {
         0: ("MIT", "own", None), 1: ("GPL-3.0", "inherited", "a/b"), 2: ("GPL-3.0", "own", None), 3: ("Apache-2.0", "own", None), 4: ("MIT", "inherited", "a"), 5: (None, None, None),
-        6: ("Proprietary", "own", None), 7: (None, None, None), 8: ("GPL-3.0", "inherited", "a/b"),
+        6: ("Proprietary", "own", None), 7: (None, None, None), 8: ("GPL-3.0", "inherited", "a/b"), 9: ("Apache-2.0", "own", None), 10: ("GPL-3.0", "own", None),
+        12: ("MIT", "own", None), 13: ("Apache-2.0", "own", None), 14: ("MIT", "own", None), 15: ("MIT", "inherited", "m"), 16: ("Apache-2.0", "inherited", "h"),
     }
-    assert licences.scan(d.limit(0)).count() == 0
-
-
-def test_licence_cosine_by_hand(spark):
-    import re
-
-    text = "Licensed under the Apache License, Version 2.0 (the License)."
-    idf = licences.idfs()
-    rows, unknown = licences.vectors()
-    c = Counter(re.findall("[a-z0-9]+", text.lower()))
-    norm = math.sqrt(sum((n * idf.get(w, unknown)) ** 2 for w, n in c.items()))
-    best = max((sum(c[w] * idf.get(w, unknown) * x for t, _, w, x in rows if t == k) / norm, name) for k, name in {(t, n) for t, n, _, _ in rows})
-    r = licences.own_licences(spark.createDataFrame([(1, "some code\n" + text)], "doc_id long, text string"), "doc_id").first()
-    assert r["licence"] == best[1] == "Apache-2.0" and r["similarity"] == pytest.approx(best[0], abs=1e-6)
+    assert licences.scan(d.limit(0)).count() == 0 and licences.scan(d.withColumn("text", F.lit(None).cast("string"))).where("licence is not null").count() == 0
+
+
+def test_licence_windows_against_brute_force(spark):
+    """Every window of every text against every template, by plain sums; nothing is ruled out beforehand."""
+    r = random.Random(7)
+    bits = [*MIT.split("\n"), *GPL.split("\n"), *APACHE.split("\n"), *CODE.split("\n")[:20], "", "  ", "word " * 30, "Released under the MIT License.", "© ünïcode text"]
+    texts = ["\n".join(r.choices(bits, k=r.choice([1, 2, 5, 14, 40]))) for _ in range(25)] + [MIT, GPL, MIT + "\n" + CODE + "\n" + GPL]
+    idf, (found, unknown) = licences.idfs(), licences.vectors()
+    of = {}
+    for t, name, w, x in found:
+        of.setdefault((t, name), {})[w] = x
+    got = {x["doc_id"]: x for x in licences.own_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        lines = [w for x in text.split("\n") if (w := licences.words_of(x))]
+        spans = [(a, a + n) for n, step in licences.WINDOWS.items() for a in range(0, len(lines) - n + 1, step)] + [(0, len(lines))] * bool(lines)
+        hits, covered = [], set()
+        for a, z in spans:
+            c = Counter(w for x in lines[a:z] for w in x)
+            v = {w: n * idf.get(w, unknown) for w, n in c.items()}
+            norm = math.sqrt(sum(x * x for x in v.values()))
+            cos, t, name = max((round(sum(v[w] * x for w, x in ws.items() if w in v) / norm, 6), -t, name) for (t, name), ws in of.items())
+            if cos >= licences.THRESHOLD:
+                hits.append((-cos, z - a, a, -t, name))
+                covered |= set(range(a, z))
+        best = min(hits) if hits else (None, 0, 0, 0, None)
+        assert got[i]["licence"] == best[4] and (best[0] is None or got[i]["similarity"] == pytest.approx(-best[0], abs=2e-6)), text
+        if hits:
+            assert got[i]["share"] == pytest.approx(sum(len(lines[k]) for k in covered) / sum(map(len, lines)))
 
 
 def test_language(spark):
