@@ -20,10 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import Cuts, small_batches
 
 CACHE = 200_000
 
@@ -53,41 +54,45 @@ def sample(labelled: DataFrame, settings: Settings = Settings(), text_col: str =
 
 
 def fit(labelled: DataFrame, settings: Settings = Settings(), text_col: str = "text", lang_col: str = "lang") -> bytes:
-    """The model, as JSON, from rows of text and label. The result is collected; its size is bounded by that of the sample."""
+    """The model, as Arrow data, from rows of text and label. It is collected; its size is bounded by that of the sample and the languages."""
     words = sample(labelled, settings, text_col, lang_col).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("g"))
-    words = words.groupBy("lang", "g").count().select("lang", F.lit(0).alias("n"), "g", F.col("count").alias("c"))
+    cuts = Cuts(labelled.sparkSession, "language")
+    words = cuts.cut(words.groupBy("lang", "g").count().select("lang", F.lit(0).alias("n"), "g", F.col("count").alias("c")))
     padded = F.concat(F.lit(" "), F.col("g"), F.lit(" "))
     grams = F.explode(F.flatten(F.transform(
         F.array(*(F.lit(n) for n in range(1, settings.longest + 1))),
         lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(padded) - n + 1, F.lit(1))), lambda i: F.struct(n.alias("n"), F.substring(padded, i, n).alias("g"))),
     )))
     grams = words.select("lang", "c", grams.alias("x")).where(F.char_length("x.g") == F.col("x.n")).groupBy("lang", F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg(F.sum("c").alias("c"))
-    found = words.unionByName(grams).groupBy("n", "g").agg(F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("c")).collect()  # an entry a language
-    languages = sorted({x for r in found for x in r["c"]})
-    at = {x: i for i, x in enumerate(languages)}
-    tables: list[dict[str, list[int]]] = [{} for _ in range(settings.longest + 1)]
-    for r in found:
-        row = tables[r["n"]][r["g"]] = [0] * len(languages)
-        for x, c in r["c"].items():
-            row[at[x]] = c
-    return json.dumps({"languages": languages, "backoff": settings.backoff, "tables": tables}).encode()
+    languages = [r["lang"] for r in words.select("lang").distinct().orderBy("lang").collect()]
+    by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "c")))  # an entry a language
+    found = words.unionByName(grams).groupBy("n", "g").agg(by_lang.alias("c"))
+    found = found.select("n", "g", F.transform(F.lit(languages).cast("array<string>"), lambda x: F.coalesce(F.col("c")[x], F.lit(0)).cast("int")).alias("c"))
+    table = found.orderBy("n", "g").toArrow().replace_schema_metadata({"model": json.dumps({"languages": languages, "backoff": settings.backoff, "longest": settings.longest})})
+    cuts.drop(words)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
 
 
 class _Model:
     def __init__(self, data: bytes):
         import regex
 
-        m = json.loads(data)
+        table = pa.ipc.open_stream(data).read_all()
+        m = json.loads(table.schema.metadata[b"model"])
         self.languages = m["languages"]
         self.letters = regex.compile(r"\p{L}+").findall
         if self.languages:
             self.step = float(np.log(m["backoff"]))
             self.tables = []
-            for table in m["tables"]:
-                counts = np.array(list(table.values()), np.float64).reshape(len(table), len(self.languages))
+            for n in range(m["longest"] + 1):
+                part = table.filter(pc.equal(table["n"], n)).combine_chunks()
+                counts = pc.list_flatten(part["c"]).to_numpy().reshape(part.num_rows, len(self.languages)).astype(np.float64)
                 # what a language never says counts as half an occurrence
                 at = np.log(np.maximum(counts, 0.5) / np.maximum(counts.sum(0), 1)).astype(np.float32)
-                self.tables.append((dict(zip(table, range(len(table)), strict=True)), at))
+                self.tables.append((dict(zip(part["g"].to_pylist(), range(part.num_rows), strict=True)), at))
             self.rows = np.zeros((CACHE + len(self.tables[0][0]), len(self.languages)), np.float32)
             self.reset()
 
