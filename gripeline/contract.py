@@ -75,6 +75,17 @@ def validate_table_b(b: DataFrame, dimensions: list[str] | None = None) -> list[
     return found
 
 
+#: Values a dimension may have: the cube has a cell for each of them and each leaf.
+MAX_VALUES = 10_000
+
+
+def validate_values(b: DataFrame, dimensions: list[str], most: int = MAX_VALUES) -> None:
+    """Refuses dimensions with far too many values, such as a column of ids; counts are approximate, within some percents."""
+    found = b.agg(*(F.approx_count_distinct(c).alias(c) for c in dimensions)).first().asDict()
+    if broken := {c: n for c, n in found.items() if n > 1.1 * most}:
+        raise ContractError(f"Table B: dimension columns with more than {most} values (declare the dimensions, or bucket these): {broken}")
+
+
 def join_coverage(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: n_a distinct ids of A, n_joined of them that B has, and the share."""
     own = a.select(ID).distinct()
@@ -95,5 +106,6 @@ def validate(a: DataFrame, b: DataFrame, dimensions: list[str] | None = None) ->
     """Table A with its timestamps cast, and the dimension columns; raises ContractError at the first broken check."""
     a = validate_table_a(a)
     found = validate_table_b(b, dimensions)
+    validate_values(b, found)
     validate_join(a, b)
     return a, found

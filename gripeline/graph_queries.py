@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapters as ad
-from . import contract
+from . import contract, folders
 from . import queries as own
 from .config import DEFAULT
 from .functions import scores
@@ -30,12 +30,7 @@ OLDER = "1996-01-01"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="graphs-")
-    return f"{found}/{uuid.uuid4().hex}"
+    return f"{folders.shared(spark)}/{uuid.uuid4().hex}"
 
 
 def tagged(spark: SparkSession, d: str) -> DataFrame:

@@ -50,10 +50,16 @@ def grams(text: Column, stops: list[str]) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stops))
 
 
+#: Terms up to which their weights are broadcast.
+MAX_TERMS = 500_000
+
+
 def tfidf(a: DataFrame, min_df: int = 5, max_df: float = 0.4, stops: list[str] | None = None) -> DataFrame:
     """(conversation_id, l5_id, term, tf, weight): L2-normalised over the terms kept."""
     stops = stop_words() if stops is None else stops
-    docs = a.select("conversation_id", "l5_id", grams(F.col("text"), stops).alias("w"))
+    # documents lie whole in their partitions: of what follows, only counts by term are shuffled
+    texts = a.select("conversation_id", "l5_id", "text").repartition("conversation_id")
+    docs = texts.select("conversation_id", "l5_id", grams(F.col("text"), stops).alias("w"))
     w = F.col("w")
     pairs = F.filter(F.transform(w, lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1))), lambda x: x.isNotNull())
     # exploding the expression, not a column of it: for a column the optimizer adds a filter that splits texts anew for each word
@@ -62,7 +68,9 @@ def tfidf(a: DataFrame, min_df: int = 5, max_df: float = 0.4, stops: list[str] |
     total = a.agg(F.count("*").alias("n"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))  # one row
     df = df.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    d = tf.join(df, "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
+    df = df.persist()  # read by the check of its size and by the join
+    small = df.limit(MAX_TERMS + 1).count() <= MAX_TERMS
+    d = tf.join(F.broadcast(df) if small else df, "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("conversation_id")))
     return d.select("conversation_id", "l5_id", "term", "tf", (F.col("raw") / norm).alias("weight"))
 

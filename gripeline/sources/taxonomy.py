@@ -31,6 +31,19 @@ OWN_LEAVES = [
     ("post_sale", "support", "contact", "escalation", "escalation_request", "Asks for a manager or a complaint"),
     ("post_sale", "service", "availability", "outage", "service_outage", "Service is down or unreachable"),
     ("post_sale", "service", "app", "defect", "app_crash", "App or site crashes or misbehaves"),
+    ("pre_sale", "discovery", "search", "navigation", "search_no_result", "Search or menus do not lead to the product"),
+    ("pre_sale", "discovery", "pricing", "comparison", "price_question", "Questions about prices and how they compare"),
+    ("pre_sale", "discovery", "availability", "area", "area_not_served", "Nothing is offered at the address"),
+    ("sale", "checkout", "address", "validation", "address_rejected", "Address is not accepted at checkout"),
+    ("sale", "checkout", "confirmation", "mail", "no_confirmation", "No confirmation comes after ordering"),
+    ("sale", "account", "profile", "change", "profile_change", "Data of the profile cannot be changed"),
+    ("sale", "subscription", "plan", "renewal", "unwanted_renewal", "Subscription renewed without being wanted"),
+    ("post_sale", "delivery", "transit", "tracking", "tracking_stuck", "Tracking does not move or is wrong"),
+    ("post_sale", "delivery", "content", "mixup", "other_item_sent", "Something else was sent than ordered"),
+    ("post_sale", "quality", "product", "defect", "defective_product", "Product stops working or is faulty"),
+    ("post_sale", "returns", "process", "label", "return_label_missing", "Return label is missing or unusable"),
+    ("post_sale", "support", "contact", "tone", "unfriendly_agent", "Agent was unfriendly or dismissive"),
+    ("post_sale", "privacy", "data", "request", "data_request", "Personal data is to be shown or deleted"),
 ]
 
 

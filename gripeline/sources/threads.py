@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import folders
 from ..functions.text import clean
 
 
@@ -19,9 +20,9 @@ def thread_roots(replies: DataFrame, cut=None, max_rounds: int = 64) -> DataFram
     ``replies`` is (id, parent). Each round doubles the distance that pointers span, so a thread of n replies takes log n
     joins. Every round some reply of an unfinished thread reaches its root, so what still moves once neither the number of
     moving pointers nor a smallest id changes are cycles. ``cut`` writes a round's table to the shared
-    folder and reads it back; by default a checkpoint where a folder for them is set.
+    folder and reads it back; by default a checkpoint, so that no round plans the ones before it.
     """
-    cut = cut or (lambda df: df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df)
+    cut = cut or folders.cut
     known = replies.select("id", "parent").dropDuplicates(["id"])
     present = known.select(F.col("id").alias("parent"), F.lit(True).alias("here"))
     start = known.join(present, "parent", "left").select("id", F.when(F.col("here"), F.col("parent")).otherwise(F.col("id")).alias("up"))
@@ -58,11 +59,10 @@ def exact_sample(df: DataFrame, n: int, key: str = "conversation_id", seed: int
 def batch_slice(df: DataFrame, batch: int, size: int = 50_000, key: str = "conversation_id") -> DataFrame:
     """The rows of the batch-th slice of ``size`` rows in the order of ``key``; batches count from 1.
 
-    Keys are range-partitioned and counted by partition, so that no task sees more than its range.
+    Keys are range-partitioned and counted by partition, so that no task sees more than its range. The ranged table is written
+    once, so that counts and rows come of the same ranges.
     """
-    from pyspark.sql import Window
-
-    d = df.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id())
+    d = folders.cut(df.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id()))
     before = d.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))
     nth = F.row_number().over(Window.partitionBy("_p").orderBy(key)) + F.col("_before")
     return d.join(F.broadcast(before), "_p").withColumn("_nth", nth).where(F.col("_nth").between((batch - 1) * size + 1, batch * size)).drop("_p", "_n", "_before", "_nth")

@@ -60,3 +60,10 @@ def test_join(spark, caplog):
     with caplog.at_level(logging.WARNING):
         assert c.validate_join(ids(spark, "a", "b", "c", "d"), ids(spark, "a", "a")) == 0.25
     assert "25.0" in caplog.text
+
+
+def test_too_many_values(spark):
+    b = spark.range(3000).selectExpr("cast(id as string) conversation_id", "cast(id as string) ticket", "cast(id % 5 as string) carrier")
+    c.validate_values(b, ["ticket", "carrier"])
+    with pytest.raises(c.ContractError, match="ticket"):
+        c.validate_values(b, ["ticket", "carrier"], 1000)

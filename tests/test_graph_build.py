@@ -3,7 +3,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from gripeline.plans import build, graph, reads, report
+from gripeline import __main__ as command
+from gripeline.plans import build, graph, reads, report, tools
 from gripeline.schemas import TABLE_A
 from gripeline.sources import planted, taxonomy
 from gripeline.streaming import incremental
@@ -80,6 +81,11 @@ def test_build_reads_report(spark, tmp_path):
     assert again.version == 2 and {x["movement"] for x in reads.curated_set(g).collect()} == {"stable"}
     assert {len(x["history"]) for x in reads.affects(g).collect()} == {1} and {x["volume_delta"] for x in reads.curated_set(g).collect()} == {0}
     assert [x["run_id"] for x in reads.list_runs(g).collect()] == ["run2", "run1"] and store.read(1).runs.count() == 1
+    said = tools.drivers(g, late)
+    assert said["drivers"][0]["value"] == "USPS" and 0 < len(said["drivers"]) <= 10 and said["total_cells"] >= len(said["heatmap_top"]) > 0
+    known = tools.memory(g2, late)
+    assert known["latest_period"]["week"] == r.summary["period"] and known["prior_insights"][0]["cause"] == "c" and 0 < len(known["driver_trends"]) <= 5
+    assert sum(tools.curated(g)["by_tier"].values()) == 5
     md, js = report.render(g, "run2", str(tmp_path))
     text = open(md).read()
     assert "## Hotspots\n\n- carrier=" in text and "late_delivery" in text and "✓" in text and open(js).read().startswith("{")
@@ -125,6 +131,8 @@ def test_increments(spark, tmp_path):
     r = incremental.run_slice(a, b, store, 1, "t", size=200, pack=pack)
     assert r.summary["n_transcripts"] == 200 and incremental.run_slice(a, b, store, 1, "t", size=200, pack=pack).summary["skipped"]
     a.write.parquet(f"{tmp_path}/in")
+    told = command.main(["--tagged", f"file://{tmp_path}/in", "--graph", f"file://{tmp_path}/demo", "--demo", "150", "--report", f"{tmp_path}/out", "--run-id", "d1"])
+    assert told["n_transcripts"] == 150 and told["version"] == 1 and told["report"][0].endswith("report_d1.md")
     q = incremental.run_stream(incremental.read_stream(spark, f"{tmp_path}/in", a.schema), b, store, f"{tmp_path}/ck", pack)
     q.awaitTermination(180)
     assert store.read().runs.where(F.col("run_id").startswith("stream")).count() == 1
