@@ -90,8 +90,9 @@ class _Model:
             for n in range(m["longest"] + 1):
                 part = table.filter(pc.equal(table["n"], n)).combine_chunks()
                 counts = pc.list_flatten(part["c"]).to_numpy().reshape(part.num_rows, len(self.languages)).astype(np.float64)
-                # what a language never says counts as half an occurrence
-                at = np.log(np.maximum(counts, 0.5) / np.maximum(counts.sum(0), 1)).astype(np.float32)
+                # what a language never says counts as half an occurrence in the largest sample, so that little text makes nothing likely
+                total = np.maximum(counts.sum(0), 1)
+                at = np.log(np.where(counts > 0, counts / total, 0.5 / total.max())).astype(np.float32)
                 self.tables.append((dict(zip(part["g"].to_pylist(), range(part.num_rows), strict=True)), at))
             self.rows = np.zeros((CACHE + len(self.tables[0][0]), len(self.languages)), np.float32)
             self.reset()

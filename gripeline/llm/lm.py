@@ -12,7 +12,8 @@ before it is scored, so that what only it says counts as unseen:
 
 Words are those between ASCII white space, A-Z in lower case; the first word of a document has no context and the second one
 word. Nulls and texts without words have no words, log_score 0 and mean_log_score null. Each row of a repeated document is one
-more document. An empty table gives an empty result; extra columns are ignored.
+more document. Ids are whole numbers, and may be null or repeated. A text of any length belongs to one batch, and is scored whole by
+one task. An empty table gives an empty result; extra columns are ignored.
 
 Both sides of the join travel as packed blocks (see ``blocks``): a batch of documents sends each distinct n-gram once with its
 number, the bucket of a hash range adds the numbers up and answers with the totals. An n-gram of order 3 is only sent when both

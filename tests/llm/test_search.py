@@ -133,7 +133,8 @@ def test_language_against_brute_force(spark):
             counts[x][0][w] += 1
             for n in range(1, 5):
                 counts[x][n].update(grams(w, n))
-    log = lambda x, n, g: math.log(max(counts[x][n][g], 0.5) / max(sum(counts[x][n].values()), 1))
+    size = lambda x, n: max(sum(counts[x][n].values()), 1)
+    log = lambda x, n, g: math.log(counts[x][n][g] / size(x, n) if counts[x][n][g] else 0.5 / max(size(y, n) for y in sounds))
     for t in asked:
         total = dict.fromkeys(sounds, 0.0)
         for w in letters(t):
@@ -317,3 +318,34 @@ def test_pipeline_on_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, DIR)
         assert out.count() == 0
+
+
+def test_very_long_text(spark):
+    """A text of 1.5 MB goes through every operator whole: what stands at its end counts."""
+    from test_dedup import fingerprint
+    from test_formats import counts
+
+    from gripeline.llm import quality, simhash, suffixes, units
+
+    r = random.Random(12)
+    made = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 8))) for _ in range(40_000)]
+    lines = [" ".join(r.choices(made, k=12)) + "." for _ in range(21_000)]
+    item = " ".join(f"item{i}" for i in range(30))
+    end = "A closing line which another document has already said, in these words."
+    text = "\n".join([*lines, "Released under the MIT License.", item, end])
+    assert len(text) > 1_400_000
+    d = spark.createDataFrame([(2, text, "x/y"), (1, end, "x/z")], "doc_id long, text string, path string")
+    of = lambda df: {x["doc_id"]: x for x in df.collect()}
+    assert of(simhash.near_duplicates(d))[2]["fp"] % (1 << 64) == fingerprint(text, 4)
+    q = of(quality.judge(d))[2]
+    assert (q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"], q["n_repeat_words"]) == counts(text) and q["kept"]
+    assert of(units.remove_repeated_units(d))[2]["removed_spans"][-1].asDict() == {"start": len(text) - len(end), "end": len(text)}
+    spans = of(suffixes.remove_repeats(d))[2]["spans"]
+    assert [(x["start"], x["end"]) for x in spans] == [(len(text) - len(end), len(text))]
+    assert of(licences.own_licences(d))[2]["licence"] == "MIT"
+    assert of(decontamination.contained_items(d, spark.createDataFrame([(7, item)], "item_id long, text string")))[2]["item_id"] == 7
+    model = language.fit(spark.createDataFrame([(text[:9000], "aa"), ("xyz zzz", "bb")], "text string, lang string"))
+    assert of(language.predict(d, model))[2]["lang_pred"] == "aa"
+    assert of(lm.stupid_backoff(d))[2]["n_words"] == len(text.split())
+    done = of(bpe.decode(bpe.encode(d)))[2]
+    assert done["decoded_text"] == text and done["n_tokens"] > 300_000
