@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, language, licences, lm, quality, simhash, suffixes, units
+from . import bpe, bytebpe, centroids, chat, decontamination, language, licences, lm, quality, simhash, suffixes, units
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -191,6 +191,42 @@ SELECT doc_id, path, coalesce(o.licence, df.licence) AS licence, round(coalesce(
 FROM o LEFT JOIN df USING (dir)
 """
 
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bytebpe.decode(bytebpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return done.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(_table(spark, sf_dir, "embeddings"))
+    centroid = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(centroid, 256).alias("centroid_sha256"))
+
+
+def _sql_op12() -> str:
+    """Rounds of assignment and means, one common table after another."""
+    nearest = """a{r} AS (SELECT id, x, k, d FROM (
+  SELECT v.id, v.n, v.x, c.k, CAST(list_sum([(v.x[i] - c.x[i]) * (v.x[i] - c.x[i]) for i in range(1, 65)]) AS BIGINT) AS d FROM v CROSS JOIN c{r} c)
+  QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, k) = 1)"""
+    means = """c{s} AS (SELECT k, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+  SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM (
+    SELECT k, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM (SELECT k, x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY k, i) GROUP BY k) m USING (k))"""
+    rounds = ",\n".join(nearest.format(r=r) + (",\n" + means.format(r=r, s=r + 1) if r < 3 else "") for r in range(4))
+    return f"""
+WITH v AS (SELECT row_number() OVER () AS n, vec_id AS id, [CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT) for e in embedding] AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len([e for e in embedding if e IS NOT NULL AND isfinite(e)]) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || id), x) - 1 AS k, x FROM v QUALIFY k < 16),
+{rounds}
+SELECT id AS vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM a3 JOIN c3 USING (k)
+"""
+
+
+SQL_OP12 = _sql_op12()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_units": op2_units,
@@ -202,5 +238,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffixes": op8_suffixes,
     "op9_decontamination": op9_decontamination,
     "op10_lm": op10_lm,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_centroids": op12_centroids,
 }
-SQL: dict[str, str] = {"op1_chat": SQL_OP1, "op5_licences": SQL_OP5, "op6_quality": SQL_OP6, "op9_decontamination": SQL_OP9, "op10_lm": SQL_OP10}
+SQL: dict[str, str] = {"op1_chat": SQL_OP1, "op5_licences": SQL_OP5, "op6_quality": SQL_OP6, "op9_decontamination": SQL_OP9, "op10_lm": SQL_OP10, "op12_centroids": SQL_OP12}
