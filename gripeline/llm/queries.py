@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bytebpe, centroids, chat, decontamination, language, licences, lm, quality, simhash, suffixes, units
+from . import bpe, bytebpe, centroids, chat, decontamination, importance, language, licences, lm, quality, simhash, suffixes, units
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -227,6 +227,12 @@ FROM a3 JOIN c3 USING (k)
 
 SQL_OP12 = _sql_op12()
 
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_units": op2_units,
@@ -240,5 +246,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm": op10_lm,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_centroids": op12_centroids,
+    "op13_importance": op13_importance,
 }
 SQL: dict[str, str] = {"op1_chat": SQL_OP1, "op5_licences": SQL_OP5, "op6_quality": SQL_OP6, "op9_decontamination": SQL_OP9, "op10_lm": SQL_OP10, "op12_centroids": SQL_OP12}

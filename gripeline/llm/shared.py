@@ -71,6 +71,14 @@ def partitions(spark: SparkSession, n_bytes: float, each: int = 16 << 20) -> int
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / each))
 
 
+def about_bytes(df: DataFrame, column: str) -> int:
+    """The size of a frame's files as the optimizer knows it; where it knows none (a frame of computed rows), the bytes of a column."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < int(str(df.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes())) >> 10:
+        return known
+    return df.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0
+
+
 def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Asks for Arrow batches of few bytes for the rest of the session, whatever the length of a row; a smaller wish stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
