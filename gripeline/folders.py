@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,24 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: what follows neither plans nor computes it again."""
     shared(df.sparkSession)
     return df.checkpoint()
+
+
+class Tables:
+    """Cuts for loops: tables written to the shared folder, read back, and deleted when no later step reads them."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.n = spark, 0
+        self.root = f"{shared(spark)}/{label}-{uuid.uuid4().hex}"
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path, schema = f"{self.root}/{self.n}", df.schema
+        df.write.parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
+        out._cut_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._cut_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

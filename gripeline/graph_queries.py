@@ -195,18 +195,17 @@ def read_spikes(spark, d):
 
 @query(f"{_G} SELECT dimension, value, round(lift, 4) AS lift, support FROM edges WHERE significant AND l5_id = '{LATE}'")
 def read_drivers(spark, d):
-    return reads.drivers_of(gr.Graph(*_current(spark, d)), LATE, significant_only=True).select("dimension", "value", "lift", "support")
+    return reads.drivers_of(_current(spark, d), LATE, significant_only=True).select("dimension", "value", "lift", "support")
 
 
-def _current(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The graph without edges that only the first run had."""
-    g = graph_of(spark, d)
-    return g.nodes, g.edges.where("updated_at = 't2' OR type <> 'affects'"), g.runs
+def _current(spark: SparkSession, d: str) -> gr.Graph:
+    """The graph as of its newest run."""
+    return reads.as_of(graph_of(spark, d))
 
 
 @query(f"{_G} SELECT dimension, value, place, l5_id, support FROM (SELECT * EXCLUDE (place), row_number() OVER (PARTITION BY dimension, value ORDER BY support DESC, l5_id) AS place FROM edges WHERE dimension = 'carrier') WHERE place <= 2")
 def read_hotspots(spark, d):
-    h = reads.ops_hotspots(gr.Graph(*_current(spark, d)), "carrier", 2).select("dimension", "value", F.explode("leaves").alias("x"))
+    h = reads.ops_hotspots(_current(spark, d), "carrier", 2).select("dimension", "value", F.explode("leaves").alias("x"))
     return h.select("dimension", "value", F.col("x.place").cast("long").alias("place"), "x.l5_id", "x.support")
 
 
@@ -220,8 +219,7 @@ def read_exemplars(spark, d):
 def read_systemic(spark, d):
     from pyspark.sql import Window
 
-    g = graph_of(spark, d)
-    g = gr.Graph(g.nodes.where("type <> 'dimension' OR updated_at = 't2'"), g.edges, g.runs)
+    g = _current(spark, d)
     place = F.row_number().over(Window.orderBy(F.desc("is_bridge"), F.desc("systemic_score"), "dimension", "value")).cast("long").alias("place")  # of five rows
     return reads.systemic_drivers(g, k=5).select("dimension", "value", place)
 
@@ -236,7 +234,7 @@ def read_profile(spark, d):
 @query(f"""{_G}, c AS (SELECT l5_id, dimension, value, lift, support, significant FROM edges UNION ALL SELECT '{LATE}', 'carrier', 'Nobody', NULL, NULL, NULL)
 SELECT l5_id, dimension, value, CASE WHEN significant AND round(lift, 4) > 1 AND support >= 30 THEN 'verified' ELSE 'unsupported' END AS verdict, CASE WHEN support IS NULL THEN 'no edge' END AS reason FROM c""")
 def read_verify(spark, d):
-    g = gr.Graph(*_current(spark, d))
+    g = _current(spark, d)
     claims = reads.affects(g).select("l5_id", "dimension", "value").unionByName(spark.createDataFrame([(LATE, "carrier", "Nobody")], "l5_id string, dimension string, value string"))
     return reads.verify_claims(g, claims).select("l5_id", "dimension", "value", "verdict", "reason")
 
@@ -271,7 +269,7 @@ def read_tiers(spark, d):
 SELECT dimension, value, edges.support, o.support AS before, o.period AS period_before FROM edges JOIN o USING (dimension, value) WHERE l5_id = '{LATE}'""")
 def read_trends(spark, d):
     """Driver trends of a leaf: the entry of the run before beside that of now."""
-    t = reads.memory(gr.Graph(*_current(spark, d)), LATE)["trends"].where(F.size("history") == 2)
+    t = reads.memory(_current(spark, d), LATE)["trends"].where(F.size("history") == 2)
     return t.select("dimension", "value", "support", F.col("history")[0]["support"].alias("before"), F.col("history")[0]["period"].alias("period_before"))
 
 

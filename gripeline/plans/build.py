@@ -14,9 +14,9 @@ from ..functions.scores import tier, trend, with_severity
 from ..operators import drivers as dr
 from ..operators import metrics as me
 from ..operators import themes as th
-from ..schemas import HISTORY
+from ..schemas import HISTORY, RUN
 from ..sources.taxonomy import Pack, parents
-from .graph import Graph, Store, newest, prop, upsert_edges, upsert_nodes
+from .graph import Graph, Store, edge_id, newest, prop
 
 _HIST = "array<struct<period:string,support:bigint,share:double,lift:double>>"
 
@@ -150,9 +150,9 @@ def run(
     for x in links[1:]:
         new_links = new_links.unionByName(x)
     n_rows = a.count()
-    runs = before.runs.where(c("run_id") != run_id).unionByName(spark.createDataFrame([(run_id, period, n_rows, pack.version if pack else None, stamp)], before.runs.schema))
-    after = Graph(upsert_nodes(before.nodes, newest(new_nodes, "id", order="props")), upsert_edges(before.edges, newest(new_links, "src", "type", "dst", order="props")), runs)
-    version = store.write(after)
+    runs = spark.createDataFrame([(run_id, period, n_rows, pack.version if pack else None, stamp)], RUN)
+    update = Graph(newest(new_nodes, "id", order="props"), newest(new_links.withColumn("id", edge_id()), "src", "type", "dst", order="props"), runs)
+    version = store.commit(update, before.version)
     cells = edges.agg(F.count("*").alias("n"), F.count_if("significant").alias("s")).first()
     bridges = systemic.where("is_bridge").orderBy(F.desc("systemic_score"), "dimension", "value").limit(5).collect()
     summary = {

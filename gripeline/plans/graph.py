@@ -1,18 +1,29 @@
-"""The property graph as three versioned Parquet tables: nodes, edges, runs.
-
-A version is a directory, ``v=1``, ``v=2`` and so on. An update reads the newest complete version, merges, and writes the next one; an
-empty file ``COMPLETE`` beside its tables, made last, is what makes it a version. Nothing is deleted or renamed, so a reader sees
-either all of an update or none of it, whenever a writer stops, and old versions are the snapshots. A writer claims its number by
-creating the file ``CLAIM`` of that version, which a second writer cannot; numbers whose writer stopped are passed over.
+"""The property graph: nodes, edges and runs, kept as a log of versions over bucketed Parquet segments.
+
+A segment is a directory of three tables that is written once and never changed; nodes are bucketed by id, edges by (src, type,
+dst). An update writes one segment of what is new, however large the graph is, and then the log entry of its version, which names the
+base segment and the deltas after it. Reading merges: deltas among themselves, and the result with the base, whose buckets stay where
+they are. ``compact`` writes the merged state as a new base.
+
+The entry of version n is the file ``log/n.json``, made by a create that fails if the file is there. So of several writers that
+worked on one version, one gets the next number; the others get ``Conflict`` and their segments are never named. A writer that
+stops before its entry leaves nothing a reader sees. One that stops between creating its entry and closing it (a few bytes, after
+all data) leaves an empty entry, which no reader counts; writers wait for it and then ask for ``repair``. Nothing is renamed, and
+old versions stay readable: they are the snapshots.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..folders import Tables
 from ..functions.scores import cosine
 from ..schemas import EDGE, NODE, RUN
 
@@ -22,10 +33,16 @@ class Graph:
     nodes: DataFrame
     edges: DataFrame
     runs: DataFrame
+    #: The version that was read; None for a graph that is in no store.
+    version: int | None = None
+
+
+class Conflict(RuntimeError):
+    """The version an update was made from is not the newest any more."""
 
 
-def empty(spark: SparkSession) -> Graph:
-    return Graph(*(spark.createDataFrame([], s) for s in (NODE, EDGE, RUN)))
+def empty(spark: SparkSession, version: int | None = None) -> Graph:
+    return Graph(*(spark.createDataFrame([], s) for s in (NODE, EDGE, RUN)), version)
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -82,18 +99,24 @@ def get_edges(edges: DataFrame, node: str, direction: str = "out", edge_type: st
     return d if edge_type is None else d.where(F.col("type") == edge_type)
 
 
-def traverse(edges: DataFrame, start: str, depth: int = 2, types: list[str] | None = None, direction: str = "out") -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, distance; edges) of a breadth-first walk: nodes at a distance below ``depth``, edges out of those.
+def traverse(edges: DataFrame, start: str | list[str], depth: int = 2, types: list[str] | None = None, direction: str = "out") -> tuple[DataFrame, DataFrame]:
+    """(nodes: id, distance; edges) of a breadth-first walk from one or several nodes: those at a distance below ``depth``, edges out of them.
 
-    ``direction`` is out, in or both; both walks along source to target, as out does, but also reports edges into a node.
+    ``direction`` is out, in or both; both walks along source to target, as out does, but also reports edges into a node. Each
+    level is written to the shared folder and read back, so a level costs one join however deep the walk is; the walk ends with the first empty level.
     """
     spark = edges.sparkSession
+    tables = Tables(spark, "walk")
     e = edges if types is None else edges.where(F.col("type").isin(*types))
-    step = e.select(F.col("dst").alias("at"), F.col("src").alias("to")) if direction == "in" else e.select(F.col("src").alias("at"), F.col("dst").alias("to"))
-    seen = spark.createDataFrame([(start, 0)], "id string, distance int")
+    ends = (F.col("dst").alias("at"), F.col("src").alias("to")) if direction == "in" else (F.col("src").alias("at"), F.col("dst").alias("to"))
+    step = tables.cut(e.select(*ends).distinct()) if depth > 2 else e.select(*ends)
+    seen = spark.createDataFrame([(x, 0) for x in ([start] if isinstance(start, str) else dict.fromkeys(start))], "id string, distance int")
     front = seen
     for d in range(1, depth):
-        front = step.join(front.select(F.col("id").alias("at")), "at", "left_semi").select(F.col("to").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").select("id", F.lit(d).alias("distance"))
+        reached = step.join(front.select(F.col("id").alias("at")), "at", "left_semi").select(F.col("to").alias("id")).distinct()
+        front = tables.cut(reached.join(seen.select("id"), "id", "left_anti").select("id", F.lit(d).alias("distance")))
+        if not front.limit(1).count():
+            break
         seen = seen.unionByName(front)
     ids = seen.select("id")
     out = e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
@@ -115,55 +138,168 @@ def co_occurs(pairs: DataFrame, stamp: str) -> DataFrame:
     return both.distinct().select("src", F.lit("co_occurs").alias("type"), "dst", F.lit("{}").alias("props"), F.lit(stamp).alias("updated_at"))
 
 
+KEYS = {"nodes": ["id"], "edges": ["src", "type", "dst"]}
+SCHEMAS = {"nodes": NODE, "edges": EDGE, "runs": RUN}
+
+
+def merged_deltas(name: str, deltas: list[DataFrame], buckets: int) -> DataFrame:
+    """Updates of one table, oldest first, as one: what applying them one after another would leave of them. They are dealt out as the base is."""
+    d = deltas[0].withColumn("_n", F.lit(0))
+    for i, x in enumerate(deltas[1:], 1):
+        d = d.unionByName(x.withColumn("_n", F.lit(i)))
+    d = d.repartition(buckets, *KEYS.get(name, ["run_id"]))
+    if name == "nodes":
+        kept = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_n"))).alias(c)
+        last = F.max_by(F.struct("props", "updated_at"), "_n").alias("x")
+        return d.groupBy("id").agg(F.min_by("type", "_n").alias("type"), last, kept("embedding"), kept("pack_version")).select("id", "type", "x.props", "embedding", "pack_version", "x.updated_at")
+    key = KEYS.get(name, ["run_id"])
+    rest = [c for c in SCHEMAS[name].names if c not in key]
+    return d.groupBy(*key).agg(F.max_by(F.struct(*rest), "_n").alias("x")).select(*(c if c in key else F.col("x")[c].alias(c) for c in SCHEMAS[name].names))
+
+
 class Store:
-    """The versions of a graph below one path, on any file system that Spark reaches."""
+    """The versions of a graph below one path, on any file system that Spark reaches.
+
+    ``buckets`` counts for segments written from now on by ``compact`` and by the first update; later updates use those of the base.
+    After ``compact_after`` updates a commit compacts. The session is told not to take a union of bucketed tables for bucketed itself:
+    Spark 4.1.2 then leaves out the exchange below an aggregate and returns keys twice.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 8, compact_after: int = 8, patience: float = 30.0):
         self.spark, self.path = spark, path.rstrip("/")
+        self.buckets, self.compact_after, self.patience = buckets, compact_after, patience
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
     def _fs(self, name: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _numbers(self, name: str) -> list[int]:
-        """The versions that have a file of that name."""
-        p, fs = self._fs("")
-        if not fs.exists(p):
-            return []
-        found = [x.getPath().getName() for x in fs.listStatus(p)]
-        return sorted(n for x in found if x.startswith("v=") and (n := int(x[2:])) and fs.exists(self._fs(f"{x}/{name}")[0]))
+    def _entries(self) -> dict[int, int]:
+        """The bytes of each log entry by its number."""
+        p, fs = self._fs("log")
+        found = fs.listStatus(p) if fs.exists(p) else []
+        return {int(n[:-5]): x.getLen() for x in found if (n := x.getPath().getName()).endswith(".json") and n[:-5].isdigit()}
 
     def version(self) -> int:
-        """The newest complete version; 0 if there is none."""
-        return max(self._numbers("COMPLETE"), default=0)
+        """The newest version; 0 if there is none."""
+        return max((n for n, size in self._entries().items() if size), default=0)
+
+    def entry(self, version: int) -> dict:
+        if not version:
+            return {"base": None, "deltas": [], "buckets": self.buckets}
+        p, fs = self._fs(f"log/{version}.json")
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _append(self, version: int, entry: dict) -> None:
+        """Makes the entry of that version, or raises Conflict if there is one."""
+        p, fs = self._fs(f"log/{version}.json")
+        until = time.monotonic() + self.patience
+        while True:
+            try:
+                out = fs.create(p, False)
+            except Exception:
+                if not fs.exists(p):
+                    raise
+                if fs.getFileStatus(p).getLen():
+                    raise Conflict(f"version {version} has been written by someone else") from None
+                if time.monotonic() >= until:
+                    raise RuntimeError(f"{p.toString()} is empty: its writer stopped, or is about to fill it; see Store.repair") from None
+                time.sleep(0.2)
+                continue
+            out.write(bytearray(json.dumps(entry).encode()))
+            out.close()
+            return
+
+    def repair(self) -> None:
+        """Deletes empty log entries. Call it when no writer is at work."""
+        for n, size in self._entries().items():
+            if not size:
+                p, fs = self._fs(f"log/{n}.json")
+                fs.delete(p, False)
+
+    def _table(self, segment: str, name: str, buckets: int) -> DataFrame:
+        path = f"{self.path}/data/{segment}/{name}"
+        if name not in KEYS:
+            return self.spark.read.schema(SCHEMAS[name]).parquet(path)
+        columns, known = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SCHEMAS[name]), f"graph_{uuid.uuid4().hex}"
+        keys = ", ".join(KEYS[name])
+        self.spark.sql(f"CREATE TABLE {known} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{path}'")
+        d = self.spark.table(known)  # the plan holds what the catalog knew
+        self.spark.sql(f"DROP TABLE {known}")
+        return d
+
+    def _segment(self, g: Graph, buckets: int) -> str:
+        segment = uuid.uuid4().hex
+        for name, keys in KEYS.items():
+            known, d = f"graph_{uuid.uuid4().hex}", getattr(g, name).select(*SCHEMAS[name].names)
+            d.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{self.path}/data/{segment}/{name}").saveAsTable(known)
+            self.spark.sql(f"DROP TABLE {known}")  # an external table: its files stay
+        g.runs.write.parquet(f"{self.path}/data/{segment}/runs")
+        return segment
 
     def read(self, version: int | None = None) -> Graph:
         v = self.version() if version is None else version
         if not v:
-            return empty(self.spark)
-        of = lambda t, s: self.spark.read.schema(s).parquet(f"{self.path}/v={v}/{t}")
-        return Graph(of("nodes", NODE), of("edges", EDGE), of("runs", RUN))
-
-    def _touch(self, name: str) -> bool:
-        """Creates an empty file; false if it is there."""
-        p, fs = self._fs(name)
+            return empty(self.spark, 0)
+        e, found = self.entry(v), {}
+        for name in SCHEMAS:
+            of = lambda s, name=name: self._table(s, name, e["buckets"])
+            deltas = [of(s) for s in e["deltas"]]
+            new = deltas[0] if len(deltas) == 1 else merged_deltas(name, deltas, e["buckets"]) if deltas else None
+            if e["base"] is None:
+                found[name] = new
+            elif new is None:
+                found[name] = of(e["base"])
+            else:
+                upsert = {"nodes": upsert_nodes, "edges": upsert_edges}.get(name, lambda old, new: merged_deltas("runs", [old, new], 1))
+                found[name] = upsert(of(e["base"]), new)
+        return Graph(**found, version=v)
+
+    def commit(self, update: Graph, base: int) -> int:
+        """Adds an update (new and changed nodes, edges and runs, each key once) that was made from version ``base``; the new version.
+
+        Raises Conflict if another version has come after ``base``; the update has then to be made again from the newest.
+        """
+        if self.version() != base:
+            raise Conflict(f"made from version {base}, the newest is {self.version()}")
+        e = self.entry(base)
+        segment = self._segment(update, e["buckets"])
+        self._append(base + 1, {"base": e["base"], "deltas": [*e["deltas"], segment], "buckets": e["buckets"]})
+        if len(e["deltas"]) + 1 >= self.compact_after:
+            return self.compact(base + 1)
+        return base + 1
+
+    def update(self, make: Callable[[Graph], Graph], tries: int = 5) -> int:
+        """Commits ``make(newest graph)``; if someone else was faster, makes it again from what is newest then."""
+        for _ in range(tries - 1):
+            g = self.read()
+            try:
+                return self.commit(make(g), g.version)
+            except Conflict:
+                continue
+        g = self.read()
+        return self.commit(make(g), g.version)
+
+    def write(self, g: Graph, base: int | None = None) -> int:
+        """Puts ``g`` in place of the version that it was read from (or of ``base``); Conflict as for ``commit``."""
+        base = g.version if base is None else base
+        if base is None or self.version() != base:
+            raise Conflict(f"made from version {base}, the newest is {self.version()}")
+        segment = self._segment(g, self.buckets)
+        self._append(base + 1, {"base": segment, "deltas": [], "buckets": self.buckets})
+        return base + 1
+
+    def compact(self, version: int | None = None) -> int:
+        """The newest version as one base segment, in a version of its own. If someone else adds a version meanwhile, theirs stays."""
+        g = self.read(version)
         try:
-            fs.create(p, False).close()
-        except Exception as e:
-            if fs.exists(p):
-                return False
-            raise e
-        return True
-
-    def write(self, g: Graph) -> int:
-        """Writes the next version; its number."""
-        v = max(self._numbers("CLAIM"), default=0) + 1
-        while not self._touch(f"v={v}/CLAIM"):
-            v += 1
-        for name in ("nodes", "edges", "runs"):
-            getattr(g, name).write.parquet(f"{self.path}/v={v}/{name}")
-        self._touch(f"v={v}/COMPLETE")
-        return v
+            return self.write(g)
+        except Conflict:
+            return g.version
 
     def snapshot(self, run_id: str) -> str:
         """The current version as JSON lines, one directory a table."""

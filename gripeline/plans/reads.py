@@ -27,6 +27,16 @@ def _parsed(d: DataFrame, schema: str, *keep: str) -> DataFrame:
     return d.select(*keep, F.from_json("props", schema).alias("p")).select(*keep, "p.*")
 
 
+def as_of(g: Graph, stamp: str | None = None) -> Graph:
+    """The graph with the driver edges and dimension nodes that the run of that time wrote (default: the newest run), without those
+    that only earlier runs found. All other nodes and edges accumulate and stay."""
+    if stamp is None:
+        newest = g.runs.agg(F.max(F.struct("created_at", "run_id"))["created_at"].alias("t")).first()
+        stamp = newest["t"]
+    now = F.col("updated_at") == stamp
+    return Graph(g.nodes.where((F.col("type") != "dimension") | now), g.edges.where((F.col("type") != "affects") | now), g.runs, g.version)
+
+
 def pain_points(g: Graph) -> DataFrame:
     return _parsed(g.nodes.where("type = 'pain_point'"), _POINT)
 
@@ -152,7 +162,7 @@ def write_insight(g: Graph, l5_id: str, run_id: str, summary: str, cause: str, a
     node = one.select(key.alias("id"), F.lit("insight").alias("type"), F.to_json(F.struct("*")).alias("props"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("pack_version"), F.lit(stamp).alias("updated_at"))
     e = one.select(key.alias("src"), F.explode(F.concat(F.array(F.struct(F.lit("explains").alias("type"), F.col("l5_id").alias("dst"))), F.transform("evidence", lambda x: F.struct(F.lit("cites").alias("type"), x.alias("dst"))))).alias("x"))
     edges = e.select("src", "x.type", "x.dst", F.lit("{}").alias("props"), F.lit(stamp).alias("updated_at"))
-    return Graph(upsert_nodes(g.nodes, node), upsert_edges(g.edges, edges), g.runs)
+    return Graph(upsert_nodes(g.nodes, node), upsert_edges(g.edges, edges), g.runs, g.version)
 
 
 def list_runs(g: Graph) -> DataFrame:

@@ -92,35 +92,117 @@ def test_build_reads_report(spark, tmp_path):
     assert spark.read.json(f"{store.snapshot('run2')}/nodes").count() == g.nodes.count()
 
 
+def some_graph(spark, *nodes, edges=(), runs=()):
+    return graph.Graph(node(spark, *nodes), edge(spark, *edges), spark.createDataFrame(list(runs), graph.RUN))
+
+
+def state(g):
+    return {r["id"]: (r["type"], r["props"], r["embedding"], r["pack_version"]) for r in g.nodes.collect()}, {(r["src"], r["type"], r["dst"]): r["props"] for r in g.edges.collect()}, {r["run_id"]: r["n"] for r in g.runs.collect()}
+
+
 def test_store_survives_a_writer_that_stops(spark, tmp_path, monkeypatch):
-    store = graph.Store(spark, f"file://{tmp_path}/g")
+    store = graph.Store(spark, f"file://{tmp_path}/g", buckets=2, patience=0.3)
     assert store.version() == 0 and store.read().nodes.count() == 0
-    none = graph.empty(spark)
-    one = graph.Graph(node(spark, ("a", "x", "{}", None, None)), none.edges, none.runs)
-    two = graph.Graph(node(spark, ("b", "x", "{}", None, None)), none.edges, none.runs)
-    assert store.write(one) == 1
-    touch = graph.Store._touch
-
-    def stop_at(n):
-        calls = []
-
-        def stop(self, name):
-            calls.append(name)
-            if len(calls) == n:
-                raise KeyboardInterrupt
-            return touch(self, name)
-
-        return stop
-
-    for n in (1, 2):  # before the claim; after the tables, before they count
-        monkeypatch.setattr(graph.Store, "_touch", stop_at(n))
-        with pytest.raises(KeyboardInterrupt):
-            store.write(two)
-        assert store.version() == 1 and [r["id"] for r in store.read().nodes.collect()] == ["a"]
-    monkeypatch.setattr(graph.Store, "_touch", touch)
-    v = store.write(two)
-    assert store.version() == v > 1 and [r["id"] for r in store.read().nodes.collect()] == ["b"]
-    assert [r["id"] for r in store.read(1).nodes.collect()] == ["a"] and graph.get_node(store.read().nodes, "b").count() == 1
+    assert store.write(some_graph(spark, ("a", "x", "{}", None, None)), base=0) == 1
+    two = some_graph(spark, ("b", "x", "{}", None, None))
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    for step in ("_segment", "_append"):  # before the data; after the data, before the entry
+        with monkeypatch.context() as m:
+            m.setattr(graph.Store, step, stop)
+            with pytest.raises(KeyboardInterrupt):
+                store.commit(two, base=1)
+        assert store.version() == 1 and set(state(store.read())[0]) == {"a"}
+    (tmp_path / "g/log/2.json").touch()  # a writer that stopped between making its entry and filling it
+    assert store.version() == 1 and set(state(store.read())[0]) == {"a"}
+    with pytest.raises(RuntimeError, match="repair"):
+        store.commit(two, base=1)
+    store.repair()
+    assert store.commit(two, base=1) == 2 and set(state(store.read())[0]) == {"a", "b"} and set(state(store.read(1))[0]) == {"a"}
+
+
+def test_writers_of_one_version_lose_nothing(spark, tmp_path):
+    store = graph.Store(spark, f"file://{tmp_path}/g", buckets=2)
+    store.write(some_graph(spark, ("a", "x", "{}", None, None)), base=0)
+    base = store.read().version
+    one, two = (some_graph(spark, (i, "x", "{}", None, None), edges=[("a", "t", i, "{}")]) for i in "bc")
+    assert store.commit(one, base) == 2
+    for late in (lambda: store.commit(two, base), lambda: store.write(two, base), lambda: store.write(two)):
+        with pytest.raises(graph.Conflict):
+            late()
+    with pytest.raises(graph.Conflict):  # both saw version 2 as the newest, and one has made its entry since
+        store._append(2, {})
+
+    first = []
+
+    def make(g):
+        if not first:  # someone else commits while this update is made
+            first.append(g.version)
+            store.commit(some_graph(spark, ("d", "x", "{}", None, None)), g.version)
+        return two
+
+    assert store.update(make) == 4 and first == [2]
+    nodes, edges, _ = state(store.read())
+    assert set(nodes) == set("abcd") and set(edges) == {("a", "t", "b"), ("a", "t", "c")}
+
+
+def test_updates_merge_and_compact(spark, tmp_path):
+    """Deltas read like the same upserts one after another, before and after compaction; the base is not shuffled."""
+    store = graph.Store(spark, f"file://{tmp_path}/g", buckets=3, compact_after=4)
+    many = [(f"n{i}", "x", f'{{"v":{i}}}', [float(i)], "p1") for i in range(300)]
+    links = [(f"n{i}", "t", f"n{i + 1}", "{}") for i in range(299)]
+    g = some_graph(spark, *many, edges=links, runs=[("r0", "w", 1, None, "t")])
+    store.write(g, base=0)
+    updates = [
+        some_graph(spark, ("n1", "y", '{"v":-1}', None, None), ("new", "y", "{}", None, None), edges=[("n1", "t", "n2", '{"k":1}'), ("new", "t", "n1", "{}")], runs=[("r1", "w", 2, None, "t")]),
+        some_graph(spark, ("new", "z", '{"k":2}', [9.0], None), ("n1", "z", "{}", [5.0], "p2"), runs=[("r1", "w", 3, None, "t")]),
+        some_graph(spark, ("n1", "z", '{"last":1}', None, None), edges=[("n1", "t", "n2", '{"k":3}')]),
+    ]
+    for u in updates:
+        g = graph.Graph(graph.upsert_nodes(g.nodes, u.nodes), graph.upsert_edges(g.edges, u.edges), g.runs)
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "g").rglob("*.parquet"))
+    before = size()
+    for i, u in enumerate(updates):
+        assert store.commit(u, base=i + 1) == i + 2
+    assert size() - before < 3 * 6 * 2500  # some small files an update, whatever the graph's size
+    want = state(g)
+    got = state(store.read())
+    assert got[:2] == want[:2] and got[2] == {"r0": 1, "r1": 3}
+    spark.conf.set("spark.sql.maxMetadataStringLength", "500")
+    plan = store.read().nodes._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("FileScan") if store.entry(4)["base"] in x]
+    assert scans and "Bucketed: true" in scans[0] and plan.count("Exchange ") == 1, plan  # that of the deltas
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert state(store.read(1))[2] == {"r0": 1} and store.read().nodes.count() == 301
+    assert store.read(1).nodes.unionByName(store.read(2).nodes).groupBy("id").count().count() == 301  # a union of bucketed tables
+    assert store.commit(some_graph(spark, ("end", "x", "{}", None, None)), base=4) == 6  # the fourth update, and its compaction
+    assert store.entry(6)["deltas"] == [] and set(state(store.read())[0]) == {*want[0], "end"} and state(store.read())[1:] == (want[1], {"r0": 1, "r1": 3})
+
+
+def test_walks(spark):
+    """Plans grow by one join a level at most; several starts; cycles; ends early."""
+    n = 40
+    e = edge(spark, *[(f"a{i}", "t", f"a{(i + 1) % n}", "{}") for i in range(n)], *[(f"a{i}", "u", f"a{(i * 7) % n}", "{}") for i in range(0, n, 5)], ("b0", "t", "b1", "{}"))
+    near = {f"a{i}": [f"a{(i + 1) % n}"] + ([f"a{(i * 7) % n}"] if i % 5 == 0 else []) for i in range(n)} | {"b0": ["b1"]}
+
+    def plain(starts, depth):
+        seen = {s: 0 for s in starts}
+        for d in range(1, depth):
+            for x in [y for i, k in list(seen.items()) if k == d - 1 for y in near.get(i, [])]:
+                seen.setdefault(x, d)
+        return seen
+
+    joins = []
+    for depth in (1, 2, 4, 7):
+        seen, found = graph.traverse(e, ["a3", "b0"], depth)
+        assert {r["id"]: r["distance"] for r in seen.collect()} == plain(["a3", "b0"], depth)
+        assert {(r["src"], r["dst"]) for r in found.collect()} == {(i, j) for i in plain(["a3", "b0"], depth) for j in near.get(i, [])}
+        joins.append(seen._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+    assert joins == [0, 0, 0, 0]
+    assert {r["id"] for r in graph.traverse(e, "b1", 9, direction="in")[0].collect()} == {"b0", "b1"}
+    assert {r["id"] for r in graph.traverse(e, "a0", 3, types=["t"])[0].collect()} == {"a0", "a1", "a2"}
 
 
 def test_increments(spark, tmp_path):
