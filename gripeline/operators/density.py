@@ -187,7 +187,7 @@ def clusters(points: DataFrame, id_col: str = "id", vector_col: str = "embedding
         raise ValueError("a cluster has two points at least")
     tables = Tables(points.sparkSession, "density")
     samples = min_cluster_size if min_samples is None else min_samples
-    every = tables.cut(usable(points, id_col, vector_col))
+    every = tables.cut(usable(points.withColumn(id_col, F.col(id_col).cast("long")), id_col, vector_col))
     members = tables.cut(every.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("m")))
     base = members.select(F.col("rep").alias("id"), "vec")
     cells = Cells(base)

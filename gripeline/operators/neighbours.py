@@ -28,9 +28,9 @@ ROUNDS = 3
 
 
 def usable(vectors: DataFrame, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """(id, vec): rows with an id whose vector has no null or non-finite component; of equal ids the first vector."""
+    """(id, vec): rows with an id (long or string) whose vector has no null or non-finite component; of equal ids the first vector."""
     whole = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    d = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vec"))
+    d = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vec"))
     return d.where("id is not null and size(vec) > 0").where(whole).groupBy("id").agg(F.min("vec").alias("vec"))
 
 
@@ -53,7 +53,7 @@ class Cells:
 
     def place(self, vectors: DataFrame) -> DataFrame:
         """(cell, away, id, vec binary): each vector in the cell of its nearest pivot, ``away`` from it."""
-        pivots = self.pivots
+        pivots, kind = self.pivots, id_type(vectors)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -62,12 +62,12 @@ class Cells:
                 away = np.sqrt(((x - pivots[own]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(away), b.column("id"), packed(x)], names=["cell", "away", "id", "vec"])
 
-        return vectors.select("id", "vec").mapInArrow(run, "cell int, away double, id long, vec binary")
+        return vectors.select("id", "vec").mapInArrow(run, f"cell int, away double, id {kind}, vec binary")
 
     def visits(self, queries: DataFrame, probes: int, radius: dict[int, float] | None = None) -> DataFrame:
         """(cell, id, vec binary) for each cell that a query visits: its ``probes`` nearest; with ``radius``, the others that can hold
         a vector within ``reach`` of it."""
-        pivots = self.pivots
+        pivots, kind = self.pivots, id_type(queries)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -85,7 +85,11 @@ class Cells:
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), b.column("id").take(pa.array(row)), packed(x).take(pa.array(row))], names=["cell", "id", "vec"])
 
         keep = ["id", "vec"] if radius is None else ["id", "vec", "reach"]
-        return queries.select(*keep).mapInArrow(run, "cell int, id long, vec binary")
+        return queries.select(*keep).mapInArrow(run, f"cell int, id {kind}, vec binary")
+
+
+def id_type(d: DataFrame) -> str:
+    return d.schema["id"].dataType.simpleString()
 
 
 def matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -109,12 +113,12 @@ def _blocks(placed: DataFrame, prefix: str, n_blocks: int) -> DataFrame:
     return placed.groupBy("cell", block.alias(f"{prefix}_block")).agg(F.collect_list(F.struct("id", "vec")).alias(prefix))
 
 
-def _compare(k: int, same: bool, size: int):
+def _compare(k: int, same: bool, size: int, kind: pa.DataType):
     """The k nearest in a block of base vectors of each query of a block."""
 
     def of(rows) -> tuple[np.ndarray, np.ndarray]:
         flat = rows.values
-        return flat.field("id").to_numpy(), np.frombuffer(b"".join(flat.field("vec").to_pylist()), np.float32).reshape(-1, size).astype(np.float64)
+        return flat.field("id").to_numpy(zero_copy_only=False), np.frombuffer(b"".join(flat.field("vec").to_pylist()), np.float32).reshape(-1, size).astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,18 +131,20 @@ def _compare(k: int, same: bool, size: int):
                 slack = 1e-9 * (1 + (q**2).sum(1) + (n**2).sum(1).max())
                 row, col = np.nonzero((rough <= (last + slack)[:, None]) & np.isfinite(rough))
                 d = np.sqrt(((q[row] - n[col]) ** 2).sum(1))
-                order = np.lexsort((ns[col], d, row))
+                place = np.unique(ns, return_inverse=True)[1]
+                order = np.lexsort((place[col], d, row))
                 row, col, d = row[order], col[order], d[order]
                 nth = np.arange(len(row)) - np.searchsorted(row, row)
                 keep = nth < k
-                yield pa.RecordBatch.from_arrays([pa.array(qs[row[keep]]), pa.array(d[keep]), pa.array(ns[col[keep]])], names=["id", "d", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(qs[row[keep]], kind), pa.array(d[keep]), pa.array(ns[col[keep]], kind)], names=["id", "d", "near"])
 
     return run
 
 
 def _meet(visits: DataFrame, placed: DataFrame, k: int, same: bool, size: int, n_blocks: int) -> DataFrame:
     pairs = _blocks(visits, "queries", n_blocks).join(_blocks(placed, "base", n_blocks), "cell").select("queries", "base")
-    return pairs.mapInArrow(_compare(k, same, size), "id long, d double, near long")
+    name = id_type(visits)
+    return pairs.mapInArrow(_compare(k, same, size, pa.string() if name == "string" else pa.int64()), f"id {name}, d double, near {name}")
 
 
 def _first(found: DataFrame, k: int) -> DataFrame:
@@ -152,7 +158,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, tables: Tables, probes:
     """
     cells = cells or Cells(base)
     if not len(cells.pivots):
-        return queries.select("id", F.array().cast("array<struct<d:double,near:bigint>>").alias("near")).limit(0)
+        return queries.select("id", F.array().cast(f"array<struct<d:double,near:{id_type(queries)}>>").alias("near")).limit(0)
     size = cells.pivots.shape[1]
     fits = lambda d: d.where(F.size("vec") == size)
     placed = tables.cut(cells.place(fits(base)))

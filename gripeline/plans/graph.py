@@ -132,6 +132,31 @@ def vector_search(nodes: DataFrame, query_vector: list[float], k: int = 5, node_
     return d.where("embedding is not null").withColumn("score", cosine(F.col("embedding"), q)).where("score is not null").orderBy(F.desc("score"), "id").limit(k)
 
 
+def vector_search_many(nodes: DataFrame, queries: DataFrame, k: int = 5, node_type: str | None = None, probes: int = 8, exact: bool = False) -> DataFrame:
+    """(query, id, score, place) of the k nodes nearest by cosine to each of ``queries`` (id string, embedding), through coarse cells.
+
+    Vectors are brought to length one, where the nearest by distance are the nearest by cosine; those of length zero are left
+    out. Without ``exact`` a query sees its ``probes`` nearest cells. ``operators.neighbours`` says how.
+    """
+    from ..operators import neighbours
+
+    d = nodes if node_type is None else nodes.where(F.col("type") == node_type)
+
+    def unit(rows: DataFrame) -> DataFrame:
+        found = neighbours.usable(rows)
+        length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+        return found.withColumn("length", length).where("length > 0").select("id", F.transform("vec", lambda x: (x.cast("double") / F.col("length")).cast("float")).alias("vec"))
+
+    tables = Tables(nodes.sparkSession, "vectors")
+    base = tables.cut(unit(d))
+    found = neighbours.nearest(unit(queries), base, k, tables, probes, exact).select(F.col("id").alias("query"), F.posexplode("near").alias("place", "n"))
+    # the score is that of the vectors as they are given
+    vectors = lambda rows, c, v: neighbours.usable(rows).select(F.col("id").alias(c), F.col("vec").alias(v))
+    found = found.select("query", F.col("n.near").alias("id"), (F.col("place") + 1).alias("place"))
+    scored = found.join(vectors(d, "id", "own"), "id").join(vectors(queries, "query", "asked"), "query")
+    return scored.select("query", "id", cosine(F.col("own"), F.col("asked")).alias("score"), "place")
+
+
 def co_occurs(pairs: DataFrame, stamp: str) -> DataFrame:
     """Edges both ways for pairs (a, b) of leaves."""
     both = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))
