@@ -1,15 +1,18 @@
 """Sub-themes: what the contacts of a leaf say that others do not, and exemplars.
 
-TF-IDF runs as relational aggregates: documents are exploded to 1- and 2-grams once and counted by document; terms outside the
+TF-IDF runs as relational aggregates: words are extracted once and written, 1- and 2-grams of them counted by document; terms outside the
 document-frequency bounds go before weighting; leaf means and background means come from sums by leaf and term.
 """
 
 from __future__ import annotations
 
+from string import ascii_lowercase
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..folders import Tables
 from ..functions.text import with_snippet
 
 #: Words and artefacts of support talk that carry no theme (fixed values: TF-IDF weights and sub-themes depend on each of them, so
@@ -46,30 +49,38 @@ def stop_words() -> list[str]:
 
 def grams(text: Column, stops: list[str]) -> Column:
     """Words of three letters or more without stop words, and pairs of words that are neighbours once these are gone."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?<![\p{L}\p{N}_])([a-z]{3,})(?![\p{L}\p{N}_])"), F.lit(1))
-    return F.filter(words, lambda w: ~w.isin(*stops))
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+")
+    plain = lambda w: (F.char_length(w) >= 3) & (F.translate(w, ascii_lowercase, "") == "")
+    return F.filter(words, lambda w: plain(w) & ~w.isin(*stops))
 
 
 #: Terms up to which their weights are broadcast.
 MAX_TERMS = 500_000
 
 
-def tfidf(a: DataFrame, min_df: int = 5, max_df: float = 0.4, stops: list[str] | None = None) -> DataFrame:
-    """(conversation_id, l5_id, term, tf, weight): L2-normalised over the terms kept."""
-    stops = stop_words() if stops is None else stops
-    # documents lie whole in their partitions: of what follows, only counts by term are shuffled
-    texts = a.select("conversation_id", "l5_id", "text").repartition("conversation_id")
-    docs = texts.select("conversation_id", "l5_id", grams(F.col("text"), stops).alias("w"))
-    w = F.col("w")
+def tokenised(a: DataFrame, tables: Tables, stops: list[str] | None = None) -> DataFrame:
+    """(conversation_id, l5_id, w): the words of each contact without stop words, written once for all that counts them."""
+    texts = a.select("conversation_id", "l5_id", "text").repartition("conversation_id")  # a table of one file is one task otherwise
+    return tables.cut(texts.select("conversation_id", "l5_id", grams(F.col("text"), stop_words() if stops is None else stops).alias("w")))
+
+
+def _terms(w: Column) -> Column:
     pairs = F.filter(F.transform(w, lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1))), lambda x: x.isNotNull())
-    # exploding the expression, not a column of it: for a column the optimizer adds a filter that splits texts anew for each word
-    term = F.explode(F.concat(w, pairs)).alias("term")
-    tf = docs.select("conversation_id", "l5_id", term).groupBy("conversation_id", "l5_id", "term").agg(F.count("*").alias("tf"))
-    total = a.agg(F.count("*").alias("n"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))  # one row
+    return F.concat(w, pairs)
+
+
+def tfidf(a: DataFrame, min_df: int = 5, max_df: float = 0.4, stops: list[str] | None = None, words: DataFrame | None = None) -> DataFrame:
+    """(conversation_id, l5_id, term, tf, weight): L2-normalised over the terms kept. ``words`` is what ``tokenised`` gave for ``a``."""
+    words = tokenised(a, Tables(a.sparkSession, "themes"), stops) if words is None else words
+    # exploding the expression, not a column of it: for a column the optimizer adds a filter that builds terms anew for each word
+    df = words.select(F.explode(F.array_distinct(_terms(F.col("w")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = df.crossJoin(F.broadcast(words.agg(F.count("*").alias("n"))))  # one row
     df = df.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    df = df.persist()  # read by the check of its size and by the join
+    df = Tables(a.sparkSession, "terms").cut(df)  # read by the check of its size and by the join
     small = df.limit(MAX_TERMS + 1).count() <= MAX_TERMS
+    # documents lie whole in their partitions: of what follows, only counts by term are shuffled
+    docs = words.repartition("conversation_id")
+    tf = docs.select("conversation_id", "l5_id", F.explode(_terms(F.col("w"))).alias("term")).groupBy("conversation_id", "l5_id", "term").agg(F.count("*").alias("tf"))
     d = tf.join(F.broadcast(df) if small else df, "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("conversation_id")))
     return d.select("conversation_id", "l5_id", "term", "tf", (F.col("raw") / norm).alias("weight"))
@@ -87,6 +98,12 @@ def distinctive_terms(a: DataFrame, candidates: int = 25, min_docs: int = 15, **
     return d.withColumn("place", place).where(F.col("place") <= candidates)
 
 
+def phrases(text: Column) -> Column:
+    """Whole words of three letters or more, and pairs of them with one space between, as they stand in a text."""
+    low, edge, end = F.lower(F.coalesce(text, F.lit(""))), r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+    return F.concat(F.regexp_extract_all(low, F.lit(rf"{edge}([a-z]{{3,}}){end}"), F.lit(1)), F.regexp_extract_all(low, F.lit(rf"{edge}(?=([a-z]{{3,}} [a-z]{{3,}}){end})"), F.lit(1)))
+
+
 def drop_overlapping(terms: DataFrame) -> DataFrame:
     """Of each leaf's terms, in order of place, those that neither contain nor lie in one kept before."""
     ordered = terms.groupBy("l5_id").agg(F.array_sort(F.collect_list(F.struct("place", "term", "n_cls", "distinct"))).alias("t"))  # candidates are few
@@ -101,16 +118,19 @@ def subthemes(a: DataFrame, top: int = 5, min_docs_per_theme: int = 4, quote_cha
     ``a`` has text and severity. The quote is the best sentence of the most severe contact (ties by conversation_id).
     """
     terms = drop_overlapping(distinctive_terms(a, **kw))
-    docs = a.select("conversation_id", "l5_id", "text", F.coalesce("severity", F.lit(0.0)).alias("severity"))
-    whole = F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), F.col("term"), F.lit(r"(?![\p{L}\p{N}_])"))
-    said = docs.join(F.broadcast(terms), "l5_id").where(F.contains(F.lower("text"), F.col("term")) & F.rlike(F.lower("text"), whole))  # 25 terms a leaf
-    best = F.max_by(F.struct("severity", "text"), F.struct(F.col("severity"), F.col("conversation_id"))).alias("b")
+    terms = Tables(a.sparkSession, "terms").cut(terms)  # 25 a leaf at most
+    severity = F.coalesce("severity", F.lit(0.0)).alias("severity")
+    said = a.select("conversation_id", "l5_id", "text", "severity").repartition("conversation_id").select("conversation_id", "l5_id", severity, F.explode(F.array_distinct(phrases(F.col("text")))).alias("term")).join(terms, ["l5_id", "term"])
+    best = F.max(F.struct("severity", "conversation_id")).alias("b")
     found = said.groupBy("l5_id", "term", "place", "n_cls").agg(F.count("*").alias("count"), best).where(F.col("count") >= min_docs_per_theme)
     nth = F.row_number().over(Window.partitionBy("l5_id").orderBy("place"))
     found = found.withColumn("nth", nth).where(F.col("nth") <= top).select(
         "l5_id", F.col("term").alias("label"), F.col("nth").alias("place"), "count", (F.col("count") / F.col("n_cls")).alias("share"),
-        F.col("b.text").alias("_t"), F.col("b.severity").alias("severity"),
+        F.col("b.conversation_id").alias("conversation_id"), F.col("b.severity").alias("severity"),
     )
+    quoted = a.select("conversation_id", "l5_id", F.col("text").alias("_t")).join(found.select("conversation_id", "l5_id").distinct(), ["conversation_id", "l5_id"], "left_semi")
+    quoted = quoted.groupBy("conversation_id", "l5_id").agg(F.max("_t").alias("_t"))
+    found = found.join(quoted, ["conversation_id", "l5_id"]).drop("conversation_id")
     return with_snippet(found, "_t", F.col("label"), 1, quote_chars, "quote").drop("_t")
 
 
