@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .config import SENTIMENTS, SIGNALS
+from .folders import Tables
 
 log = logging.getLogger(__name__)
 ID = "conversation_id"
@@ -45,7 +46,12 @@ def count_violations(a: DataFrame) -> DataFrame:
 
 def validate_table_a(a: DataFrame) -> DataFrame:
     _require(a, REQUIRED_A, "Table A")
-    found = count_violations(a).first().asDict()
+    _refuse(a, count_violations(a).first().asDict())
+    return a.withColumn("created_at", F.col("created_at").cast("timestamp"))
+
+
+def _refuse(a: DataFrame, found: dict[str, int]) -> None:
+    """Raises ContractError for counts of violations that are not zero."""
     broken = {k: n for k, n in found.items() if n}
     if broken:
         examples = ""
@@ -53,7 +59,6 @@ def validate_table_a(a: DataFrame) -> DataFrame:
             rows = a.where(violations(a)["sentiment"]).select("sentiment").distinct().limit(5).collect()
             examples = f"; sentiment has {sorted(str(r[0]) for r in rows)}"
         raise ContractError(f"Table A: rows that break a check: {broken}{examples}")
-    return a.withColumn("created_at", F.col("created_at").cast("timestamp"))
 
 
 def dimension_columns(b: DataFrame) -> list[str]:
@@ -81,7 +86,14 @@ MAX_VALUES = 10_000
 
 def validate_values(b: DataFrame, dimensions: list[str], most: int = MAX_VALUES) -> None:
     """Refuses dimensions with far too many values, such as a column of ids; counts are approximate, within some percents."""
-    found = b.agg(*(F.approx_count_distinct(c).alias(c) for c in dimensions)).first().asDict()
+    _refuse_values(b.agg(*_value_counts(dimensions)).first().asDict(), most)
+
+
+def _value_counts(dimensions: list[str]) -> list[Column]:
+    return [F.approx_count_distinct(c).alias(c) for c in dimensions]
+
+
+def _refuse_values(found: dict[str, int], most: int = MAX_VALUES) -> None:
     if broken := {c: n for c, n in found.items() if n > 1.1 * most}:
         raise ContractError(f"Table B: dimension columns with more than {most} values (declare the dimensions, or bucket these): {broken}")
 
@@ -102,6 +114,25 @@ def validate_join(a: DataFrame, b: DataFrame) -> float:
     return share
 
 
+def admit(a: DataFrame, b: DataFrame, tables: Tables, dimensions: list[str] | None = None, values: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, list[str], int]:
+    """What ``validate`` checks, in one job a table: both are written with the columns that a build reads (of B also ``values``), and
+    counted while they are; then the ids are joined. Returns both as written, the dimension columns, and the rows of A."""
+    _require(a, REQUIRED_A, "Table A")
+    found = validate_table_b(b, dimensions)
+    seen_a, seen_b = Observation(), Observation()
+    bad = violations(a)
+    kept = a.observe(seen_a, F.count(F.lit(1)).alias("rows"), *(F.count_if(x).alias(name) for name, x in bad.items()))
+    # a value that is no timestamp is counted, not cast: the write must not stop at it
+    kept = tables.cut(kept.withColumn("created_at", F.col("created_at").cast("string").try_cast("timestamp") if dict(a.dtypes)["created_at"] == "string" else F.col("created_at").cast("timestamp")))
+    counts = dict(seen_a.get)
+    rows = counts.pop("rows")
+    _refuse(a, counts)
+    own = tables.cut(b.select(ID, *dict.fromkeys(c for c in (*found, *values) if c in b.columns)).observe(seen_b, *_value_counts(found)))
+    _refuse_values(dict(seen_b.get))
+    validate_join(kept, own)
+    return kept, own, found, rows
+
+
 def validate(a: DataFrame, b: DataFrame, dimensions: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """Table A with its timestamps cast, and the dimension columns; raises ContractError at the first broken check."""
     a = validate_table_a(a)

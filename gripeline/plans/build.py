@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT, Config
-from ..contract import validate
+from ..contract import admit
+from ..folders import Tables
 from ..functions.scores import tier, trend, with_severity
 from ..operators import drivers as dr
 from ..operators import metrics as me
@@ -54,20 +55,16 @@ def run(
 ) -> Result:
     """Validates, computes and upserts; the summary is collected, a few rows.
 
-    Tables by leaf and cells of the cube are small and persisted while several writes read them; A and B are read as often as
-    operators need them.
+    A and B are read once: written with the columns needed and counted meanwhile (``contract.admit``). Tables by leaf and the
+    cells of the cube are written too, so that each later step is planned over small files of known size.
     """
     spark = a.sparkSession
-    a, dims = validate(a, b, dimensions)
+    tables = Tables(spark, "build")
+    a, b, dims, n_rows = admit(a, b, tables, dimensions, (order_value,) if order_value else ())
     a = with_severity(a, cfg)
     if cfg.value_source == "joined" and order_value and order_value not in a.columns:
         a = a.join(b.select("conversation_id", order_value), "conversation_id", "left")
-    held = []
-
-    def hold(df: DataFrame) -> DataFrame:
-        held.append(df.persist())
-        return held[-1]
-
+    hold = tables.cut
     before = store.read()
     weekly = hold(me.weekly_metrics(a, order_value))
     z = hold(me.zscores(weekly, cfg))
@@ -94,7 +91,7 @@ def run(
     by_leaf = by_dim.groupBy("l5_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "v")))).alias("facets"))
     theme = F.struct(F.col("label"), F.col("count"), F.round("share", 3).alias("share"), F.col("quote"), F.round("severity", 1).alias("severity"))
     said = themes.groupBy("l5_id").agg(ranked(theme).alias("subthemes"))
-    old = before.nodes.select(F.col("id").alias("l5_id"), prop("importance").alias("importance_prev"), prop("total_volume").cast("long").alias("volume_prev"), prop("first_seen").alias("first_seen"))
+    old = before.nodes.where("type = 'pain_point'").select(F.col("id").alias("l5_id"), prop("importance").alias("importance_prev"), prop("total_volume").cast("long").alias("volume_prev"), prop("first_seen").alias("first_seen"))
     points = leaves.join(tops, "l5_id", "left").join(by_leaf, "l5_id", "left").join(said, "l5_id", "left").join(old, "l5_id", "left")
     c = F.col
     nodes.append(_node("pain_point", points, c("l5_id"), json_of(
@@ -149,7 +146,6 @@ def run(
         new_nodes = new_nodes.unionByName(x)
     for x in links[1:]:
         new_links = new_links.unionByName(x)
-    n_rows = a.count()
     runs = spark.createDataFrame([(run_id, period, n_rows, pack.version if pack else None, stamp)], RUN)
     update = Graph(newest(new_nodes, "id", order="props"), newest(new_links.withColumn("id", edge_id()), "src", "type", "dst", order="props"), runs)
     version = store.commit(update, before.version)
@@ -161,6 +157,4 @@ def run(
         "top_egregious": [r[0] for r in scores.orderBy(F.desc("egregiousness"), "l5_id").limit(5).select("l5_id").collect()],
         "top_bridges": [f"{r['dimension']}={r['value']}" for r in bridges], "version": version,
     }
-    for df in held:
-        df.unpersist()
     return Result(summary, version)
