@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapters as ad
+from .config import SIGNALS
+from .graph_queries import PACK, shared_folder
 from .operators import density
 from .plans import graph as gr
-from .graph_queries import shared_folder
 from .queries import nodes_of, query
+from .sources import model_tagger, tagger
 
 
 def trade_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -81,3 +83,41 @@ def vector_neighbours(spark, d):
 def density_clusters(spark, d):
     """Clusters of the embeddings by density, with noise; a hierarchy over neighbours, which SQL cannot express within reason."""
     return density.clusters(ad.table(spark, d, "embeddings"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
+class MadeReplies:
+    """Stands for a model: replies made from the items, by turns in a fence, as a list, broken off, and as an object; some rows are left out."""
+
+    def ask(self, prompts: DataFrame) -> DataFrame:
+        n = lambda x: F.char_length(x["text"])
+        leaves, moods = F.lit([i.split("__")[-1] for i in PACK.ids()]), F.lit(["very_neg", " NEG ", "Neutral", "pos"])
+        bit = lambda x, k: (n(x) % k == 0).cast("int")
+        tag = lambda x: F.struct(
+            x["conversation_id"].alias("conversation_id"), F.get(leaves, n(x) % len(PACK.ids())).alias("l5_id"), F.get(moods, n(x) % 4).alias("sentiment"), bit(x, 2).alias("churn_intent"),
+            bit(x, 3).alias("financial_harm"), bit(x, 5).alias("safety_legal"), bit(x, 11).alias("repeat_contact"), bit(x, 13).alias("unresolved"), (n(x) % 10 / 10.0).alias("confidence"),
+        )
+        tags = F.to_json(F.transform(F.filter("items", lambda x: n(x) % 7 != 0), tag))
+        whole = F.concat(F.lit('{"tags": '), tags, F.lit("}"))
+        kind = F.col("batch") % 4
+        reply = F.when(kind == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(kind == 1, tags).when(kind == 2, F.substring(whole, 1, 40)).otherwise(whole)
+        return prompts.select("batch", reply.alias("reply"))
+
+
+_PART = f"('0x' || substr(md5(conversation_id), 1, 8))::BIGINT % (SELECT greatest(1, CAST(ceil(count(*) / {model_tagger.PART_ROWS}) AS BIGINT)) FROM c)"
+
+
+@query(f"""WITH c AS (SELECT conv_id || '-' || turn AS conversation_id, coalesce(min(text), '') AS text FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+p AS (SELECT *, length(text) AS n, {_PART} AS part FROM c), b AS (SELECT *, (part * 4294967296 + (row_number() OVER (PARTITION BY part ORDER BY conversation_id, text) - 1) // 10) % 4 AS kind FROM p)
+SELECT conversation_id, CASE WHEN ok THEN list_extract({PACK.ids()!r}, CAST(n % {len(PACK.ids())} AS INT) + 1) ELSE '{PACK.ids()[0]}' END AS l5_id,
+  CASE WHEN ok THEN list_extract(['very_neg', 'neg', 'neutral', 'pos'], CAST(n % 4 AS INT) + 1) ELSE 'neg' END AS sentiment, CAST(ok AND n % 2 = 0 AS INT) AS churn_intent, CAST(ok AND n % 3 = 0 AS INT) AS financial_harm,
+  CAST(ok AND n % 5 = 0 AS INT) AS safety_legal, CAST(ok AND n % 11 = 0 AS INT) AS repeat_contact, CAST(CASE WHEN ok THEN n % 13 = 0 ELSE true END AS INT) AS unresolved,
+  CASE WHEN ok THEN round(n % 10 / 10.0::DOUBLE, 6) ELSE 0.0::DOUBLE END AS confidence, kind <> 2 AS cached
+FROM (SELECT *, kind <> 2 AND n % 7 <> 0 AS ok FROM b)""")
+def model_tags(spark, d):
+    """Every user turn, tagged from replies in batches of ten: fenced, bare, as a list, broken off, with rows left out."""
+    c = ad.table(spark, d, "conversations").where("role = 'user' and conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    c = c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("conversation_id"), "text")
+    tagged, new = tagger.tag_conversations(c, PACK, model_tagger.ModelTagger(MadeReplies(), model_tagger.LOCAL_BATCH))
+    cached = new.select("key", F.lit(True).alias("cached"))
+    d = tagged.withColumn("key", tagger.cache_key(PACK.version)).join(cached, "key", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
+    return d.select("conversation_id", "l5_id", "sentiment", *SIGNALS, F.round("confidence", 6).alias("confidence"), "cached")
