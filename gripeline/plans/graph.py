@@ -246,23 +246,32 @@ class Store:
                 p, fs = self._fs(f"log/{n}.json")
                 fs.delete(p, False)
 
-    def _table(self, segment: str, name: str, buckets: int) -> DataFrame:
-        path = f"{self.path}/data/{segment}/{name}"
-        if name not in KEYS:
-            return self.spark.read.schema(SCHEMAS[name]).parquet(path)
-        columns, known = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SCHEMAS[name]), f"graph_{uuid.uuid4().hex}"
-        keys = ", ".join(KEYS[name])
-        self.spark.sql(f"CREATE TABLE {known} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    def get(self, name: str, schema, buckets: int, keys: list[str]) -> DataFrame:
+        """A table that ``put`` wrote, known to be bucketed."""
+        known = f"graph_{uuid.uuid4().hex}"
+        columns, by = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), ", ".join(keys)
+        self.spark.sql(f"CREATE TABLE {known} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'")
         d = self.spark.table(known)  # the plan holds what the catalog knew
         self.spark.sql(f"DROP TABLE {known}")
         return d
 
+    def put(self, d: DataFrame, name: str, buckets: int, keys: list[str], overwrite: bool = False) -> None:
+        """Writes a table bucketed and sorted by ``keys`` below the store's path."""
+        known = f"graph_{uuid.uuid4().hex}"
+        out = d.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+        out.mode("overwrite" if overwrite else "error").option("path", f"{self.path}/{name}").saveAsTable(known)
+        self.spark.sql(f"DROP TABLE {known}")  # an external table: its files stay
+
+    def _table(self, segment: str, name: str, buckets: int) -> DataFrame:
+        path = f"data/{segment}/{name}"
+        if name not in KEYS:
+            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{path}")
+        return self.get(path, SCHEMAS[name], buckets, KEYS[name])
+
     def _segment(self, g: Graph, buckets: int) -> str:
         segment = uuid.uuid4().hex
         for name, keys in KEYS.items():
-            known, d = f"graph_{uuid.uuid4().hex}", getattr(g, name).select(*SCHEMAS[name].names)
-            d.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{self.path}/data/{segment}/{name}").saveAsTable(known)
-            self.spark.sql(f"DROP TABLE {known}")  # an external table: its files stay
+            self.put(getattr(g, name).select(*SCHEMAS[name].names), f"data/{segment}/{name}", buckets, keys)
         g.runs.write.parquet(f"{self.path}/data/{segment}/runs")
         return segment
 

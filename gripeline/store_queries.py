@@ -10,6 +10,7 @@ from .config import SIGNALS
 from .graph_queries import PACK, shared_folder
 from .operators import density
 from .plans import graph as gr
+from .plans import search
 from .queries import nodes_of, query
 from .sources import model_tagger, tagger
 
@@ -121,3 +122,31 @@ def model_tags(spark, d):
     cached = new.select("key", F.lit(True).alias("cached"))
     d = tagged.withColumn("key", tagger.cache_key(PACK.version)).join(cached, "key", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
     return d.select("conversation_id", "l5_id", "sentiment", *SIGNALS, F.round("confidence", 6).alias("confidence"), "cached")
+
+
+def turns_store(spark: SparkSession, d: str) -> gr.Store:
+    """All turns of the conversations as exemplars of their roles."""
+    t = ad.table(spark, d, "conversations").where("conv_id is not null and turn is not null")
+    t = t.groupBy("conv_id", "turn").agg(F.coalesce(F.min("text"), F.lit("")).alias("snippet"), F.coalesce(F.min("role"), F.lit("")).alias("l5_id"))
+    key = F.concat(F.lit("exemplar:"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    props = F.to_json(F.struct(key.alias("conversation_id"), "l5_id", "snippet", (F.col("turn") % 5).cast("double").alias("severity")))
+    nodes = t.select(key.alias("id"), F.lit("exemplar").alias("type"), props.alias("props"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("pack_version"), F.lit("0").alias("updated_at"))
+    store, none = gr.Store(spark, shared_folder(spark)), gr.empty(spark)
+    store.write(gr.Graph(nodes, none.edges, none.runs), base=0)
+    return store
+
+
+ASKED = "how can I learn to explain the water"
+_ASKED = f"unnest({sorted(set(ASKED.lower().split()))!r})"
+
+
+@query(f"""WITH t AS (SELECT 'exemplar:' || conv_id || '-' || turn AS id, coalesce(min(text), '') AS snippet, coalesce(min(role), '') AS l5_id, (turn % 5)::DOUBLE AS severity FROM conversations
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+w AS (SELECT *, regexp_extract_all(translate(snippet, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9'']+') AS w FROM t), a AS (SELECT count(*) AS n, sum(len(w))::DOUBLE AS words FROM w),
+q AS (SELECT {_ASKED} AS term), p AS (SELECT id, l5_id, severity, len(w) AS length, term, len(list_filter(w, lambda x: x = term)) AS tf FROM w, q),
+df AS (SELECT term, count(*) AS df FROM p WHERE tf > 0 GROUP BY term),
+s AS (SELECT id, l5_id, severity, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / (words / n)))) AS score FROM p JOIN df USING (term), a WHERE tf > 0 GROUP BY ALL)
+SELECT id, l5_id, severity, round(score, 6) AS score FROM s ORDER BY round(score, 9) DESC, severity DESC, id LIMIT 20""")
+def transcript_search(spark, d):
+    """The twenty turns that match best, from the postings of the words asked for."""
+    return search.Index(turns_store(spark, d)).build().search(ASKED, k=20).select("id", "l5_id", "severity", F.round("score", 6).alias("score"))
