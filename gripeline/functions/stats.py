@@ -1,10 +1,10 @@
-"""Statistics as column expressions and window functions."""
+"""Statistics as column expressions."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Coefficients of a published rational Chebyshev fit of erfc, of fractional error below 1.2e-7 (fixed values).
@@ -24,23 +24,3 @@ def two_proportion_p(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     variance = pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2))
     z = F.try_divide(F.abs(F.try_divide(k1.cast("double"), n1) - F.try_divide(k2.cast("double"), n2)), F.sqrt(variance))
     return F.when((n1 < 5) | (n2 < 5), 1.0).otherwise(F.coalesce(erfc(z / F.sqrt(F.lit(2.0))), F.lit(1.0)))
-
-
-def benjamini_hochberg(tests: DataFrame, p: str, out: str, *ties: str) -> DataFrame:
-    """``tests`` with adjusted p-values, all rows one family: p·m/rank, made monotone from the largest p down.
-
-    The family is one window without partitions: tests are cells of a cube, some thousands whatever the input's size.
-    """
-    order = Window.orderBy(p, *ties)
-    ranked = tests.withColumn("_rank", F.row_number().over(order)).withColumn("_m", F.count("*").over(Window.partitionBy()))
-    from_here = Window.orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)
-    scaled = F.col(p) * F.col("_m") / F.col("_rank")
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min(scaled).over(from_here))).drop("_rank", "_m")
-
-
-def percentile(column: str) -> Column:
-    """(average rank - 1) / (n - 1) over all rows; 0.5 for a single row."""
-    every, peers = Window.partitionBy(), Window.partitionBy(column)
-    n = F.count("*").over(every)
-    average = F.rank().over(Window.orderBy(column)) + (F.count("*").over(peers) - 1) / 2.0
-    return F.when(n <= 1, 0.5).otherwise(F.try_divide(average - 1.0, n - 1))

@@ -19,11 +19,12 @@ the condensed tree for the choice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..folders import Tables
 from .neighbours import Cells, nearest, usable
+from .ordered import places
 
 CLOSEST = 1e-9
 NOISE = -1
@@ -87,19 +88,6 @@ def chains(vertices: DataFrame, edges: DataFrame, tables: Tables) -> DataFrame:
     return tables.cut(every)
 
 
-def places(d: DataFrame, tables: Tables, *order: Column) -> DataFrame:
-    """``d`` with ``at``: 0, 1, 2, ... in that order, by a range sort; no window over all rows."""
-    n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = tables.cut(d.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    before, rows = 0, []
-    for r in sorted(d.groupBy(part.cast("int").alias("part")).count().collect(), key=lambda r: r["part"]):  # a row a partition
-        rows.append((r["part"], before))
-        before += r["count"]
-    sizes = d.sparkSession.createDataFrame(rows, "_part int, _before long")
-    return d.withColumn("_part", part.cast("int")).join(sizes, "_part").withColumn("at", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
-
-
 def dendrogram(vertices: DataFrame, edges: DataFrame, tables: Tables) -> DataFrame:
     """(at, w, id, m, parent): id and m of vertices are null and 0 for edges; parent is the place of the edge above, null at a root."""
     d = chains(vertices, edges, tables).join(vertices.select(F.col("id").alias("a"), "m"), "a", "left")

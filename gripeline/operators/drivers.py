@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.stats import benjamini_hochberg, two_proportion_p
+from ..folders import Tables
+from ..functions.stats import two_proportion_p
+from .ordered import benjamini_hochberg
 
 MISSING = "__missing__"
 CELL = ("l5_id", "dimension", "value")
@@ -29,7 +31,7 @@ def cell_counts(merged: DataFrame, dimensions: list[str]) -> DataFrame:
     counted = merged.select("l5_id", pairs).groupBy("l5_id", "x.dimension", "x.value").agg(F.count("*").alias("support"))
     values = counted.groupBy("dimension", "value").agg(F.sum("support").alias("n_d"))
     one = counted.where(F.col("dimension") == present[0]).groupBy("l5_id").agg(F.sum("support").alias("n_l5"))
-    leaves = one.withColumn("n_total", F.sum("n_l5").over(Window.partitionBy()))
+    leaves = one.crossJoin(F.broadcast(one.agg(F.sum("n_l5").alias("n_total"))))  # one row
     # leaves × values is what the cube consists of: two small tables whatever the number of rows
     return values.crossJoin(leaves).join(counted, list(CELL), "left").select(*CELL, F.coalesce("support", F.lit(0)).cast("long").alias("support"), "n_d", "n_l5", "n_total")
 
@@ -45,7 +47,7 @@ def test_cells(cells: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Cells with p_raw (null below min_support), p_value (adjusted over all tested cells; 1 below) and significant."""
     tested = F.col("support") >= cfg.min_support
     p = two_proportion_p(F.col("support"), F.col("n_d"), F.col("n_l5") - F.col("support"), F.col("n_total") - F.col("n_d"))
-    d = cells.withColumn("p_raw", F.when(tested, p))
+    d = Tables(cells.sparkSession, "cells").cut(cells.withColumn("p_raw", F.when(tested, p)))  # read by the ranking and by both parts of the result
     adjusted = benjamini_hochberg(d.where(tested), "p_raw", "p_value", *CELL)
     rest = d.where(~tested).withColumn("p_value", F.lit(1.0))
     return adjusted.unionByName(rest).withColumn("significant", F.col("p_raw").isNotNull() & (F.col("p_value") < cfg.alpha))
@@ -92,9 +94,10 @@ def systemic(edges: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         F.sum("support").alias("total_support"), F.avg("lift").alias("mean_lift"), F.max("lift").alias("max_lift"),
     )
     raw = F.col("n_significant") * F.col("mean_lift")
-    most = F.max(raw).over(Window.partitionBy())
+    names, most = d.columns, F.col("_most")
+    d = d.crossJoin(F.broadcast(d.agg(F.max(raw).alias("_most"))))  # one row
     return d.select(
-        "*", (F.col("n_significant") >= cfg.bridge_leaves).alias("is_bridge"), (F.col("n_significant") == 1).alias("is_singleton"),
+        *names, (F.col("n_significant") >= cfg.bridge_leaves).alias("is_bridge"), (F.col("n_significant") == 1).alias("is_singleton"),
         (raw / F.when(most == 0, 1.0).otherwise(most)).alias("systemic_score"),
     )
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..folders import Tables
 from ..functions.scores import iso_week, sentiment_number
-from ..functions.stats import percentile
+from .ordered import percentiles
 
 
 def _value(a: DataFrame, column: str | None) -> Column:
@@ -59,17 +60,18 @@ def egregiousness(stats: DataFrame, z: DataFrame, cfg: Config = DEFAULT) -> Data
     """By leaf: the weighted blend of four percentiles, and these. A leaf without a z-score has z = 0.
 
     Negative z counts as zero; without any order value its weight goes to the three others in their default shares
-    .40/.30/.30. All leaves stand in one window: there are as many rows as leaves.
+    .40/.30/.30. Ranks come from a range sort; the leaves' figures are written once for it.
     """
     d = stats.join(z.select("l5_id", "zscore"), "l5_id", "left").select(
         "l5_id", "total_volume", "severity_avg", F.greatest(F.coalesce("zscore", F.lit(0.0)), F.lit(0.0)).alias("spike"), "order_value_sum"
     )
-    valued = F.sum("order_value_sum").over(Window.partitionBy()) > 0
+    tables = Tables(stats.sparkSession, "ranking")
+    d = tables.cut(d)
+    valued = (d.agg(F.sum("order_value_sum")).first()[0] or 0) > 0
     third = cfg.weight_value / 3
-    d = d.select(
-        "l5_id", percentile("total_volume").alias("pct_volume"), percentile("severity_avg").alias("pct_severity"), percentile("spike").alias("pct_spike"),
-        F.when(valued, percentile("order_value_sum")).otherwise(0.0).alias("pct_value"), valued.alias("_v"),
-    )
+    named = {"total_volume": "pct_volume", "severity_avg": "pct_severity", "spike": "pct_spike", "order_value_sum": "pct_value"}
+    ranks = percentiles(d, "l5_id", list(named), tables)
+    d = ranks.select("l5_id", *(F.col(f"pct_{c}").alias(name) for c, name in named.items() if c != "order_value_sum"), (F.col("pct_order_value_sum") if valued else F.lit(0.0)).alias("pct_value"))
     with_value = cfg.weight_volume * F.col("pct_volume") + cfg.weight_severity * F.col("pct_severity") + cfg.weight_spike * F.col("pct_spike") + cfg.weight_value * F.col("pct_value")
     without = (cfg.weight_volume + third) * F.col("pct_volume") + (cfg.weight_severity + third) * F.col("pct_severity") + (cfg.weight_spike + third) * F.col("pct_spike")
-    return d.select("l5_id", F.when(F.col("_v"), with_value).otherwise(without).alias("egregiousness"), "pct_volume", "pct_severity", "pct_spike", "pct_value")
+    return d.select("l5_id", (with_value if valued else without).alias("egregiousness"), "pct_volume", "pct_severity", "pct_spike", "pct_value")

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from . import adapters as ad
 from . import contract
+from .folders import Tables
 
 from .functions import scores, stats, text
 from .functions.scores import with_severity
 from .operators import drivers as dr
 from .operators import metrics as me
+from .operators import ordered
 from .operators import themes as th
 from .plans import graph as gr
 from .sources import planted, taxonomy, threads
@@ -189,7 +191,8 @@ def window_stats(spark, d):
 
 @query(f"SELECT n_nationkey, round({_pct('n_regionkey')}, 6) AS pct FROM nation")
 def avg_percentile_rank(spark, d):
-    return ad.table(spark, d, "nation").select("n_nationkey", F.round(stats.percentile("n_regionkey"), 6).alias("pct"))
+    ranked = ordered.percentiles(ad.table(spark, d, "nation"), "n_nationkey", ["n_regionkey"], Tables(spark, "ranks"))
+    return ranked.select("n_nationkey", F.round("pct_n_regionkey", 6).alias("pct"))
 
 
 _ECOLS = "l5_id, round(egregiousness, 6) AS egregiousness, round(pct_volume, 6) AS pct_volume, round(pct_severity, 6) AS pct_severity, round(pct_spike, 6) AS pct_spike, round(pct_value, 6) AS pct_value"

@@ -3,8 +3,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from gripeline.folders import Tables
 from gripeline.functions import scores, stats
 from gripeline.operators import metrics as me
+from gripeline.operators import ordered
 
 SIG = "sentiment string, churn_intent int, financial_harm int, safety_legal int, repeat_contact int, unresolved int"
 
@@ -68,9 +70,10 @@ def test_no_value_redistributes(spark):
 
 
 def test_percentile_ties(spark):
-    d = spark.createDataFrame([(1,), (2,), (2,), (3,)], "x int").select("x", stats.percentile("x").alias("p"))
-    assert sorted((r["x"], round(r["p"], 6)) for r in d.collect()) == [(1, 0.0), (2, 0.5), (2, 0.5), (3, 1.0)]
-    assert spark.createDataFrame([(7,)], "x int").select(stats.percentile("x").alias("p")).first()["p"] == 0.5
+    tables = Tables(spark, "t")
+    d = spark.createDataFrame([(1, 1), (2, 2), (3, 2), (4, 3)], "k int, x int")
+    assert {r["k"]: round(r["pct_x"], 6) for r in ordered.percentiles(d, "k", ["x"], tables).collect()} == {1: 0.0, 2: 0.5, 3: 0.5, 4: 1.0}
+    assert ordered.percentiles(spark.createDataFrame([(1, 7)], "k int, x int"), "k", ["x"], tables).first()["pct_x"] == 0.5
 
 
 def test_erfc(spark):
