@@ -283,8 +283,7 @@ def report_composition(spark, d):
 UNION ALL SELECT 'drivers', (SELECT count(*) FROM tops WHERE nth <= 5) UNION ALL SELECT 'lines', (SELECT count(*) FROM pp)""")
 def report_sections(spark, d):
     """How much each section of the report holds; ``lines`` are the leaves that the Markdown gives a heading."""
-    nodes, edges, runs = _current(spark, d)
-    data = report.data(gr.Graph(nodes.where("type <> 'dimension' OR updated_at = 't2'"), edges, runs), "run2")
+    data = report.data(_current(spark, d), "run2")
     n = {s: len(data[s]) for s in ("curated", "bridges", "spikes")}
     n |= {"drivers": sum(len(c["top_drivers"]) for c in data["curated"]), "lines": report.markdown(data).count("\n### ")}
     return spark.createDataFrame(list(n.items()), "section string, n long")

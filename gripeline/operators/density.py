@@ -1,7 +1,8 @@
 """Density clusters with noise, by hierarchy (HDBSCAN), as joins: no point, edge or cluster is collected.
 
 1. Equal vectors are one vertex with a weight; its core distance is that to its ``min_samples``-th other point, copies counted.
-2. Vertices are joined to their nearest neighbours (``neighbours.nearest``); an edge weighs the mutual reachability distance, the
+2. Vertices are joined to their nearest neighbours (``neighbours.nearest``) and, so that the graph hangs together, to the middle vertex
+   of their cell; these middles, one a cell, to each other by a spanning tree. An edge weighs the mutual reachability distance, the
    largest of its length and the two core distances. Edges are in one total order: weight, then ids.
 3. Borůvka rounds: each part takes its lightest edge out, parts so joined become one. The edges taken make the minimum spanning forest.
 4. The same rounds give the dendrogram. An edge taken in round i lies in a part of each later round; the first round whose part
@@ -11,14 +12,15 @@
    the cluster that each point falls out of, come from pointer doubling; stabilities are sums by cluster, with 1 / distance as density.
 6. The most stable clusters are chosen from the leaves up; everything else is noise, -1.
 
-With exact neighbours and enough of them this is the clustering by the full mutual reachability graph; with fewer, parts of the
-neighbour graph that stay apart count as joined at infinite distance. The root is no cluster where it is one part. Distances
+With exact neighbours and enough of them this is the clustering by the full mutual reachability graph; with fewer, groups that are
+far apart are joined by links that may be longer than the shortest there is. The root is no cluster. Distances
 below ``CLOSEST`` count as that. Rounds: some log2 of the vertices for Borůvka, of the tree's depth for doubling, and the depth of
 the condensed tree for the choice.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,32 @@ CLOSEST = 1e-9
 NOISE = -1
 
 
-def reachability(vertices: DataFrame, near: DataFrame, min_samples: int) -> tuple[DataFrame, DataFrame]:
-    """Vertices (id, m, core) and edges (w, a, b) with a < b, from (id, m) and (id, near)."""
+def links(base: DataFrame, cells: Cells, tables: Tables) -> DataFrame:
+    """(d, a, b) from each vertex of (id, vec) to the middle one of its cell, the nearest to the pivot, and a spanning tree of these.
+
+    The middles, ``neighbours.MAX_CELLS`` of them at most, are collected.
+    """
+    placed = tables.cut(cells.place(base).select("cell", "away", "id"))
+    middle = placed.groupBy("cell").agg(F.min(F.struct("away", "id"))["id"].alias("mid"))
+    middles = tables.cut(middle.join(base.select(F.col("id").alias("mid"), F.col("vec").alias("mid_vec")), "mid"))
+    gap = F.sqrt(F.aggregate(F.zip_with("vec", "mid_vec", lambda x, y: (x.cast("double") - y.cast("double")) ** 2), F.lit(0.0), lambda s, x: s + x))
+    stars = base.join(placed.select("id", "cell"), "id").join(middles, "cell").where("id != mid").select(gap.alias("d"), F.least("id", "mid").alias("a"), F.greatest("id", "mid").alias("b"))
+    rows = middles.select("mid", "mid_vec").orderBy("mid").collect()
+    x, found = np.array([r["mid_vec"] for r in rows], np.float64), []
+    near, to = np.full(len(rows), np.inf), np.zeros(len(rows), np.int64)  # of those outside the tree: how far, and from which in it
+    at, outside = 0, np.ones(len(rows), bool)
+    for _ in range(len(rows) - 1):
+        outside[at] = False
+        d = np.sqrt(((x - x[at]) ** 2).sum(1))
+        closer = outside & (d < near)
+        near[closer], to[closer] = d[closer], at
+        at = int(np.where(outside, near, np.inf).argmin())
+        found.append((float(near[at]), *sorted((rows[at]["mid"], rows[int(to[at])]["mid"]))))
+    return tables.cut(stars.unionByName(base.sparkSession.createDataFrame(found, "d double, a long, b long")))
+
+
+def reachability(vertices: DataFrame, near: DataFrame, more: DataFrame, min_samples: int) -> tuple[DataFrame, DataFrame]:
+    """Vertices (id, m, core) and edges (w, a, b) with a < b, from (id, m), (id, near) and further edges (d, a, b)."""
     lists = vertices.join(near, "id", "left").select("id", "m", F.explode_outer("near").alias("n")).select("id", "m", "n.d", "n.near")
     weights = vertices.select(F.col("id").alias("near"), F.col("m").alias("many"))
     lists = lists.join(weights, "near", "left")
@@ -40,7 +66,8 @@ def reachability(vertices: DataFrame, near: DataFrame, min_samples: int) -> tupl
         lambda s, x: F.struct((s["n"] + x["many"]).alias("n"), F.coalesce(s["core"], F.when(s["n"] + x["many"] >= min_samples, x["d"])).alias("core")))
     found = lists.groupBy("id", "m").agg(F.filter(by, lambda x: x["near"].isNotNull()).alias("by")).withColumn("core", walk["core"])
     cores = found.select("id", "m", F.coalesce("core", F.element_at(F.transform("by", lambda x: x["d"]), F.when(F.size("by") > 0, F.lit(-1)).otherwise(F.lit(None).cast("int"))), F.lit(0.0)).alias("core"))
-    edges = lists.where("near is not null").select("d", F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).distinct()
+    edges = lists.where("near is not null").select("d", F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).unionByName(more)
+    edges = edges.groupBy("a", "b").agg(F.min("d").alias("d"))
     core = lambda c: cores.select(F.col("id").alias(c), F.col("core").alias(f"core_{c}"))
     w = F.greatest("d", "core_a", "core_b", F.lit(CLOSEST))
     return cores, edges.join(core("a"), "a").join(core("b"), "b").select(w.alias("w"), "a", "b")
@@ -183,7 +210,8 @@ def clusters(points: DataFrame, id_col: str = "id", vector_col: str = "embedding
         return every.select("id", F.lit(NOISE).cast("long").alias("cluster"))
     fits = F.size("vec") == cells.pivots.shape[1]
     near = tables.cut(nearest(base, base, max(neighbours, samples), tables, probes, exact, same=True, cells=cells))
-    cores, edges = reachability(members.where(fits).select(F.col("rep").alias("id"), "m"), near, samples)
+    more = links(base.where(fits), cells, tables)
+    cores, edges = reachability(members.where(fits).select(F.col("rep").alias("id"), "m"), near, more, samples)
     cores, edges = tables.cut(cores), tables.cut(edges)
     tree = dendrogram(cores, edges, tables)
     found, vertices = condensed(tree, min_cluster_size, tables)

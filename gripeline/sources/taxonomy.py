@@ -127,19 +127,38 @@ def cluster_names(texts: DataFrame, stops: list[str]) -> DataFrame:
     return top.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), "_").alias("name"))
 
 
-def induce(texts: DataFrame, k: int = 20, seed: int = 42, stops: list[str] | None = None) -> Pack:
-    """A taxonomy from (conversation_id, text, embedding): k-means clusters, each named by its four most frequent words.
-
-    At most MAX_LEAVES clusters; the result is collected, one row a cluster.
-    """
+def _by_means(d: DataFrame, k: int, seed: int) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    d = d.select("conversation_id", "text", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    return KMeans(k=min(k, MAX_LEAVES), seed=seed, predictionCol="cluster").fit(d).transform(d).select("text", "cluster")
+
+
+def _by_density(d: DataFrame, min_cluster_size: int) -> DataFrame:
+    """The largest clusters by density, numbered by size; texts that are noise, or of smaller clusters, are left out."""
+    from ..folders import Tables
+    from ..operators import density, ordered
+
+    numbered = ordered.places(d, Tables(d.sparkSession, "induce"), F.col("conversation_id").asc())
+    found = density.clusters(numbered, "at", "embedding", min_cluster_size).where(F.col("cluster") != density.NOISE)
+    sizes = found.groupBy("cluster").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster").limit(MAX_LEAVES)
+    number = F.row_number().over(Window.orderBy(F.desc("n"), "cluster")) - 1  # of MAX_LEAVES rows at most
+    kept = found.join(F.broadcast(sizes.select(F.col("cluster"), number.alias("number"))), "cluster").select(F.col("id").alias("at"), F.col("number").alias("cluster"))
+    return numbered.join(kept, "at").select("text", "cluster")
+
+
+def induce(texts: DataFrame, k: int = 20, seed: int = 42, stops: list[str] | None = None, method: str = "kmeans", min_cluster_size: int = 5) -> Pack:
+    """A taxonomy from (conversation_id, text, embedding): clusters, each named by its four most frequent words.
+
+    ``method`` is kmeans (k clusters) or density (as many as there are, with noise left out). At most MAX_LEAVES clusters; the
+    result is collected, one row a cluster.
+    """
     from ..operators.themes import stop_words
 
     stops = stop_words() if stops is None else stops
-    d = texts.select("conversation_id", clean(F.col("text")).alias("text"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    d = KMeans(k=min(k, MAX_LEAVES), seed=seed, predictionCol="cluster").fit(d).transform(d)
+    d = texts.select("conversation_id", clean(F.col("text")).alias("text"), "embedding")
+    d = {"kmeans": lambda: _by_means(d, k, seed), "density": lambda: _by_density(d, min_cluster_size)}[method]()
     named = cluster_names(d, stops)
     levels = d.select("cluster", cue_level(F.col("text")).alias("l1")).groupBy("cluster").agg(F.mode("l1", True).alias("l1"))
     nodes = {}

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gripeline.folders import Tables
 from gripeline.operators import density, neighbours
@@ -17,8 +18,22 @@ def plain_near(points, k):
     return out
 
 
-def plain_clusters(points, least, samples, neighbours_):
-    """Kruskal over the neighbour graph, then the condensed tree from the root down; sides of a split, stabilities and the choice by recursion."""
+def linked(spark, points):
+    """The links between cells that the library makes, checked by themselves: true lengths, and they join all distinct vectors."""
+    base = neighbours.usable(frame(spark, points)).groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec")
+    found = [(r["d"], r["a"], r["b"]) for r in density.links(base, neighbours.Cells(base), Tables(spark, "t")).collect()]
+    x = {r["id"]: r["vec"] for r in base.collect()}
+    part = {i: i for i in x}
+    for d, a, b in found:
+        assert a < b and d == pytest.approx(math.sqrt(sum((p - q) ** 2 for p, q in zip(x[a], x[b]))))
+        old, new = part[a], part[b]
+        part = {i: new if p == old else p for i, p in part.items()}
+    assert len(set(part.values())) == 1 and len(found) == len(x) - 1
+    return found
+
+
+def plain_clusters(points, least, samples, neighbours_, more):
+    """Kruskal over the neighbour graph and ``more`` edges, then the condensed tree from the root down; sides of a split, stabilities and the choice by recursion."""
     reps, of = {}, {}
     for i, x in sorted(points):
         of[i] = reps.setdefault(tuple(x), i)
@@ -33,7 +48,10 @@ def plain_clusters(points, least, samples, neighbours_):
                 core[r] = d
         if core[r] is None:
             core[r] = near[r][-1][0] if near[r] else 0.0
-    edges = sorted({(max(d, core[r], core[j], density.CLOSEST), min(r, j), max(r, j)) for r in m for d, j in near[r]})
+    length = {(min(r, j), max(r, j)): d for r in m for d, j in near[r]}
+    for d, a, b in more:
+        length[a, b] = min(d, length.get((a, b), d))
+    edges = sorted((max(d, core[a], core[b], density.CLOSEST), a, b) for (a, b), d in length.items())
     tree = {r: ("leaf", r, max(core[r], density.CLOSEST), m[r], None, None) for r in m}
     find = {r: r for r in m}
 
@@ -121,7 +139,7 @@ def test_recall_and_blocks(spark, monkeypatch):
 def test_clusters(spark, seed, dims, spread, least, samples):
     points = blobs(seed, 130, dims, spread) + [(500 + i, [7.0] * dims) for i in range(9)] + [(600 + i, [-500.0 - 200 * i] * dims) for i in range(3)]
     got = density.clusters(frame(spark, points), min_cluster_size=least, min_samples=samples, neighbours=6, exact=True).collect()
-    assert {r["id"]: r["cluster"] for r in got} == plain_clusters(points, least, least if samples is None else samples, 6)
+    assert {r["id"]: r["cluster"] for r in got} == plain_clusters(points, least, least if samples is None else samples, 6, linked(spark, points))
     assert len({r["cluster"] for r in got}) > 2 and any(r["cluster"] == -1 for r in got)
 
 
@@ -132,4 +150,4 @@ def test_clusters_of_odd_rows(spark):
     assert {r["cluster"] for r in density.clusters(frame(spark, same), exact=True).collect()} == {-1}  # one part: the root is no cluster
     two = same + [(100 + i, [900.0 + i, 2.0]) for i in range(20)]
     got = {r["id"]: r["cluster"] for r in density.clusters(frame(spark, two), neighbours=5, exact=True).collect()}
-    assert got == plain_clusters(two, 5, 5, 5) and got[3] == 0
+    assert got == plain_clusters(two, 5, 5, 5, linked(spark, two)) and got[3] == 0

@@ -45,3 +45,10 @@ def test_interactions(spark):
     merged, names = dr.interactions(d, [("p", "q")])
     got = {(r["l5_id"], r["value"]): r["support"] for r in dr.cell_counts(merged, names).collect()}
     assert got == {("A", "x×y"): 40, ("B", "x×y"): 0, ("A", "__missing__×y"): 0, ("B", "__missing__×y"): 40}
+
+
+def test_induction_by_density(spark):
+    words = {0: "refund missing", 1: "login password"}
+    rows = [(f"c{i}", f"The {words[i % 2]} trouble", [float(30 * (i % 2)) + (i % 5) / 10, float(i % 7) / 10]) for i in range(40)] + [("odd", "something else entirely", [500.0, -300.0]), ("none", "text", None)]
+    pack = taxonomy.induce(spark.createDataFrame(rows, "conversation_id string, text string, embedding array<float>"), method="density")
+    assert [n["path"][3] for n in pack.nodes.values()] == ["missing_refund_trouble", "login_password_trouble"] and len(pack.nodes) == 2
