@@ -442,10 +442,18 @@ def parquet_sink(spark, d):
     return files.read_parquet(spark, at)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{'/'.join(PACK.path(i))}', '{PACK.definition(i)}')" for i in PACK.ids()) + ") t(l5_id, path, definition)")
+@query("""SELECT r_name || '__' || n_name AS l5_id, r_name || '/nation/any/' || n_name || '/' || r_name || '__' || n_name AS path, count(c_custkey) || ' customers in ' || n_name AS definition
+FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name, n_name""")
 def taxonomy_json(spark, d):
+    """A pack with a leaf for each nation, written as JSON and read back; packs are made and read by the driver."""
+    n, r, c = (ad.table(spark, d, t) for t in ("nation", "region", "customer"))
+    rows = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("r_name", "n_name").agg(F.count("c_custkey").alias("n"))
+    nodes = {}
+    for x in rows.orderBy("r_name", "n_name").limit(taxonomy.MAX_LEAVES).collect():
+        leaf = f"{x['r_name']}__{x['n_name']}"
+        nodes[leaf] = {"l5_id": leaf, "path": [x["r_name"], "nation", "any", x["n_name"], leaf], "definition": f"{x['n']} customers in {x['n_name']}"}
     with tempfile.TemporaryDirectory() as at:  # read back at once, by the driver alone
-        files.write_taxonomy(PACK.to_dict(), f"{at}/pack.json")
+        files.write_taxonomy(taxonomy.Pack("1", nodes).to_dict(), f"{at}/pack.json")
         pack = taxonomy.Pack.from_dict(files.read_taxonomy(f"{at}/pack.json"))
     return pack.frame(spark).select("l5_id", F.array_join("path", "/").alias("path"), "definition")
 

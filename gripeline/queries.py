@@ -488,10 +488,16 @@ def graph_traverse(spark, d):
     return gr.traverse(nation_edges(spark, d), "BUILDING", depth=3)[0]
 
 
-@query(f"""WITH p AS (SELECT unnest({_PACK.ids()!r}) AS leaf), s AS (SELECT leaf, string_split(leaf, '__') AS path FROM p), l AS (SELECT *, unnest(range(1, 5)) AS level FROM s)
-SELECT DISTINCT CASE WHEN level = 4 THEN leaf ELSE 'l' || (level + 1) || ':' || path[level + 1] END AS child, 'l' || level || ':' || path[level] AS parent, CAST(level AS INT) AS level FROM l""")
+@query("""WITH l AS (SELECT [r_name, n_name, c_mktsegment, 'group ' || c_custkey % 10, 'customer ' || c_custkey] AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+s AS (SELECT array_to_string(path, '__') AS leaf, path, unnest(range(1, 5)) AS level FROM l)
+SELECT DISTINCT CASE WHEN level = 4 THEN leaf ELSE 'l' || (level + 1) || ':' || path[level + 1] END AS child, 'l' || level || ':' || path[level] AS parent, CAST(level AS INT) AS level FROM s""")
 def taxonomy_rollup(spark, d):
-    return taxonomy.parents(_PACK.frame(spark)).select("child", "parent", "level").distinct()
+    """Customers as leaves below their region, nation, segment and group."""
+    c, n, r = (ad.table(spark, d, t) for t in ("customer", "nation", "region"))
+    d = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    group = F.concat(F.lit("group "), (F.col("c_custkey") % 10).cast("string"))
+    leaves = d.select(F.array("r_name", "n_name", "c_mktsegment", group, F.concat(F.lit("customer "), F.col("c_custkey").cast("string"))).alias("path"))
+    return taxonomy.parents(leaves.select(F.array_join("path", "__").alias("l5_id"), "path")).select("child", "parent", "level").distinct()
 
 
 def memory_graph(spark, d):
