@@ -27,11 +27,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Tables:
-    """Cuts for loops: tables written to the shared folder, read back, and deleted when no later step reads them."""
+    """Cuts for loops: tables written to the shared folder, read back, and deleted when no later step reads them.
+
+    A frame that an operator returns may read some of them; ``clean`` deletes all that are left.
+    """
+
+    roots: list[str] = []
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.n = spark, 0
         self.root = f"{shared(spark)}/{label}-{uuid.uuid4().hex}"
+        Tables.roots.append(self.root)
+
+    @classmethod
+    def clean(cls, spark: SparkSession) -> None:
+        """Deletes what is left of all cuts made so far by this driver; frames that read them cannot be read any more."""
+        while cls.roots:
+            path = spark._jvm.org.apache.hadoop.fs.Path(cls.roots.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1

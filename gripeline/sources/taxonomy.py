@@ -110,12 +110,16 @@ def snap_leaf(raw: DataFrame, pack: DataFrame, column: str = "raw") -> DataFrame
     return raw.join(best, column, "left")
 
 
+#: Cues of the levels after and during a sale (fixed values: which level a text gets depends on each of them).
+AFTER_CUES = ("order", "deliver", "ship", "track", "return", "refund", "charge", "cancel")
+DURING_CUES = ("purchase", "buy", "checkout", "cart", "payment")
+
+
 def cue_level(text: Column) -> Column:
     """The top level that a text speaks of."""
-    after = r"order|deliver|ship|track|return|refund|charge|cancel"
-    during = r"purchase|buy|checkout|cart|payment"
     low = F.lower(text)
-    return F.when(low.rlike(after), "post_sale").when(low.rlike(during), "sale").otherwise("pre_sale")
+    says = lambda cues: low.rlike("|".join(cues))
+    return F.when(says(AFTER_CUES), "post_sale").when(says(DURING_CUES), "sale").otherwise("pre_sale")
 
 
 def cluster_names(texts: DataFrame, stops: list[str]) -> DataFrame:

@@ -63,3 +63,16 @@ def test_places_and_sums(spark):
     for r in want:
         assert got[r["i"]] == total
         total += r["n"]
+
+
+def test_tables_are_cleaned(spark, tmp_path):
+    tables = Tables(spark, "gone")
+    d = tables.cut(spark.range(3))
+    assert d.count() == 3 and tables.root in Tables.roots
+    other = Tables(spark, "other").cut(spark.range(2))
+    tables.drop(d)
+    assert other.count() == 2
+    Tables.clean(spark)
+    assert Tables.roots == []
+    with pytest.raises(Exception, match="exist|FAILED_READ"):
+        spark.read.schema(other.schema).parquet(other._cut_path).count()
