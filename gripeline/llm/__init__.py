@@ -1 +1 @@
-"""Training-data operators: ten corpus operators and the pipeline that chains five of them."""
+"""Training-data operators: thirteen corpus operators and the pipeline that chains five of them."""

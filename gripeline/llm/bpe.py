@@ -9,7 +9,8 @@ is linear in the piece. Pair compatibility is looked up in a table that is fille
 ``decode`` copies each id's bytes out of one string of all tokens, by offsets.
 
 Nulls and empty texts have no ids and decode to the empty string. Special tokens written in a text are recognised, as the
-vocabulary file asks. Documents are handled row by row: ties, repeated rows and further columns change nothing; the columns
+vocabulary file asks. Documents are handled row by row and whole, however long: ties, repeated rows, null ids and further columns
+change nothing, and an empty table gives an empty one; the columns
 added here win over input columns of the same name. The vocabulary is read by the driver and broadcast (its size is that of
 the file, some 1.5 MB); the caches of pieces and pairs on an executor are bounded.
 """

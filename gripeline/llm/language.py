@@ -8,7 +8,8 @@ falls back to its n-grams of ``longest`` characters, and to shorter ones as long
 largest sum wins (ties: the first by name); ``score`` is its share when the mean scores of a word are set against each other.
 
 Texts that are null or without letters get ``und`` and score 0, as do all texts when nothing was learned. Labels that are null
-teach nothing. A text of any length is predicted whole, in one task. Columns of the input are kept; lang_pred and score win over
+teach nothing. A text of any length is predicted whole, in one task. Prediction goes row by row: null ids are carried along,
+repeated rows each get the same, an empty table gives an empty one. Columns of the input are kept; lang_pred and score win over
 input columns of the same name.
 """
 

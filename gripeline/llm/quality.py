@@ -5,7 +5,7 @@ the lines around it. Failing lines are removed; a document is rejected when it f
 text was removed. The phrases of boilerplate are English; the other rules know no language.
 
 Nulls, empty texts and texts of white space have no words: they fail the base rule and are rejected. Repeated rows are judged
-one by one. A text of any length is one row and one task's work, which grows with its length times the logarithm of it. Columns of
+one by one, null ids are carried along, and an empty table gives an empty one. A text of any length is one row and one task's work, which grows with its length times the logarithm of it. Columns of
 the input are kept; the columns added here win over input columns of the same name.
 """
 
