@@ -67,3 +67,20 @@ def test_too_many_values(spark):
     c.validate_values(b, ["ticket", "carrier"])
     with pytest.raises(c.ContractError, match="ticket"):
         c.validate_values(b, ["ticket", "carrier"], 1000)
+
+
+def test_ids_are_never_broadcast(spark, tmp_path):
+    """Files of dictionary-coded columns look small, whatever the number of their rows."""
+    from gripeline.operators import drivers as dr
+
+    for name, n in (("a", 100), ("b", 60)):
+        spark.range(n).selectExpr("cast(id as string) conversation_id", "'leaf' l5_id", "cast(id % 3 as string) carrier").write.parquet(f"{tmp_path}/{name}")
+    a, b = (spark.read.parquet(f"{tmp_path}/{x}") for x in "ab")
+    for d in (c.join_coverage(a, b), dr.merge(a, b.drop("l5_id"), ["carrier"])):
+        assert d.count()
+        assert "BroadcastExchange" not in d._jdf.queryExecution().executedPlan().toString()
+    assert tuple(c.join_coverage(a, b).first()) == (100, 60, 0.6)
+
+
+def test_coverage_counts_ids_once_and_joins_no_null(spark):
+    assert tuple(c.join_coverage(ids(spark, "a", "a", None, "b"), ids(spark, "a", "a", None, "z")).first()) == pytest.approx((3, 1, 1 / 3))
