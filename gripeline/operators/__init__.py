@@ -1 +1 @@
-"""Operators of the pain-point analytics: DataFrame in, DataFrame out; no actions but the size check of themes.tfidf."""
+"""Operators of the pain-point analytics: DataFrame in, DataFrame out; no actions but those that size batches or carry sums on."""

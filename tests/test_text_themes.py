@@ -90,3 +90,28 @@ def test_batches(spark):
     parts = [{r[0] for r in threads.batch_slice(d, k, 30).collect()} for k in (1, 2, 3, 4)]
     assert [len(x) for x in parts] == [30, 30, 30, 10] and len(set().union(*parts)) == 100
     assert threads.exact_sample(d, 7).count() == 7 and {r[0] for r in threads.exact_sample(d, 7).collect()} == {r[0] for r in threads.exact_sample(d.repartition(5), 7).collect()}
+
+
+def test_tfidf_asks_by_batch(spark, monkeypatch):
+    """Many batches, rows of one contact, contacts without words or id: the same as counting term by term; no term is shuffled by contact."""
+    import math
+    from collections import Counter, defaultdict
+
+    rows = [(None if i == 7 else f"c{i % 37}", f"leaf{i % 3}", None if i == 5 else "" if i == 6 else " ".join(f"wx{chr(97 + i * j % 11)}y" for j in range(i % 9))) for i in range(60)]
+    a = spark.createDataFrame(rows, "conversation_id string, l5_id string, text string")
+    monkeypatch.setattr(th, "BATCH", 64)
+    found = th.tfidf(a, min_df=2, max_df=0.5, stops=[])
+    assert "Window" in found._jdf.queryExecution().executedPlan().toString() and "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    df, tf = Counter(), defaultdict(Counter)
+    for c, leaf, t in rows:
+        w = (t or "").split()
+        terms = w + [f"{x} {y}" for x, y in zip(w, w[1:], strict=False)]
+        df.update(set(terms))
+        tf[c, leaf].update(terms)
+    raw = {(c, leaf, t): (n, (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[t])) + 1)) for (c, leaf), x in tf.items() for t, n in x.items() if 2 <= df[t] <= 0.5 * len(rows)}
+    norm = defaultdict(float)
+    for (c, _, _), (_, r) in raw.items():
+        norm[c] += r * r
+    want = {k: (n, pytest.approx(r / math.sqrt(norm[k[0]]))) for k, (n, r) in raw.items()}
+    assert {(r[0], r[1], r[2]): (r[3], r[4]) for r in found.collect()} == want and len(want) > 50
+    assert not th.tfidf(a.limit(0)).count()
