@@ -115,3 +115,12 @@ def test_tfidf_asks_by_batch(spark, monkeypatch):
     want = {k: (n, pytest.approx(r / math.sqrt(norm[k[0]]))) for k, (n, r) in raw.items()}
     assert {(r[0], r[1], r[2]): (r[3], r[4]) for r in found.collect()} == want and len(want) > 50
     assert not th.tfidf(a.limit(0)).count()
+
+
+def test_no_text_is_shuffled_for_quotes(spark, tmp_path):
+    rows = [(f"c{i}", "battery" if i % 2 else "refund", "The battery drains fast. Odd." if i % 2 else "My refund is late. Odd.", 3.0) for i in range(40)]
+    spark.createDataFrame(rows, "conversation_id string, l5_id string, text string, severity double").write.parquet(f"{tmp_path}/a")
+    found = th.subthemes(spark.read.parquet(f"{tmp_path}/a"), min_docs=10, max_df=0.6)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert [x for x in plan.splitlines() if "LeftSemi" in x and "BroadcastHashJoin" in x]
+    assert {r["quote"] for r in found.collect()} == {"The battery drains fast.", "My refund is late."}
