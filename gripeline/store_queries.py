@@ -42,14 +42,14 @@ w AS (SELECT 'AFRICA' AS id, 0 AS distance UNION ALL SELECT 'n' || n_nationkey,
 @query(f"WITH {_WALK} SELECT id, distance FROM w")
 def graph_walk(spark, d):
     """Six levels: from a region down to the suppliers of what its customers order."""
-    return gr.traverse(trade_edges(spark, d), "AFRICA", depth=6, direction="in")[0]
+    return gr.traverse(trade_edges(spark, d).drop("id"), "AFRICA", depth=6, direction="in")[0]
 
 
 @query(f"""WITH {_WALK}, e AS (SELECT DISTINCT * FROM (SELECT 'n' || n_nationkey AS src, r_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
   UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders UNION ALL SELECT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem))
 SELECT substr(dst, 1, 1) AS kind, count(*) AS n FROM e WHERE dst IN (SELECT id FROM w) GROUP BY ALL""")
 def graph_walk_edges(spark, d):
-    found = gr.traverse(trade_edges(spark, d), "AFRICA", depth=6, direction="in")[1]
+    found = gr.traverse(trade_edges(spark, d).drop("id"), "AFRICA", depth=6, direction="in")[1]
     return found.groupBy(F.substring("dst", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
 
 
