@@ -13,9 +13,10 @@
 5. Links found below one node are reduced there to a star on the node's smallest id, so no node emits all its pairs.
    Connected components over the stars then run as joins.
 
-Step 3 loses nothing but is only affordable for few bits. ``similar_texts`` and ``first_of_similar`` are for similar texts that
-differ in more: there fingerprints decide nothing, and exactly those texts are linked whose sets of shingles have a Jaccard
-similarity of ``similarity`` or more. Shingles are told apart, and sets collapsed, by 64 bits of hash; the rest is exact:
+Step 3 loses nothing but is only affordable for few bits. ``similar_texts`` and ``first_of_similar`` link exactly those texts whose
+sets of shingles have a Jaccard similarity of ``similarity`` or more, of which many differ in more bits. They begin with the index: each
+fingerprint (of a set) meets the nearest one before it below each of its upper nodes, and these pairs are checked by their whole sets.
+What is so linked need not meet again; the rest is found beside it. Shingles are told apart, and sets collapsed, by 64 bits of hash; the rest is exact:
 
 1. Batches of documents count their shingles and learn from buckets how many documents have each (see ``blocks``): to the power of
    two, which is enough for one order of all shingles, rare ones first.
@@ -85,6 +86,17 @@ CROWD, LEADERS, ROUNDS, BATCH = 32, 3, 2, 4 << 20
 BROADCAST_ROWS = 1_000_000
 
 
+def _of_sets(hashes: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each array of hashes, zero where it is empty."""
+    out = np.zeros(len(hashes), np.uint64)
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+        out[full] = majority(np.concatenate(hashes), starts, sizes[full].astype(np.uint64))
+    return out
+
+
 def _of_texts(texts: list, size: int) -> np.ndarray:
     out = np.zeros(len(texts), np.uint64)
     at = 0
@@ -94,11 +106,7 @@ def _of_texts(texts: list, size: int) -> np.ndarray:
             hashes.append(shingle_hashes(texts[at], size))
             n += len(hashes[-1])
             at += 1
-        sizes = np.array([len(h) for h in hashes])
-        full = np.flatnonzero(sizes)
-        if len(full):
-            starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-            out[first + full] = majority(np.concatenate(hashes), starts, sizes[full].astype(np.uint64))
+        out[first:at] = _of_sets(hashes)
     return out
 
 
@@ -119,7 +127,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4, id_col: str = "doc_id"
     return docs.select(row_key(id_col, text_col)[0], F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 
 
-SET = "id long, row long, node long, n int, spread binary"
+SET = "id long, row long, node long, n int, spread binary, fp long"
 
 
 def _name(h: np.ndarray) -> int:
@@ -129,7 +137,7 @@ def _name(h: np.ndarray) -> int:
 
 
 def shingle_sets(docs: DataFrame, shingle_words: int, id_col: str, text_col: str) -> DataFrame:
-    """SET: besides id and row a hash that names the set, its size, and how its hashes spread over 256 buckets."""
+    """SET: besides id and row a hash that names the set, its size, how its hashes spread over 256 buckets, and its fingerprint."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +145,7 @@ def shingle_sets(docs: DataFrame, shingle_words: int, id_col: str, text_col: str
             sets = [np.unique(shingle_hashes(t, shingle_words)) for t in b.column(2).to_pylist()]
             name = np.array([_name(h) for h in sets], np.uint64).view(np.int64)
             spread = [np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for h in sets]
-            more = [pa.array(name), pa.array([len(h) for h in sets], pa.int32()), pa.array(spread, pa.binary())]
+            more = [pa.array(name), pa.array([len(h) for h in sets], pa.int32()), pa.array(spread, pa.binary()), pa.array(_of_sets(sets).view(np.int64))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *more], names=[x.split()[0] for x in SET.split(", ")])
 
     return docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text")).mapInArrow(run, SET)
@@ -309,14 +317,17 @@ def _similar(similarity: float, size: int):
     return run
 
 
-def similar_links(docs: DataFrame, sets: DataFrame, similarity: float, shingle_words: int, id_col: str, text_col: str, cuts: Cuts) -> DataFrame:
-    """Edges (a, b) that connect exactly those nodes of ``sets`` (of ``docs``) linked by sets of that Jaccard similarity."""
+def similar_links(docs: DataFrame, sets: DataFrame, similarity: float, shingle_words: int, id_col: str, text_col: str, cuts: Cuts, bits: int = 4) -> DataFrame:
+    """Edges (a, b) that connect exactly those nodes of ``sets`` (of ``docs``) linked by sets of that Jaccard similarity.
+
+    The first come from the index over fingerprints that differ in at most ``bits`` bits, the others from the prefix filter.
+    """
     keyed_docs = docs.select(F.xxhash64(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
     d, n = batched(keyed_docs, "id", "text", each=BATCH)
     by = d.groupBy("b")
     classes = by.applyInArrow(_send_counts(n, shingle_words), ROW).groupBy("bucket").applyInArrow(_answer_classes, ROW)
     keyed = cuts.cut(by.cogroup(classes.groupBy("b")).applyInArrow(_first(n, shingle_words, similarity), FIRST))
-    of = cuts.cut(sets.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("spread").alias("spread")))
+    of = cuts.cut(sets.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("spread").alias("spread"), F.first("fp").alias("fp")))
 
     def both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
         for node, new in (("b", "2"), ("a", "1")):
@@ -325,7 +336,9 @@ def similar_links(docs: DataFrame, sets: DataFrame, similarity: float, shingle_w
 
     def compare(below: DataFrame, crowds: bool) -> DataFrame:
         met = below.select("k", "own", "node", "n", "place", "c").repartition("k").sortWithinPartitions("k", "own", "node")
-        pairs = met.mapInArrow(_candidates(similarity, crowds), "a long, b long").distinct()
+        return checked(met.mapInArrow(_candidates(similarity, crowds), "a long, b long").distinct())
+
+    def checked(pairs: DataFrame) -> DataFrame:
         pairs = cuts.cut(both(pairs, of, "n", "spread").select("a", "b", "spread1", "spread2", "n1", "n2").mapInArrow(_spreads(similarity), "a long, b long"))
         needed = cuts.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(of.select("node", "row"), "node"))
         names = F.broadcast(needed) if needed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else needed
@@ -335,8 +348,8 @@ def similar_links(docs: DataFrame, sets: DataFrame, similarity: float, shingle_w
         cuts.drop(pairs, needed, texts)
         return out
 
-    edges = compare(keyed.withColumn("c", F.col("node")), True)
-    for last in (*[False] * (ROUNDS - 1), True):
+    edges = checked(fingerprint_pairs(of.select("node", "fp"), bits, cuts))
+    for last in (*[False] * ROUNDS, True):
         linked = connected_components(edges, cuts)
         edges = edges.unionByName(compare(keyed.join(linked, "node", "left").withColumn("c", F.coalesce("component", "node")), not last))
     cuts.drop(keyed, of)
@@ -480,19 +493,52 @@ def _stars(bits: int):
     return run
 
 
+def _nearest(bits: int):
+    """Sorted rows (key, fp) to pairs (a, b): each fingerprint, and of those before it below the same node the nearest within ``bits`` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, fp in _whole_groups(batches):
+            order = np.lexsort((gray_rank(fp.view(np.uint64)), k))
+            k, codes = k[order], fp.view(np.uint64)[order]
+            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            sizes = np.diff(np.append(starts, len(k)))
+            codes, sizes = codes[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
+            near = np.full(len(codes), NO_ID)
+            for later, earlier in linked_pairs(codes, np.cumsum(sizes) - sizes, bits):
+                np.minimum.at(near, later, np.bitwise_count(codes[later] ^ codes[earlier]).astype(np.int64) << 40 | earlier)
+            found = np.flatnonzero(near != NO_ID)
+            of = near[found] & ((1 << 40) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(codes[found].view(np.int64)), pa.array(codes[of].view(np.int64))], names=["a", "b"])
+
+    return run
+
+
 def blocks_for(n: int, bits: int, each: int = 64) -> int:
     """The fewest blocks with which an upper node holds at most ``each`` of n evenly spread fingerprints on average."""
     return next((b for b in range(bits + 1, 64) if n <= each << (64 * (b - bits) // b)), 64)
 
 
-def index_links(items: DataFrame, bits: int, blocks: int, cuts: Cuts, hot: int = 8192) -> DataFrame:
-    """Edges (a, b) that connect exactly those fingerprints of ``items`` (fp, distinct) that at most ``bits`` differing bits link."""
+def index_links(items: DataFrame, bits: int, blocks: int, cuts: Cuts, hot: int = 8192, below=_stars) -> DataFrame:
+    """Edges (a, b) that connect exactly those fingerprints of ``items`` (fp, distinct) that at most ``bits`` differing bits link.
+
+    ``below`` makes them of what lies below one node: stars, or with ``_nearest`` pairs that differ in so few bits themselves.
+    """
     rows = F.explode(F.array(*(F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("p")) for i, m in enumerate(masks(bits, blocks)))))
     keyed = items.select("fp", rows.alias("n")).select(F.xxhash64("n.m", "n.p").alias("k"), "fp")
-    return grouped_links(keyed, bits, cuts, hot)
+    return grouped_links(keyed, bits, cuts, hot, below)
+
+
+def fingerprint_pairs(nodes: DataFrame, bits: int, cuts: Cuts) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, fp): those of near fingerprints, by the first node of each, and nodes of one fingerprint with its first."""
+    items = cuts.cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    near = index_links(items.select("fp"), bits, blocks_for(items.count(), bits), cuts, below=_nearest).distinct()
+    first = lambda c: items.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    pairs = near.join(first("a"), "a").join(first("b"), "b").select("a_first", "b_first")
+    pairs = pairs.union(nodes.join(items, "fp").where("node != first").select("first", "node"))
+    return pairs.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b")).distinct()
 
 
-def grouped_links(keyed: DataFrame, bits: int, cuts: Cuts, hot: int = 8192) -> DataFrame:
+def grouped_links(keyed: DataFrame, bits: int, cuts: Cuts, hot: int = 8192, below=_stars) -> DataFrame:
     """Edges that connect the fingerprints of ``keyed`` (k, fp) which share a k and differ in at most ``bits`` bits."""
     crowded = cuts.cut(keyed.groupBy("k").count().where(F.col("count") > hot).select("k", F.ceil(F.col("count") * 2 / hot).cast("int").alias("s")))
     if crowded.limit(1).count():
@@ -502,7 +548,7 @@ def grouped_links(keyed: DataFrame, bits: int, cuts: Cuts, hot: int = 8192) -> D
         ))
         keyed = keyed.join(crowded, "k", "left").select("k", "fp", split.alias("x"))
         keyed = keyed.select(F.when(F.col("x").isNull(), F.col("k")).otherwise(F.xxhash64("k", "x")).alias("k"), "fp")
-    return keyed.repartition("k").sortWithinPartitions("k").mapInArrow(_stars(bits), "a long, b long")
+    return keyed.repartition("k").sortWithinPartitions("k").mapInArrow(below(bits), "a long, b long")
 
 
 def near_duplicates(

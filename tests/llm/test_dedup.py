@@ -164,6 +164,28 @@ def test_similar_texts_against_brute_force(spark, monkeypatch, crowd, batch):
     assert {x["doc_id"]: x["component_id"] for x in got} == want and len(got) == len(rows)
 
 
+def test_similar_texts_are_found_by_fingerprints(spark, monkeypatch):
+    """With the prefix filter off, the index alone links near copies, by pairs within 4 bits that the exact check confirms."""
+    monkeypatch.setattr(simhash, "_candidates", lambda *_: lambda batches: iter(()))
+    r = random.Random(5)
+    rows = []
+    for i in range(12):
+        w = r.choices(WORDS, k=600)
+        rows += [(i, " ".join(w)), (100 + i, " ".join(["other", *w[1:]])), (200 + i, " ".join([*w[:-1], "end"]))]
+    found = {i: np.unique(simhash.shingle_hashes(t, 5)) for i, t in rows}
+    fp = {i: int(simhash._of_sets([h])[0]) for i, h in found.items()}
+    near = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 4]
+    assert len(near) > 20 and all(a % 100 == b % 100 for a, b in near)
+    got = simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == components(near, set(fp))
+    # within 4 bits, but not similar: the check rules it out
+    monkeypatch.setattr(simhash, "_of_sets", lambda hashes: np.zeros(len(hashes), np.uint64))
+    pairs = simhash.fingerprint_pairs(spark.createDataFrame([(1, 0), (2, 0), (3, 15), (4, 31), (5, -1)], "node long, fp long"), 4, Cuts(spark, "test"))
+    assert sorted(map(tuple, pairs.collect())) == [(1, 2), (1, 3), (3, 4)]
+    far = spark.createDataFrame([(1, "some words that stand here alone"), (2, "others of which none is shared at all")], "doc_id long, text string")
+    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_texts(far).collect()} == {1: 1, 2: 2}
+
+
 def test_chain_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)] + [(200, 300 + i) for i in range(50)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(edges, Cuts(spark, "test")).collect()}
