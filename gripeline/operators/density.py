@@ -10,18 +10,18 @@
    the dendrogram that ends at that lightest edge. So parents are the next in a range sort, or the chain's end.
 5. Sizes below each edge, the condensed tree's clusters (heads: a side of a split of two sides of ``min_cluster_size`` or more), and
    the cluster that each point falls out of, come from pointer doubling; stabilities are sums by cluster, with 1 / distance as density.
-6. The most stable clusters are chosen from the leaves up; everything else is noise, -1.
+6. The most stable clusters are chosen from the leaves up, chains of clusters with one undecided child in jumps; everything else is noise, -1.
 
 With exact neighbours and enough of them this is the clustering by the full mutual reachability graph; with fewer, groups that are
 far apart are joined by links that may be longer than the shortest there is. The root is no cluster. Distances
-below ``CLOSEST`` count as that. Rounds: some log2 of the vertices for Borůvka, of the tree's depth for doubling, and the depth of
-the condensed tree for the choice.
+below ``CLOSEST`` count as that. Rounds: some log2 of the vertices for Borůvka, of the tree's depth for doubling, and of the
+number of clusters for the choice.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..folders import Tables
@@ -165,29 +165,41 @@ def condensed(tree: DataFrame, least: int, tables: Tables) -> tuple[DataFrame, D
     return tables.cut(clusters.select("cluster", "above", stability.alias("stability"), (F.col("above").isNotNull() | F.lit(roots > 1)).alias("selectable"))), vertices
 
 
+def _after(low: Column, high: Column) -> Column:
+    """The step that takes ``low`` and then ``high``. A step tells a cluster's value from that of an open one below it, ``to``: ``flat`` up
+    to ``upto``, and the value plus ``plus`` beyond; since plus + upto >= flat, steps in a row are one such step."""
+    over = low["flat"] <= high["upto"]  # where low is flat, high is flat too
+    upto = F.when(over, F.greatest(low["upto"], high["upto"] - low["plus"])).otherwise(low["upto"])
+    flat = F.when(over, high["flat"]).otherwise(high["plus"] + low["flat"])
+    return F.struct(low["to"].alias("to"), upto.alias("upto"), flat.alias("flat"), (low["plus"] + high["plus"]).alias("plus"))
+
+
 def chosen(clusters: DataFrame, tables: Tables) -> DataFrame:
-    """(cluster, label): the chosen cluster that a cluster is or lies in, from the most stable choice; clusters in none are left out."""
-    n = clusters.where("above is not null").groupBy(F.col("above").alias("cluster")).agg(F.count("*").alias("waits"))
-    open_ = tables.cut(clusters.join(n, "cluster", "left").select("cluster", "above", "stability", "selectable", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(0.0).alias("below")))
-    settled = []
-    while open_.limit(1).count():
-        own = F.col("selectable") & (F.col("stability") >= F.col("below") * (1 - 1e-9))
-        now = tables.cut(open_.where("waits = 0").select("cluster", "above", own.alias("own"), F.when(own, F.col("stability")).otherwise(F.col("below")).alias("value")))
-        settled.append(now)
-        told = now.where("above is not null").groupBy(F.col("above").alias("cluster")).agg(F.count("*").alias("n"), F.sum("value").alias("v"))
-        new = open_.where("waits > 0").join(told, "cluster", "left")
-        new = tables.cut(new.select("cluster", "above", "stability", "selectable", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"), (F.col("below") + F.coalesce("v", F.lit(0.0))).alias("below")))
-        tables.drop(open_)
-        open_ = new
-    if not settled:
-        return clusters.select("cluster", F.col("cluster").alias("label"))
-    d = settled[0]
-    for x in settled[1:]:
-        d = d.unionByName(x)
-    d = tables.cut(d.select("cluster", F.when(F.col("own"), F.col("cluster")).alias("label"), F.col("above").alias("up")))
+    """(cluster, label): the chosen cluster that a cluster is or lies in, from the most stable choice; clusters in none are left out.
+
+    In a round clusters with no open child get their values, and those with one open child take a step that jumps, twice as far each
+    round, down the chain of such clusters: some log2 of the clusters in rounds, however deep their tree.
+    """
+    c, never = F.col, F.lit(float("-inf"))
+    own = c("selectable") & (c("stability") >= c("below") * (1 - 1e-9))
+    below = F.coalesce(F.sum("value"), F.lit(0.0)).alias("below")
+    kids = lambda d: d.where("above is not null").groupBy(c("above").alias("cluster")).agg(F.count_if(c("value").isNull()).alias("waits"), below, F.min(F.when(c("value").isNull(), c("cluster"))).alias("child"))
+    with_kids = lambda d: d.join(kids(d), "cluster", "left").fillna({"waits": 0, "below": 0.0})
+    d = tables.cut(clusters.select("*", F.lit(None).cast("double").alias("value"), F.lit(None).cast("struct<to:bigint,upto:double,flat:double,plus:double>").alias("step")))
+    while d.where("value is null").limit(1).count():
+        first = F.struct(c("child").alias("to"), F.when(c("selectable"), c("stability") / (1 - 1e-9) - c("below")).otherwise(never).alias("upto"), F.when(c("selectable"), c("stability")).otherwise(never).alias("flat"), c("below").alias("plus"))
+        value = F.coalesce("value", F.when(c("waits") == 0, F.when(own, c("stability")).otherwise(c("below"))))
+        told = tables.cut(with_kids(d).select("cluster", "above", "stability", "selectable", value.alias("value"), F.when(value.isNull() & (c("waits") == 1), F.coalesce("step", first)).alias("step")))
+        tables.drop(d)
+        ahead = told.select(c("cluster").alias("to"), c("value").alias("value2"), c("step").alias("step2"))
+        met = told.withColumn("to", c("step.to")).join(ahead, "to", "left")
+        reached = F.when(c("value2") <= c("step.upto"), c("step.flat")).otherwise(c("step.plus") + c("value2"))
+        d = tables.cut(met.select("cluster", "above", "stability", "selectable", F.coalesce("value", reached).alias("value"), F.when(c("step2").isNull(), c("step")).otherwise(_after(c("step2"), c("step"))).alias("step")))
+        tables.drop(told)
+    d = tables.cut(with_kids(d).select("cluster", F.when(own, c("cluster")).alias("label"), c("above").alias("up")))
     while d.where("up is not null").limit(1).count():  # the topmost chosen one on the way up
-        ahead = d.select(F.col("cluster").alias("up"), F.col("label").alias("label2"), F.col("up").alias("up2"))
-        new = tables.cut(d.join(ahead, "up", "left").select("cluster", F.coalesce("label2", "label").alias("label"), F.col("up2").alias("up")))
+        ahead = d.select(c("cluster").alias("up"), c("label").alias("label2"), c("up").alias("up2"))
+        new = tables.cut(d.join(ahead, "up", "left").select("cluster", F.coalesce("label2", "label").alias("label"), c("up2").alias("up")))
         tables.drop(d)
         d = new
     return d.where("label is not null").select("cluster", "label")

@@ -151,3 +151,42 @@ def test_clusters_of_odd_rows(spark):
     two = same + [(100 + i, [900.0 + i, 2.0]) for i in range(20)]
     got = {r["id"]: r["cluster"] for r in density.clusters(frame(spark, two), neighbours=5, exact=True).collect()}
     assert got == plain_clusters(two, 5, 5, 5, linked(spark, two)) and got[3] == 0
+
+
+def plain_choice(rows):
+    """{cluster: label} by recursion from the leaves up; rows (cluster, above, stability, selectable)."""
+    kids, of, own, value = {}, {r[0]: r for r in rows}, {}, {}
+    for c, up, _, _ in rows:
+        kids.setdefault(up, []).append(c)
+    order = [c for c in kids[None]]
+    for c in order:
+        order += kids.get(c, [])
+    for c in reversed(order):
+        below = sum(value[k] for k in kids.get(c, []))
+        own[c] = of[c][3] and of[c][2] >= below * (1 - 1e-9)
+        value[c] = of[c][2] if own[c] else below
+    label = {None: None}
+    for c in order:
+        label[c] = label[of[c][1]] if label[of[c][1]] is not None else c if own[c] else None
+    return {c: x for c, x in label.items() if x is not None}
+
+
+def deep_tree(seed, n, back):
+    """A root and splits in two, each of one of the last ``back`` clusters; stabilities fall down the tree, so that choices are mixed."""
+    rng = random.Random(seed)
+    rows, free, at = [(0, None, 1.0, False)], [(0, 64.0)], 0
+    while at < n:
+        c, s = free.pop(rng.randrange(max(0, len(free) - back), len(free)))
+        for _ in range(2):
+            at += 1
+            free.append((at, s * rng.choice((0.3, 0.45, 0.5, 0.9))))
+            rows.append((at, c, rng.choice((0.0, free[-1][1], 3 * rng.random())), True))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "n", "back"), [(1, 240, 1), (2, 240, 2), (3, 240, 200), (4, 2, 1)])
+def test_choice_takes_few_rounds(spark, seed, n, back):
+    rows, tables = deep_tree(seed, n, back), Tables(spark, "t")
+    got = density.chosen(spark.createDataFrame(rows, "cluster long, above long, stability double, selectable boolean"), tables)
+    assert {r["cluster"]: r["label"] for r in got.collect()} == plain_choice(rows)
+    assert tables.n <= 4 * math.log2(n) + 8  # a round a level would be two tables for each of 120 levels
