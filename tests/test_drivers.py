@@ -96,3 +96,17 @@ def test_pack_and_snapping(spark):
     got = {r["raw"]: r["l5_id"] for r in taxonomy.snap_leaf(raw, p.frame(spark)).collect()}
     assert got[p.ids()[0]] == p.ids()[0] and got["x__late_delivery"].endswith("late_delivery")
     assert got["charge"] == min((i for i in p.ids() if "charge" in i), key=len) and got["zzz"] is None and got[""] is None
+
+
+def test_rows_are_counted_once(spark):
+    """The marginals come from the counts; they do not read the merged rows again."""
+    rows, seen = merged(spark, [("A", "X", 30), ("A", "Y", 10), ("B", "Y", 50)]), spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    found = {(r["l5_id"], r["value"]): (r["support"], r["n_d"], r["n_l5"], r["n_total"]) for r in dr.cell_counts(rows.mapInArrow(through, rows.schema), ["dim"]).collect()}
+    assert found == {("A", "X"): (30, 30, 40, 90), ("A", "Y"): (10, 60, 40, 90), ("B", "X"): (0, 30, 50, 90), ("B", "Y"): (50, 60, 50, 90)}
+    assert seen.value == 90

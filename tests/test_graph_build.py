@@ -218,3 +218,17 @@ def test_increments(spark, tmp_path):
     q = incremental.run_stream(incremental.read_stream(spark, f"{tmp_path}/in", a.schema), b, store, f"{tmp_path}/ck", pack)
     q.awaitTermination(180)
     assert store.read().runs.where(F.col("run_id").startswith("stream")).count() == 1
+
+
+def test_an_update_joins_nothing(spark, tmp_path, monkeypatch):
+    """What nodes and edges are made of is written before, so the plan of an update has no join that the driver would broadcast for."""
+    pack, plans, commit = taxonomy.own_pack(), [], graph.Store.commit
+    a = table_a(spark, pack, weeks=4, each=20).persist()
+
+    def seen(store, update, base):
+        plans.extend(d._jdf.queryExecution().optimizedPlan().toString() for d in (update.nodes, update.edges))
+        return commit(store, update, base)
+
+    monkeypatch.setattr(graph.Store, "commit", seen)
+    build.run(a, planted.plant(a, ["carrier"], facts=False), graph.Store(spark, f"file://{tmp_path}/g"), "r", "t", pack)
+    assert [p.count("Join") for p in plans] == [0, 0] and all("parquet" in p for p in plans), plans
